@@ -30,7 +30,7 @@ def exact_totals(name: str, value: Column) -> list[Column]:
     """Aggregates that describe a column exactly and can be added up again later."""
     return [
         F.try_sum(whole_part(value)).alias(f"{name}_whole"),
-        F.sum(millionths(value)).alias(f"{name}_millionths"),
+        F.try_sum(millionths(value)).alias(f"{name}_millionths"),
         F.sum(value).alias(f"{name}_float"),
         F.count(value).alias(f"{name}_count"),
     ]
@@ -40,7 +40,7 @@ def merged_totals(name: str) -> list[Column]:
     """The same aggregates over rows that hold partial totals."""
     return [
         F.try_sum(f"{name}_whole").alias(f"{name}_whole"),
-        F.sum(f"{name}_millionths").alias(f"{name}_millionths"),
+        F.try_sum(f"{name}_millionths").alias(f"{name}_millionths"),
         F.sum(f"{name}_float").alias(f"{name}_float"),
         F.sum(f"{name}_count").alias(f"{name}_count"),
     ]
@@ -50,7 +50,7 @@ def _cents(numerator: Column, denominator: Column) -> Column:
     """100 * numerator / denominator, half away from zero, as a double of cents / 100."""
     doubled = F.abs(numerator) * 200 + denominator
     cents = F.call_function("div", doubled, denominator * 2)
-    return F.signum(numerator) * cents.cast("double") / 100.0
+    return F.signum(numerator).cast("bigint") * cents / 100.0
 
 
 def _in_millionths(name: str) -> Column:
@@ -61,7 +61,8 @@ def _in_millionths(name: str) -> Column:
 def _unless_float(name: str, exact: Column, approximate: Column) -> Column:
     """Infinite, not-a-number and huge totals follow floating-point rules."""
     total = F.col(f"{name}_float")
-    is_exact = F.col(f"{name}_whole").isNotNull() & (F.abs(total) < EXACT_LIMIT)
+    fits = F.col(f"{name}_whole").isNotNull() & F.col(f"{name}_millionths").isNotNull()
+    is_exact = fits & (F.abs(total) < EXACT_LIMIT)
     return F.when(total.isNull(), None).when(is_exact, exact).otherwise(approximate)
 
 

@@ -64,10 +64,10 @@ def run_column_tests(df: DataFrame, tests: Sequence[ColumnTests]) -> DataFrame:
 def relationship_failures(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows, per missing key, whose key the parent table does not have.
 
-    Child rows are counted per key first, so a key that many rows share crosses the
+    Both sides are reduced to their keys first, so a key that many rows share crosses the
     shuffle once per task. Spark picks the join from the sizes it measures.
     """
     keys = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("missing_key"))
     counted = keys.agg(F.count(F.lit(1)).alias("child_rows"))
-    known = parent.select(F.col(parent_column).alias("known_key"))
+    known = parent.select(F.col(parent_column).alias("known_key")).distinct()
     return counted.join(known, F.col("missing_key") == F.col("known_key"), "left_anti")

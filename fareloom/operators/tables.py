@@ -13,13 +13,17 @@ from datetime import datetime, timezone
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fareloom.config import DateWindow
+from fareloom.functions.scalars import in_window
 
 VERSION_PROPERTY = "published_version"
 
 
-def qualified(database: str, table: str) -> str:
-    """Database and table name, each in backticks."""
-    return ".".join("`" + part.replace("`", "``") + "`" for part in (database, table))
+def qualified(*parts: str) -> str:
+    """A full table name, `database, table` or `catalog, database, table`, each part in backticks."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
 
 
 def new_run_id() -> str:
@@ -106,15 +110,35 @@ def drop_old_versions(spark: SparkSession, database: str, table: str, keep: int
     return old
 
 
-def overwrite_days(df: DataFrame, database: str, table: str, partition_by: str, cluster_by: Sequence[str] = ()) -> None:
-    """Replace the partitions that occur in `df`, in the published version; the others stay."""
+def overwrite_days(
+    df: DataFrame, database: str, table: str, partition_by: str, window: DateWindow, cluster_by: Sequence[str] = ()
+) -> None:
+    """Replace the day partitions of a window by the rows of `df`; other days are not touched.
+
+    The rows are written aside first, so a failure while computing them changes nothing. Days of
+    the window that no longer have rows lose their partition. Both day lists are at
+    most as long as the window.
+    """
     spark = df.sparkSession
     target = qualified(database, f"{table}__{published_version(spark, database, table)}")
+    aside = write_version(df, database, f"{table}_days", new_run_id(), partition_by, cluster_by)
+    columns = spark.table(target).columns
+    rows = spark.table(aside).where(in_window(F.col(partition_by), window)).select(*columns)
+
     setting = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "dynamic")
     try:
-        columns = spark.table(target).columns
-        clustered(df, partition_by, cluster_by).select(*columns).write.mode("overwrite").insertInto(target)
+        clustered(rows, partition_by, cluster_by).write.mode("overwrite").insertInto(target)
     finally:
         spark.conf.set(setting, before)
+
+    for day in stored_days(spark, target, window) - stored_days(spark, aside, window):
+        spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({qualified(partition_by)} = DATE '{day}')")
+    spark.sql(f"DROP TABLE {aside}")
+
+
+def stored_days(spark: SparkSession, table: str, window: DateWindow) -> set[str]:
+    """The days of a window a table has a partition for, from the catalog alone."""
+    listed = (row["partition"].partition("=")[2] for row in spark.sql(f"SHOW PARTITIONS {table}").collect())
+    return {day for day in listed if window.first.isoformat() <= day <= window.last.isoformat()}

@@ -217,6 +217,10 @@ def all_sql() -> dict[str, str]:
         "mart_monthly": _with("SELECT * FROM monthly"),
         "daily_zone_summary": _with("SELECT * FROM zone_summary"),
         "zone_summary_run": _with("SELECT * FROM zone_summary", zone_trips=_zone_trips("valid_batch")),
+        "zone_models_run": _with(
+            "SELECT * FROM zone_summary",
+            zone_trips="SELECT trip_id, pickup_date AS trip_date, pickup_location_id AS pickup_zone_id, total_amount FROM int_trips",
+        ),
         "check_batch_row_count": _with(_gate("check_batch_row_count", "raw_batch", "count(*)", "> 0")),
         "check_required_nulls": _with(
             _gate("check_batch_required_nulls", "raw_batch", _count_if(REQUIRED), "= 0")

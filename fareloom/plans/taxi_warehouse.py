@@ -13,13 +13,21 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.config import WarehouseConfig
+from fareloom.config import DateWindow, WarehouseConfig
 from fareloom.contracts import TRIP_CLUSTER
+from fareloom.functions.scalars import in_window
 from fareloom.operators import gates
 from fareloom.operators.conform import unified_trips
 from fareloom.operators.dedup import keep_latest
 from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart
-from fareloom.operators.tables import create_database, new_run_id, publish, qualified, write_version
+from fareloom.operators.tables import (
+    create_database,
+    new_run_id,
+    overwrite_days,
+    publish,
+    qualified,
+    write_version,
+)
 from fareloom.sources.files import read_files, stage_batch
 
 
@@ -92,15 +100,18 @@ def run(
     return results
 
 
-def rebuild_days(spark: SparkSession, config: WarehouseConfig, first, last) -> None:
+def rebuild_days(spark: SparkSession, config: WarehouseConfig, window: DateWindow) -> None:
     """Recompute the daily mart for the days of a window from the published trips.
 
     Only these days are read and only their partitions are written.
     """
-    from fareloom.operators.tables import overwrite_days
-
-    days = spark.table(qualified(config.database, config.tables.trips))
-    days = days.where(F.col("pickup_date").between(F.lit(first), F.lit(last)))
+    published = spark.table(qualified(config.database, config.tables.trips))
+    days = published.where(in_window(F.col("pickup_date"), window))
     overwrite_days(
-        daily_mart(daily_totals(days)), config.database, config.tables.daily_mart, "pickup_date", ("source_type",)
+        daily_mart(daily_totals(days)),
+        config.database,
+        config.tables.daily_mart,
+        "pickup_date",
+        window,
+        ("source_type",),
     )

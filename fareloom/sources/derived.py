@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fareloom.sources.files import spread
+
 FIRST_PICKUP = "TIMESTAMP_NTZ '2025-03-25 00:00:00'"
 FIRST_INGESTION = "TIMESTAMP_NTZ '2025-08-01 00:00:00'"
 
@@ -24,7 +26,7 @@ def _select(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
     pickup = f"timestampadd(MINUTE, l_orderkey * 97 % 108000, {FIRST_PICKUP})"
     dropoff = f"timestampadd(MINUTE, l_orderkey * 97 % 108000 + (l_orderkey * 11 + l_linenumber) % 90 - 2, {FIRST_PICKUP})"
     return _select(

@@ -19,6 +19,17 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand the rows of a few large files to all cores.
+
+    A monthly file is often one row group, which a single task has to read, and all work up to
+    the next shuffle would stay in that task. Where the scan already has a task per core,
+    which any large table has, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def stage_batch(raw: DataFrame, database: str, table: str, run_id: str) -> str:
     """Store raw monthly rows by pickup day, clustered by zone and payment."""
     dated = raw.withColumn(BATCH_DAY, F.col(RAW_NAME["pickup_datetime"]).cast("date"))
