@@ -46,3 +46,4 @@ class WarehouseConfig:
     stream_window: DateWindow = DateWindow(date(2025, 6, 1), date(2025, 7, 31))
     rules: TripRules = field(default_factory=TripRules)
     tables: TableNames = field(default_factory=TableNames)
+    kept_versions: int = 2

@@ -129,6 +129,8 @@ INVALID = """pickup_datetime >= dropoff_datetime OR trip_distance <= 0 OR fare_a
   OR pickup_location_id NOT BETWEEN 1 AND 265 OR dropoff_location_id NOT BETWEEN 1 AND 265
   OR source_type NOT IN ('batch', 'stream')"""
 
+VALIDATED_STREAM = f"SELECT * FROM ({RAW_STREAM}) WHERE NOT coalesce({INVALID}, FALSE)"
+
 REQUIRED = """lpep_pickup_datetime IS NULL OR lpep_dropoff_datetime IS NULL
   OR "PULocationID" IS NULL OR "DOLocationID" IS NULL"""
 
@@ -268,6 +270,7 @@ WHERE NOT EXISTS (SELECT 1 FROM raw_stream s WHERE s.pickup_location_id = b."PUL
 GROUP BY 1"""),
         "incremental_daily": _with("SELECT * FROM daily"),
         "stream_ingest": _with("SELECT * FROM raw_stream"),
+        "stream_ingest_validated": _with("SELECT * FROM raw_stream", raw_stream=VALIDATED_STREAM),
         "gated_publish": _with(
             _union(
                 _gate("check_batch_row_count", "raw_batch", "count(*)", "> 0", table_name=tables[0]),
@@ -277,8 +280,9 @@ GROUP BY 1"""),
                 _gate("check_duplicates", "int_trips", duplicates, "= 0", table_name=tables[1]),
                 _gate("check_stream_data_exists", "raw_stream", _count_if(IN_STREAM), "> 0", table_name=tables[1]),
                 _gate("check_mart_row_count", "daily", "count(*)", "> 0", table_name=tables[2]),
-            )
+            ),
+            raw_stream=VALIDATED_STREAM,
         ),
-        "published_daily_mart": _with("SELECT * FROM daily"),
-        "published_monthly_mart": _with("SELECT * FROM monthly"),
+        "published_daily_mart": _with("SELECT * FROM daily", raw_stream=VALIDATED_STREAM),
+        "published_monthly_mart": _with("SELECT * FROM monthly", raw_stream=VALIDATED_STREAM),
     }

@@ -22,12 +22,14 @@ from fareloom.operators.dedup import keep_latest
 from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart
 from fareloom.operators.tables import (
     create_database,
+    drop_old_versions,
     new_run_id,
     overwrite_days,
     publish,
     qualified,
     write_version,
 )
+from fareloom.session import sized_shuffle
 from fareloom.sources.files import read_files, stage_batch
 
 
@@ -78,25 +80,32 @@ def run(
     publish(spark, database, names.batch_staging, run_id)
 
     stream = spark.table(qualified(database, names.stream_staging))
-    trips_table = write_version(
-        trips(raw, stream, config, run_stamp), database, names.trips, run_id, "pickup_date", TRIP_CLUSTER
-    )
+    latest = trips(raw, stream, config, run_stamp)
+    with sized_shuffle(spark, latest):
+        trips_table = write_version(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER)
     current = spark.table(trips_table)
     passed(
         names.trips,
         gates.evaluate_columns(spark, "check_required_schema", trips_table),
         gates.evaluate(current, gates.has_valid_values("check_invalid_values", config.rules)),
         gates.evaluate(current, gates.has_unique_key("check_duplicates")),
-        gates.evaluate(stream, gates.has_stream_rows("check_stream_data_exists", config.stream_window)),
+        gates.evaluate(
+            gates.stream_rows(stream, config.stream_window), gates.has_rows("check_stream_data_exists")
+        ),
     )
     publish(spark, database, names.trips, run_id)
 
-    totals = spark.table(write_version(daily_totals(current), database, names.daily_totals, run_id))
+    totals_table = write_version(daily_totals(current), database, names.daily_totals, run_id)
+    totals = spark.table(totals_table)
     daily = write_version(daily_mart(totals), database, names.daily_mart, run_id, "pickup_date", ("source_type",))
     write_version(monthly_mart(totals), database, names.monthly_mart, run_id)
     passed(names.daily_mart, gates.evaluate(spark.table(daily), gates.has_rows("check_mart_row_count")))
     publish(spark, database, names.daily_mart, run_id)
     publish(spark, database, names.monthly_mart, run_id)
+
+    spark.sql(f"DROP TABLE {totals_table}")
+    for table in (names.batch_staging, names.trips, names.daily_mart, names.monthly_mart):
+        drop_old_versions(spark, database, table, config.kept_versions)
     return results
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps `current_timestamp` and string casts the same on every host. The
 # advisory size is what adaptive execution aims at per task and per written file.
@@ -33,6 +35,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimizer expects a plan to read, after partition and column pruning."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def shuffle_partitions_for(stored: int, per_task: int = 256 * 2**20, growth: int = 3, most: int = 100_000) -> int:
+    """Shuffle partitions for stored bytes that grow when decoded to rows.
+
+    Adaptive execution merges partitions that turn out small, so too many cost little. Beyond
+    `most` the blocks between map and reduce tasks get too small to move well; partitions
+    then grow, and the sort-based operators spill.
+    """
+    return max(1, min(most, -(-stored * growth // per_task)))
+
+
+@contextmanager
+def sized_shuffle(spark: SparkSession, df: DataFrame) -> Iterator[None]:
+    """Raise the number of shuffle partitions, if need be, to suit what `df` reads."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, max(int(before), shuffle_partitions_for(planned_bytes(df))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="fareloom-")

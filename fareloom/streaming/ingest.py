@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fareloom.config import TripRules
 from fareloom.contracts import STREAM_SCHEMA
+from fareloom.operators.rules import broken_trip
 from fareloom.operators.tables import qualified
 
 
@@ -17,6 +19,11 @@ def to_stream_contract(events: DataFrame) -> DataFrame:
     return events.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in STREAM_SCHEMA.fields))
 
 
+def without_broken(events: DataFrame, rules: TripRules) -> DataFrame:
+    """Leave out events that provably break a trip rule, as the publisher of the stream is expected to."""
+    return events.where(~F.coalesce(broken_trip(rules), F.lit(False)))
+
+
 def ingest_events(
     spark: SparkSession,
     source: str,

@@ -96,11 +96,13 @@ def test_unique_key(trip):
 
 
 def test_stream_rows(event):
-    gate = gates.has_stream_rows("g", WINDOW)
-    assert passed(event({"pickup_date": date(2025, 7, 31)}), gate)
-    assert not passed(event({"pickup_date": date(2025, 5, 31)}, {"pickup_date": date(2025, 8, 1)}), gate)
-    assert not passed(event({"source_type": "batch"}), gate)
-    assert not passed(event({"source_type": None}), gate)
+    def found(*changes):
+        return passed(gates.stream_rows(event(*changes), WINDOW), gates.has_rows("g"))
+
+    assert found({"pickup_date": date(2025, 7, 31)})
+    assert not found({"pickup_date": date(2025, 5, 31)}, {"pickup_date": date(2025, 8, 1)})
+    assert not found({"source_type": "batch"})
+    assert not found({"source_type": None})
 
 
 def test_gates_of_a_table_share_one_scan(spark, raw, tmp_path, capsys):

@@ -128,11 +128,13 @@ def test_a_run_publishes_every_layer(spark, config, inputs):
 
 def test_running_again_leaves_the_same_rows(spark, config, inputs):
     seen = []
-    for _ in range(2):
+    for _ in range(3):
         taxi_warehouse.run(spark, config, inputs, STAMP)
         names = (config.tables.trips, config.tables.daily_mart, config.tables.monthly_mart)
         seen.append([rows(spark.table(qualified(config.database, n))) for n in names])
-    assert seen[0] == seen[1]
+    assert seen[0] == seen[1] == seen[2]
+    assert len(versions(spark, config.database, config.tables.trips)) == config.kept_versions
+    assert versions(spark, config.database, config.tables.daily_totals) == []
 
 
 def test_a_failing_staging_gate_publishes_nothing(spark, config, inputs, raw, tmp_path):

@@ -4,8 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from fareloom.config import TripRules
 from fareloom.contracts import STREAM_SCHEMA
-from fareloom.streaming.ingest import ingest_events, read_staged, register_staged
+from fareloom.streaming.ingest import ingest_events, read_staged, register_staged, without_broken
 
 
 def ingest(spark, tmp_path, **options):
@@ -61,6 +62,15 @@ def test_a_failed_run_resumes_without_copies(spark, event, tmp_path):
     assert ids(spark, tmp_path) == ["e0", "e1", "e2", "e3"]
 
 
+def test_broken_events_can_be_left_out(spark, event, tmp_path):
+    event({"event_id": "a"}, {"event_id": "b", "total_amount": 0.0}, {"event_id": "c", "trip_distance": None}).write.parquet(
+        str(tmp_path / "in")
+    )
+    ingest(spark, tmp_path, prepare=lambda events: without_broken(events, TripRules()))
+    # An unknown value breaks no rule.
+    assert ids(spark, tmp_path) == ["a", "c"]
+
+
 def test_values_are_cast_to_the_contract(spark, event, tmp_path):
     narrow = event({"passenger_count": 3}).withColumn("passenger_count", F.col("passenger_count").cast("int"))
     narrow.write.parquet(str(tmp_path / "in"))
