@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Test tables are tiny; without this one task would create all day files one by one.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
