@@ -26,7 +26,7 @@ def _select(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     pickup = f"timestampadd(MINUTE, l_orderkey * 97 % 108000, {FIRST_PICKUP})"
     dropoff = f"timestampadd(MINUTE, l_orderkey * 97 % 108000 + (l_orderkey * 11 + l_linenumber) % 90 - 2, {FIRST_PICKUP})"
     return _select(

@@ -172,9 +172,13 @@ def test_staging_is_partitioned_by_pickup_day(spark, raw, config):
     assert found == {"2025-04-10", "2025-05-02", "__HIVE_DEFAULT_PARTITION__"}
 
 
-def test_rows_are_spread_only_if_the_scan_has_too_few_tasks(spark):
+def test_rows_are_spread_only_if_the_scan_has_too_few_tasks(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
-    few = spread(spark.range(0, 100, numPartitions=1).toDF("k"), "k")
-    many = spark.range(0, 100, numPartitions=cores).toDF("k")
-    assert few.rdd.getNumPartitions() == cores
-    assert spread(many, "k") is many
+    copies = spark.range(0, 1000, numPartitions=1).select(F.lit(7).alias("k"))
+    copies.write.parquet(str(tmp_path / "one"))
+    few = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert few.rdd.getNumPartitions() == cores and few.columns == ["k"]
+    per_task = few.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == cores and sum(r["count"] for r in per_task) == 1000
+    many = copies.repartition(cores)
+    assert spread(many) is many
