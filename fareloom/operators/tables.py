@@ -116,8 +116,8 @@ def overwrite_days(
     """Replace the day partitions of a window by the rows of `df`; other days are not touched.
 
     The rows are written aside first, so a failure while computing them changes nothing. Days of
-    the window that no longer have rows lose their partition. Both day lists are at
-    most as long as the window.
+    the window that no longer have rows lose their partition. The driver handles one string
+    per stored day for this, and no rows.
     """
     spark = df.sparkSession
     target = qualified(database, f"{table}__{published_version(spark, database, table)}")

@@ -23,12 +23,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Hand the rows of a few large files to all cores.
 
     A monthly file is often one row group, which a single task has to read, and all work up to
-    the next shuffle would stay in that task. Where the scan already has a task per core,
-    which any large table has, nothing is moved. Rows are dealt out by their position in the
+    the next shuffle would stay in that task. Where the scan already has a task for every
+    second core, which any large table has, nothing is moved. Rows are dealt out by their position in the
     file: copies of a row do not gather in one task, and a task that is run again deals the same way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "_metadata.row_index")
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores, "_metadata.row_index")
 
 
 def stage_batch(raw: DataFrame, database: str, table: str, run_id: str) -> str:

@@ -32,8 +32,8 @@ def ingest_events(
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda events: events,
     bytes_per_batch: int = 256 * 2**30,
-) -> int:
-    """Append the event files not yet seen to `target`, then stop; returns the rows added.
+) -> None:
+    """Append the event files not yet seen to `target`, then stop.
 
     The checkpoint and the file sink's own log make a restart or a second run add
     nothing twice. Batches are bounded by bytes, so a long backlog is worked off in
@@ -52,7 +52,6 @@ def ingest_events(
         .start()
     )
     query.awaitTermination()
-    return sum(progress.numInputRows for progress in query.recentProgress)
 
 
 def read_staged(spark: SparkSession, target: str) -> DataFrame:

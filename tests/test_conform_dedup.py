@@ -3,6 +3,8 @@
 from datetime import date, datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import RAW_ROW
@@ -151,6 +153,33 @@ def test_ties_are_settled_by_value_with_unknown_last(trip, order):
     assert [(r["fare_amount"], r["tip_amount"]) for r in kept] == [(5.0, 2.0)]
 
 
+COPIES = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", None]),
+        st.sampled_from([1, 2, None]),
+        st.sampled_from([1.5, 2.5, None]),
+        st.sampled_from([7, 8, None]),
+    ),
+    min_size=1,
+    max_size=12,
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(COPIES)
+def test_kept_copies_equal_a_plain_search(spark, copies):
+    def rank(row):
+        key, latest, first, second = row
+        newest = (latest is None, -(latest or 0))
+        return newest, (first is None, first or 0), (second is None, second or 0)
+
+    expected = {key: min((r for r in copies if r[0] == key), key=rank) for key in {r[0] for r in copies}}
+    df = spark.createDataFrame(copies, "k string, t int, x double, y int").repartition(3)
+    kept = keep_latest(df, "k", "t", ("x", "y")).collect()
+    assert len(kept) == len(expected)
+    assert {r["k"]: tuple(r) for r in kept} == expected
+
+
 def test_unknown_ids_collapse_to_one_row(trip):
     df = keep_latest(trip({"trip_id": None}, {"trip_id": None, "fare_amount": 1.0}, {}))
     assert sorted(str(r["trip_id"]) for r in df.collect()) == ["None", "t1"]

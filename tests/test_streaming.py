@@ -10,7 +10,7 @@ from fareloom.streaming.ingest import ingest_events, read_staged, register_stage
 
 
 def ingest(spark, tmp_path, **options):
-    return ingest_events(
+    ingest_events(
         spark,
         str(tmp_path / "in"),
         STREAM_SCHEMA,
@@ -26,8 +26,8 @@ def ids(spark, tmp_path):
 
 def test_a_second_run_adds_nothing(spark, event, tmp_path):
     event({"event_id": "a"}, {"event_id": "b"}).write.parquet(str(tmp_path / "in"))
-    assert ingest(spark, tmp_path) == 2
-    assert ingest(spark, tmp_path) == 0
+    for _ in range(2):
+        ingest(spark, tmp_path)
     assert ids(spark, tmp_path) == ["a", "b"]
 
 
@@ -42,7 +42,7 @@ def test_new_files_are_appended_once(spark, event, tmp_path):
 
 def test_a_backlog_is_worked_off_in_bounded_batches(spark, event, tmp_path):
     event(*({"event_id": f"e{i}"} for i in range(6))).repartition(3).write.parquet(str(tmp_path / "in"))
-    assert ingest(spark, tmp_path, bytes_per_batch=1) == 6
+    ingest(spark, tmp_path, bytes_per_batch=1)
     assert len(list((tmp_path / "progress" / "commits").glob("[0-9]*"))) == 3
     assert len(ids(spark, tmp_path)) == 6
 
