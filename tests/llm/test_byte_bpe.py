@@ -1,0 +1,52 @@
+"""Byte-level BPE against the tiktoken library, and exact round trips."""
+
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+
+from fareloom.llm import byte_bpe
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+def texts():
+    draw = random.Random(5)
+    letters = "aabcdeghinorst '.,0123  \n\téß中文\U0001f600́<|>\\x"
+    made = ["".join(draw.choices(letters, k=draw.randint(1, 300))) for _ in range(150)]
+    return [None, "", " ", "a", "a" * 30_000, "<|endoftext|> I'll it's", "\x00\x01  x", *made, "a b", "a b"]
+
+
+def test_same_ids_and_bytes(spark, reference):
+    source = [(i, t, "clash") for i, t in enumerate(texts())]
+    df = spark.createDataFrame(source, "doc_id long, text string, ids string")
+    found = {r.doc_id: r for r in byte_bpe.round_trip(df, RANKS, PATTERN).collect()}
+    assert len(found) == len(source)
+    for i, text, _ in source:
+        ids = reference.encode_ordinary(text or "")
+        assert found[i].n_tokens == len(ids)
+        assert found[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert found[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_offsets_cover_split_characters(spark):
+    text = "x\U0001f600中y"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = byte_bpe.encode(df, RANKS, PATTERN, offsets=True).first()
+    assert len(row.ids) == len(row.token_start) > len(text)
+    assert {c for a, b in zip(row.token_start, row.token_end) for c in range(a, b)} == set(range(len(text)))
+
+
+def test_empty_table_and_null_ids(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert byte_bpe.round_trip(empty, RANKS, PATTERN).count() == 0
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id long, text string")
+    assert byte_bpe.round_trip(rows, RANKS, PATTERN).count() == 3
