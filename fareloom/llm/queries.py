@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe
+from fareloom.llm import byte_bpe, decontaminate
 from fareloom.llm.common import read_table
 
 
@@ -16,9 +16,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": op5_byte_bpe}
+    named = (op5_byte_bpe, op6_decontaminate)
+    return {query.__name__: query for query in named}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": decontaminate.SQL}
