@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate
+from fareloom.llm import byte_bpe, decontaminate, secrets
 from fareloom.llm.common import read_table
 
 
@@ -20,8 +20,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_byte_bpe, op6_decontaminate)
+    named = (op5_byte_bpe, op6_decontaminate, op10_secrets)
     return {query.__name__: query for query in named}
 
 
