@@ -20,7 +20,7 @@ def reference():
 
 def texts():
     draw = random.Random(5)
-    letters = "aabcdeghinorst '.,0123  \n\téß中文\U0001f600́<|>\\x"
+    letters = "\x1c\x85\xa0\u2003²½Ⅷ٣ªñ\u0301_aabcdeghinorst '.,0123  \n\téß中文\U0001f600́<|>\\x"
     made = ["".join(draw.choices(letters, k=draw.randint(1, 300))) for _ in range(150)]
     return [None, "", " ", "a", "a" * 30_000, "<|endoftext|> I'll it's", "\x00\x01  x", *made, "a b", "a b"]
 
