@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, secrets
+from fareloom.llm import byte_bpe, decontaminate, secrets, toxicity
 from fareloom.llm.common import read_table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -25,7 +30,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_byte_bpe, op6_decontaminate, op10_secrets)
+    named = (op4_toxicity, op5_byte_bpe, op6_decontaminate, op10_secrets)
     return {query.__name__: query for query in named}
 
 

@@ -27,18 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareloom.llm.common import keyed, mix, slices
+from fareloom.llm.common import keyed, slices
 
-SAMPLE = 2_500
+SAMPLE = 1_500
 BUCKETS = 1 << 16
 DIMENSIONS = 4
-PASSAGE = 32
+PASSAGE = 2
 LEAST_TEXTS = 3
 GRAMS = (3, 4, 5, 6)
-ROUNDS = 50
+ROUNDS = 80
 RATE = 0.05
-SMOOTH = 1e-7
-WARM = 10
+SMOOTH = 1e-5
 THRESHOLD = 0.3
 
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789") | frozenset(range(128, 256))
@@ -50,41 +49,50 @@ def folded(text: str | None) -> bytes:
 
 
 class Grams:
-    """The n-grams of all words of folded texts: their buckets, in word order, and the words of each text."""
+    """The words of folded texts, and the bucket of the n-gram that begins at each byte.
+
+    A word's n-grams may take in one blank before and one after it.
+    """
 
     def __init__(self, texts: list[bytes], buckets: int = BUCKETS):
-        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-        inside = raw != 32
+        self.raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        self.shift = np.uint64(64 - (buckets.bit_length() - 1))
+        inside = self.raw != 32
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.starts, ends = edges[::2], edges[1::2]
-        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        self.rows = np.searchsorted(self.starts, begins)
-        word = np.full(len(raw), -1, np.int64)
-        if len(self.starts):
-            marks = np.zeros(len(raw), np.int64)
-            marks[self.starts] = 1
-            word[inside] = (np.cumsum(marks) - 1)[inside]
-            word[self.starts - 1] = np.arange(len(self.starts))  # the border before a word belongs to it
-        last = np.append(ends, -1)[word]  # the border after it ends its n-grams
-        places, cells = [], []
-        for n in GRAMS:
-            count = len(raw) - n + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.rows = np.searchsorted(self.starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+
+    def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: buckets by first byte, and per word the first byte and the end of its n-grams' beginnings."""
+        hashes = self.raw.astype(np.uint64)
+        for n in range(2, max(GRAMS) + 1):
+            count = len(self.raw) - n + 1
             if count <= 0:
-                continue
-            hashes = np.zeros(count, np.uint64)
-            for shift in range(n):
-                hashes = hashes * np.uint64(0x100000001B3) + raw[shift : shift + count].astype(np.uint64)
-            at = np.flatnonzero((word[:count] >= 0) & (np.arange(count) + n - 1 <= last[:count]))
-            places.append(word[at])
-            cells.append(mix(hashes[at] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets))
-        self.words = np.concatenate(places) if places else np.zeros(0, np.int64)
-        self.cells = np.concatenate(cells).astype(np.int64) if cells else np.zeros(0, np.int64)
+                return
+            hashes = hashes[:count] * np.uint64(0x100000001B3) + self.raw[n - 1 :]
+            if n in GRAMS:
+                begin = np.minimum(self.starts - 1, count)
+                cells = ((hashes + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+                yield cells.astype(np.intp), begin, np.clip(self.ends + 2 - n, begin, max(count, 0))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bucket) of every n-gram."""
+        words, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cells, begin, end in self.cells():
+            sizes = end - begin
+            own = np.repeat(np.arange(len(begin)), sizes)
+            words.append(own)
+            found.append(cells[np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[own]])
+        return np.concatenate(words), np.concatenate(found)
 
     def word_means(self, values: np.ndarray) -> np.ndarray:
-        """The mean of a value per bucket over each word's n-grams; 0 for words too short to have any."""
-        count = len(self.starts)
-        total = np.bincount(self.words, values[self.cells], count)
-        return total / np.maximum(np.bincount(self.words, minlength=count), 1)
+        """The mean of a value per bucket over each word's n-grams; 0 for words without any."""
+        total, count = np.zeros(len(self.starts)), np.zeros(len(self.starts), np.int64)
+        for cells, begin, end in self.cells():
+            sums = np.concatenate([[0.0], np.cumsum(values[cells])])
+            total += sums[end] - sums[begin]
+            count += end - begin
+        return total / np.maximum(count, 1)
 
 
 class Bag:
@@ -117,28 +125,30 @@ def passages(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """What scoring needs: one number per bucket, and how a text's most toxic passage and length make its score."""
+    """What scoring needs: one number per bucket, the bias, and how the passages of a text make its score."""
 
     values: np.ndarray
-    scale: tuple[float, float, float]
+    bias: float
+    scale: tuple[float, ...]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: 1, the highest mean of a passage, and the logarithm of the number of passages."""
+        """Per text: 1, the highest logit of a passage, and the logarithms of the passages and of the toxic ones."""
         grams = Grams([folded(t) for t in texts], len(self.values))
         starts, ends = passages(grams.rows)
         count = np.diff(ends)
-        out = np.stack([np.ones(len(texts)), np.zeros(len(texts)), np.log1p(count)], 1)
+        out = np.stack([np.ones(len(texts)), np.zeros(len(texts)), np.log1p(count), np.zeros(len(texts))], 1)
         if len(starts):
             means = np.add.reduceat(grams.word_means(self.values), starts) / np.diff(np.append(starts, grams.rows[-1]))
-            some = count > 0
-            out[some, 1] = np.maximum.reduceat(means, ends[:-1][some])
+            some, logits = count > 0, means + self.bias
+            out[some, 1] = np.maximum.reduceat(logits, ends[:-1][some])
+            out[some, 3] = np.log1p(np.add.reduceat(logits > 0, ends[:-1][some], dtype=np.int64))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(self.scale), -30, 30)))
 
 
-def _embed(rows: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, buckets: int, rounds: int) -> np.ndarray:
+def _embed(rows: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, buckets: int, rounds: int) -> tuple[np.ndarray, float]:
     """Embeddings and linear softmax, learned jointly on passages with the labels of their texts, folded per bucket."""
     seen = Counter(chain.from_iterable(map(set, rows)))
     number = {w: n for n, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_TEXTS))}
@@ -150,37 +160,27 @@ def _embed(rows: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, buc
     known = words >= 0
     averages = Bag(own[known], words[known], 1 / sizes[own[known]], (len(starts), len(number)))
     text = np.repeat(np.arange(len(rows)), np.diff(ends))
-    weights = (weights / weights.sum()).astype(np.float32)
     target = np.stack([1 - labels[text], labels[text]], 1)
     share = weights[text] / np.diff(ends)[text]
     share = (share / share.sum()).astype(np.float32)[:, None]
-    grams = Grams(list(number), buckets)
-    bags = Bag(grams.words, grams.cells, 1 / np.bincount(grams.words, minlength=len(number))[grams.words], (len(number), buckets))
+    own_word, cell = Grams(list(number), buckets).pairs()
+    bags = Bag(own_word, cell, 1 / np.bincount(own_word, minlength=len(number))[own_word], (len(number), buckets))
 
     draw = np.random.default_rng(7)
     state = [draw.normal(0, 0.1, (buckets, DIMENSIONS)).astype(np.float32), draw.normal(0, 1, (DIMENSIONS, 2)).astype(np.float32), np.zeros((1, 2), np.float32)]
-    moments = [np.zeros_like(x) for x in state]
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in state]
     for step in range(1, rounds + 1):
         table, layer, bias = state
         vectors = averages.dot(bags.dot(table))
         logits = vectors @ layer + bias
-        margin = logits[:, 1] - logits[:, 0]
-        if step > WARM:
-            top = np.maximum.reduceat(margin, ends[:-1])
-            best = np.flatnonzero(margin == top[text])
-            chosen = best[np.unique(text[best], return_index=True)[1]]
-            slope = np.zeros_like(logits)
-            miss = 1 / (1 + np.exp(-np.clip(top, -30, 30))) - labels
-            slope[chosen, 1] = miss * weights
-            slope[chosen, 0] = -miss * weights
-        else:
-            odds = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            slope = np.stack([target[:, 1] - odds, odds - target[:, 1]], 1) * share
+        odds = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -30, 30)))
+        slope = np.stack([target[:, 1] - odds, odds - target[:, 1]], 1) * share
         down = bags.dot(averages.dot(slope @ layer.T, transposed=True), transposed=True)
-        for x, g, m in zip(state, (down, vectors.T @ slope, slope.sum(0, keepdims=True)), moments, strict=True):
-            m += g - 0.1 * m
-            x -= RATE * m / max(float(np.abs(m).max()), 1e-12)
-    return (state[0] @ (state[1][:, 1] - state[1][:, 0])).astype(np.float64)
+        for x, g, (m, v) in zip(state, (down, vectors.T @ slope, slope.sum(0, keepdims=True)), moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + SMOOTH)
+    return (state[0] @ (state[1][:, 1] - state[1][:, 0])).astype(np.float64), float(state[2][0, 1] - state[2][0, 0])
 
 
 def _logistic(features: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, bucket
     """Learn the embeddings on two thirds of the texts, and the final scale on the others, whose words are not fitted."""
     labels, weights = np.asarray(labels, np.float32), np.asarray(weights, np.float64)
     share = (float(np.sum(weights * labels)) + 0.5) / (float(np.sum(weights)) + 1) if len(labels) else 0.0
-    flat = Model(np.zeros(buckets), (float(np.log(share / (1 - share))) if share else -30.0, 0.0, 0.0))
+    flat = Model(np.zeros(buckets), 0.0, (float(np.log(share / (1 - share))) if share else -30.0, 0.0, 0.0, 0.0))
     if len(set(labels.tolist())) < 2:
         return flat
     rows = [folded(t).split() for t in texts]
@@ -210,11 +210,11 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, bucket
     at = np.flatnonzero(learn & some)
     if not len(at):
         return flat
-    values = _embed([rows[i] for i in at], labels[at], weights[at].astype(np.float32), buckets, rounds)
-    model = Model(values, (0.0, 1.0, 0.0))
+    values, bias = _embed([rows[i] for i in at], labels[at], weights[at].astype(np.float32), buckets, rounds)
+    model = Model(values, bias, ())
     other = np.flatnonzero(~learn) if len(set(labels[~learn].tolist())) == 2 else np.arange(len(rows))
     scale = _logistic(model.features([texts[i] for i in other]), labels[other], weights[other])
-    return Model(values, tuple(float(x) for x in scale))
+    return Model(values, bias, tuple(float(x) for x in scale))
 
 
 def held_out(column: Column) -> Column:
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per row: id, held_out, score (0 to 1), predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 1 << 20):
+        for part in slices(batches, 1, 1 << 19):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist()))], ["id", "score"])
 
     source = keyed(docs, id_col, text_col)
