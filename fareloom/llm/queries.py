@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, secrets, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, secrets, toxicity
 from fareloom.llm.common import read_table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -30,7 +34,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op4_toxicity, op5_byte_bpe, op6_decontaminate, op10_secrets)
+    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op10_secrets)
     return {query.__name__: query for query in named}
 
 
