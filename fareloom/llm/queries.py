@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, fingerprints, line_templates, secrets, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, line_templates, near_dedup, secrets, toxicity
 from fareloom.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
@@ -39,7 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op9_line_templates, op10_secrets)
+    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op9_line_templates, op10_secrets)
     return {query.__name__: query for query in named}
 
 
