@@ -195,6 +195,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated; equal rows share their result."""
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(F.col(f"`{text_col}`").cast("string")).alias("text"))
+    judged = decontaminate(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("body")), items, "key", "body", **named)
+    bad = judged.where("contaminated").select("key.*").distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), key.alias("key"))
+    same = whole["key.id"].eqNullSafe(bad["id"]) & (whole["key.text"] == bad["text"])
+    return whole.join(bad, same, "left_anti").select("whole.*")
+
+
 def proximity(docs: DataFrame, terms: list[str], within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places (id, pos) of the rarest of the terms with every other term at most `within` words away, in any order."""
     source = keyed(docs, id_col, text_col)

@@ -246,3 +246,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = keyed(docs, id_col, text_col)
     scored = source.mapInArrow(run, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column, 1 << 19):
+            yield part.filter(pa.array(model.scores(part.column(column).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
