@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, fingerprints, line_templates, near_dedup, secrets, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, line_templates, near_dedup, secrets, span_dedup, toxicity
 from fareloom.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
@@ -43,9 +47,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op9_line_templates, op10_secrets)
+    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets)
     return {query.__name__: query for query in named}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.SQL, "op9_line_templates": line_templates.SQL}
+    return {
+        "op6_decontaminate": decontaminate.SQL,
+        "op8_span_dedup": span_dedup.SQL,
+        "op9_line_templates": line_templates.SQL,
+    }
