@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, fingerprints, line_templates, near_dedup, secrets, span_dedup, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, html_text, line_templates, near_dedup, secrets, span_dedup, toxicity
 from fareloom.llm.common import read_table
 
 
@@ -15,6 +15,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -47,7 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_fingerprints, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets)
+    named = (op2_fingerprints, op3_html_text, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets)
     return {query.__name__: query for query in named}
 
 
