@@ -8,9 +8,9 @@ every word of every document. Words outside the vocabulary share one id, `<unk>`
 at least as frequent as the least count that leaves no more than `VOCABULARY` of them, which bounds what is sent to the
 workers; pairs are not bounded. A document begins with a border, the context of its first word.
 
-Documents give their distinct pairs with counts; these are partitioned by the hash of the pair once, and both the count table
-and the join with it work on that partitioning. A pair that a third of all documents have is one row per document
-there. What is left is one number per pair and document, summed per document.
+Documents give their distinct pairs with counts. The count table adds them up, first within each task, then by the hash of the
+pair; the join partitions table and documents by the same hash, and Spark may split the rows of a pair that a third of all
+documents have. What is left is one number per pair and document, summed per document.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows count as often as they occur, but as one document for the table; ids may be null; other columns are not
@@ -120,9 +120,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     counts = stored(word_counts(source.select("row", "text")), "words")
     known, frequency, total = vocabulary(counts.where("word <> 0"), most)
     begun = counts.where("word = 0").agg(F.sum("n")).first()[0] or 1
-    found = pairs(source.select("row", "text"), known).repartition("pair")
+    found = pairs(source.select("row", "text"), known)
     # The smallest and largest row tell pairs of one document from others.
     table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("pair", "total")
+    table = stored(table, "pairs")
     met = found.join(table.withColumnRenamed("pair", "held"), F.col("pair") == F.col("held"), "left")
     hit = F.col("total").isNotNull()
     word = F.when(hit, F.shiftrightunsigned("pair", 16)).otherwise(F.col("pair").bitwiseAND(0xFFFF))
