@@ -1,10 +1,11 @@
 """Sums and means rounded to cents, the same on every run and partitioning.
 
 Adding doubles gives a result that depends on the order of the rows, and a mean
-that sits on half a cent then rounds either way. Here every double is split into
-its whole part and its millionths, both are added as 64-bit integers in
-the normal hash aggregate, and the rounding is one integer division per group.
-That is also several times faster than adding decimals.
+that sits on half a cent then rounds either way. Here every double is cut, by powers of two and so without
+loss, into its whole part and three runs of binary digits after the point. All four are added as 64-bit
+integers in the normal hash aggregate; only the total is rounded. Amounts of money are decimal numbers that
+doubles miss by a hair, so a total is first taken to the nearest billionth, where these hairs vanish and half a cent is
+half a cent again. Digits below 2**-83 are left out. That is also several times faster than adding decimals.
 """
 
 from __future__ import annotations
@@ -12,37 +13,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MILLION = 1_000_000
+# Binary digits after the point in each run.
+RUNS = {"upper": 26, "lower": 27, "rest": 30}
+UNIT = 2 ** (RUNS["upper"] + RUNS["lower"])
+BILLION = 10**9
 
-# Beyond this a double no longer resolves tenths, so cents mean nothing.
-EXACT_LIMIT = 9e15
+# A double from here on has no digits after the point that would matter, nor would their rounding.
+NO_CENTS = 4e15
+# A value from here on does not fit a 64-bit whole part.
+LARGEST = 9e18
 
 
-def whole_part(value: Column) -> Column:
-    return F.floor(value)
-
-
-def millionths(value: Column) -> Column:
-    return F.floor((value - F.floor(value)) * MILLION + 0.5)
+def _parts(value: Column) -> dict[str, Column]:
+    """The whole part, rounded down, and the runs of digits after the point; null unless finite and below `LARGEST`."""
+    kept = F.when(F.abs(value) < LARGEST, value)
+    parts = {"whole": F.floor(kept)}
+    left = kept - F.floor(kept)
+    for name, digits in RUNS.items():
+        left = left * float(2**digits)
+        parts[name] = F.floor(left)
+        left = left - F.floor(left)
+    return parts
 
 
 def exact_totals(name: str, value: Column) -> list[Column]:
     """Aggregates that describe a column exactly and can be added up again later."""
+    parts = _parts(value)
     return [
-        F.try_sum(whole_part(value)).alias(f"{name}_whole"),
-        F.try_sum(millionths(value)).alias(f"{name}_millionths"),
+        *(F.try_sum(part).alias(f"{name}_{run}") for run, part in parts.items()),
         F.sum(value).alias(f"{name}_float"),
         F.count(value).alias(f"{name}_count"),
+        F.count(parts["whole"]).alias(f"{name}_finite"),
     ]
 
 
 def merged_totals(name: str) -> list[Column]:
     """The same aggregates over rows that hold partial totals."""
+    summed = ("float", "count", "finite")
     return [
-        F.try_sum(f"{name}_whole").alias(f"{name}_whole"),
-        F.try_sum(f"{name}_millionths").alias(f"{name}_millionths"),
-        F.sum(f"{name}_float").alias(f"{name}_float"),
-        F.sum(f"{name}_count").alias(f"{name}_count"),
+        *(F.try_sum(f"{name}_{run}").alias(f"{name}_{run}") for run in ("whole", *RUNS)),
+        *(F.sum(f"{name}_{column}").alias(f"{name}_{column}") for column in summed),
     ]
 
 
@@ -53,28 +63,46 @@ def _cents(numerator: Column, denominator: Column) -> Column:
     return F.signum(numerator).cast("bigint") * cents / 100.0
 
 
-def _in_millionths(name: str) -> Column:
-    whole = F.col(f"{name}_whole").cast("decimal(19,0)")
-    return whole * MILLION + F.col(f"{name}_millionths").cast("decimal(19,0)")
+def _decimal(column: Column | int) -> Column:
+    return (F.lit(column) if isinstance(column, int) else column).cast("decimal(19,0)")
+
+
+def _in_billionths(name: str) -> Column:
+    """The total as an integer, to the nearest billionth."""
+    carried = F.shiftright(f"{name}_rest", RUNS["rest"])
+    fraction = _decimal(F.col(f"{name}_upper")) * _decimal(2 ** RUNS["lower"]) + _decimal(F.col(f"{name}_lower")) + _decimal(carried)
+    fraction = fraction.cast("decimal(37,0)")
+    over = _decimal(F.call_function("div", fraction, _decimal(UNIT)))
+    left = _decimal(fraction % _decimal(UNIT))
+    near = F.call_function("div", left * _decimal(2 * BILLION) + _decimal(UNIT), _decimal(2 * UNIT))
+    return ((_decimal(F.col(f"{name}_whole")) + over) * _decimal(BILLION) + _decimal(near)).cast("decimal(30,0)")
+
 
+def _total(name: str, denominator: Column) -> Column:
+    """The exact total over the denominator, rounded to cents.
 
-def _unless_float(name: str, exact: Column, approximate: Column) -> Column:
-    """Infinite, not-a-number and huge totals follow floating-point rules."""
-    total = F.col(f"{name}_float")
-    fits = F.col(f"{name}_whole").isNotNull() & F.col(f"{name}_millionths").isNotNull()
-    is_exact = fits & (F.abs(total) < EXACT_LIMIT)
-    return F.when(total.isNull(), None).when(is_exact, exact).otherwise(approximate)
+    Values that are infinite, not a number or beyond 64 bits follow floating-point rules.
+    """
+    billionths, approximate = _in_billionths(name), F.col(f"{name}_float")
+    exact = F.col(f"{name}_finite") == F.col(f"{name}_count")
+    for run in ("whole", *RUNS):
+        exact = exact & F.col(f"{name}_{run}").isNotNull()
+    small = F.abs(F.col(f"{name}_whole")) < NO_CENTS
+    cents = _cents(billionths, (denominator * _decimal(BILLION)).cast("decimal(30,0)"))
+    return (
+        F.when(approximate.isNull(), None)
+        .when(exact & small, cents)
+        .when(exact, F.round(billionths.cast("double") / float(BILLION) / denominator.cast("double"), 2))
+        .otherwise(F.round(approximate / denominator.cast("double"), 2))
+    )
 
 
 def rounded_sum(name: str) -> Column:
-    exact = _cents(_in_millionths(name), F.lit(MILLION).cast("decimal(19,0)"))
-    return _unless_float(name, exact, F.round(F.col(f"{name}_float"), 2))
+    return _total(name, _decimal(1))
 
 
 def rounded_mean(name: str) -> Column:
-    count = F.col(f"{name}_count")
-    exact = _cents(_in_millionths(name), count.cast("decimal(19,0)") * MILLION)
-    return _unless_float(name, exact, F.round(F.col(f"{name}_float") / count, 2))
+    return _total(name, _decimal(F.col(f"{name}_count")))
 
 
 def rounded_minutes(seconds: Column, count: Column) -> Column:

@@ -13,10 +13,6 @@ from datetime import datetime, timezone
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fareloom.config import DateWindow
-from fareloom.functions.scalars import in_window
 
 VERSION_PROPERTY = "published_version"
 
@@ -26,13 +22,18 @@ def qualified(*parts: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
 
 
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def new_run_id() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}_{uuid4().hex[:8]}"
 
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    at = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{at}")
+    at = f" LOCATION {literal(location)}" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {qualified(database)}{at}")
 
 
 def clustered(df: DataFrame, partition_by: str | None, cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -81,11 +82,17 @@ def replace_table(
     partition_by: str | None = None,
     cluster_by: Sequence[str] = (),
     run_id: str | None = None,
+    keep: int = 2,
 ) -> str:
-    """Create or replace a table from a query; running it again leaves the same rows."""
+    """Create or replace a table from a query; running it again leaves the same rows.
+
+    The newest `keep` versions stay stored, for readers that still hold the one before.
+    """
     run_id = run_id or new_run_id()
     write_version(df, database, table, run_id, partition_by, cluster_by)
-    return publish(df.sparkSession, database, table, run_id)
+    name = publish(df.sparkSession, database, table, run_id)
+    drop_old_versions(df.sparkSession, database, table, keep)
+    return name
 
 
 def published_version(spark: SparkSession, database: str, table: str) -> str:
@@ -97,7 +104,7 @@ def published_version(spark: SparkSession, database: str, table: str) -> str:
 def versions(spark: SparkSession, database: str, table: str) -> list[str]:
     """Run ids with a stored version of the table, oldest first."""
     prefix = f"{table}__"
-    names = [row["tableName"] for row in spark.sql(f"SHOW TABLES IN `{database}` LIKE '{prefix}*'").collect()]
+    names = [row["tableName"] for row in spark.sql(f"SHOW TABLES IN {qualified(database)} LIKE {literal(prefix + '*')}").collect()]
     return sorted(name[len(prefix) :] for name in names if name.startswith(prefix))
 
 
@@ -110,35 +117,10 @@ def drop_old_versions(spark: SparkSession, database: str, table: str, keep: int
     return old
 
 
-def overwrite_days(
-    df: DataFrame, database: str, table: str, partition_by: str, window: DateWindow, cluster_by: Sequence[str] = ()
-) -> None:
-    """Replace the day partitions of a window by the rows of `df`; other days are not touched.
-
-    The rows are written aside first, so a failure while computing them changes nothing. Days of
-    the window that no longer have rows lose their partition. The driver handles one string
-    per stored day for this, and no rows.
-    """
-    spark = df.sparkSession
-    target = qualified(database, f"{table}__{published_version(spark, database, table)}")
-    aside = write_version(df, database, f"{table}_days", new_run_id(), partition_by, cluster_by)
-    columns = spark.table(target).columns
-    rows = spark.table(aside).where(in_window(F.col(partition_by), window)).select(*columns)
-
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        clustered(rows, partition_by, cluster_by).write.mode("overwrite").insertInto(target)
-    finally:
-        spark.conf.set(setting, before)
-
-    for day in stored_days(spark, target, window) - stored_days(spark, aside, window):
-        spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION ({qualified(partition_by)} = DATE '{day}')")
-    spark.sql(f"DROP TABLE {aside}")
-
-
-def stored_days(spark: SparkSession, table: str, window: DateWindow) -> set[str]:
-    """The days of a window a table has a partition for, from the catalog alone."""
-    listed = (row["partition"].partition("=")[2] for row in spark.sql(f"SHOW PARTITIONS {table}").collect())
-    return {day for day in listed if window.first.isoformat() <= day <= window.last.isoformat()}
+def drop_unpublished(spark: SparkSession, database: str, tables: Sequence[str], run_id: str) -> None:
+    """Drop what a failed run has stored and not published."""
+    for table in tables:
+        if run_id in versions(spark, database, table):
+            public = spark.catalog.tableExists(qualified(database, table))
+            if not public or published_version(spark, database, table) != run_id:
+                spark.sql(f"DROP TABLE IF EXISTS {qualified(database, f'{table}__{run_id}')}")

@@ -1,11 +1,13 @@
 """The same results as plain SQL over the driver's tables, for an independent engine.
 
-Exact sums are taken here over whole millionths in one 128-bit integer, so this is not
+Exact sums are taken here over one 128-bit integer, so this is not
 a copy of how the Spark side adds up.
 """
 
 from __future__ import annotations
 
+from fareloom.config import TableNames
+
 RAW_BATCH = """
 SELECT pickup AS lpep_pickup_datetime,
        pickup + to_minutes((l_orderkey * 11 + l_linenumber) % 90 - 2) AS lpep_dropoff_datetime,
@@ -87,13 +89,24 @@ SELECT * EXCLUDE (n) FROM (
 """
 
 
+# The unit of exact sums, 2**-53; a double of at least 1 is a whole number of these.
+UNIT = 2**53
+
+
+def _cents(column: str, divisor: str) -> str:
+    """The sum of a column, to the nearest billionth, over a divisor in cents, half away from zero."""
+    units = f"sum(CAST({column} * {UNIT}.0 AS HUGEINT))"
+    billionths = f"(2000000000::HUGEINT * abs({units}) + {UNIT}::HUGEINT) // {2 * UNIT}::HUGEINT"
+    doubled = f"(200 * ({billionths}) + 1000000000::HUGEINT * {divisor}) // (2000000000::HUGEINT * {divisor})"
+    return f"sign({units}) * CAST({doubled} AS DOUBLE) / 100"
+
+
 def _mean(column: str) -> str:
-    units = f"sum(CAST(round({column} * 1000000) AS HUGEINT))"
-    return f"CAST((2 * {units} + count({column}) * 10000) // (2 * count({column}) * 10000) AS DOUBLE) / 100"
+    return _cents(column, f"count({column})")
 
 
 def _sum(column: str) -> str:
-    return f"CAST(round(sum(CAST({column} AS DECIMAL(18, 6))), 2) AS DOUBLE)"
+    return _cents(column, "1")
 
 
 SECONDS = "date_sub('second', pickup_datetime, dropoff_datetime)"
@@ -200,9 +213,13 @@ def all_sql() -> dict[str, str]:
     zone_of = "stg_trips", "daily_trip_summary"
     staged = f", '{zone_of[0]}' AS model"
     summary = f", '{zone_of[1]}' AS model"
-    tables = ("stg_green_taxi_batch", "int_green_taxi_trips", "mart_daily_taxi_summary")
+    names = TableNames()
+    tables = names.batch_staging, names.trips, names.daily_mart
     return {
-        "load_batch_staging": _with("SELECT *, CAST(lpep_pickup_datetime AS DATE) AS lpep_pickup_date FROM raw_batch"),
+        "load_batch_staging": _with(
+            'SELECT * REPLACE (CAST("PULocationID" AS BIGINT) AS "PULocationID", CAST("DOLocationID" AS BIGINT) AS "DOLocationID"), '
+            "CAST(lpep_pickup_datetime AS DATE) AS lpep_pickup_date FROM raw_batch"
+        ),
         "replace_table_rerun": _with("SELECT * FROM window_stream"),
         "layout_roundtrip": _with("SELECT * FROM unified"),
         "table_roundtrip": "SELECT count(*) AS row_count, TRUE AS dropped FROM events",
@@ -269,6 +286,11 @@ WHERE NOT EXISTS (SELECT 1 FROM raw_stream s WHERE s.pickup_location_id = b."PUL
   AND "PULocationID" IS NOT NULL
 GROUP BY 1"""),
         "incremental_daily": _with("SELECT * FROM daily"),
+        "incremental_monthly": _with("SELECT * FROM monthly"),
+        "fractional_amounts": _with(
+            f'SELECT "PULocationID", {_sum("share")} AS total_share, {_mean("share")} AS average_share '
+            'FROM (SELECT "PULocationID", total_amount / 7 AS share FROM raw_batch) GROUP BY 1'
+        ),
         "stream_ingest": _with("SELECT * FROM raw_stream"),
         "stream_ingest_validated": _with("SELECT * FROM raw_stream", raw_stream=VALIDATED_STREAM),
         "gated_publish": _with(
@@ -278,8 +300,9 @@ GROUP BY 1"""),
                 _gate("check_required_schema", _columns_of("int_trips"), "count(*)", "= 15", table_name=tables[1]),
                 _gate("check_invalid_values", "int_trips", _count_if(INVALID), "= 0", table_name=tables[1]),
                 _gate("check_duplicates", "int_trips", duplicates, "= 0", table_name=tables[1]),
-                _gate("check_stream_data_exists", "raw_stream", _count_if(IN_STREAM), "> 0", table_name=tables[1]),
+                _gate("check_stream_data_exists", "raw_stream", _count_if(IN_STREAM), "> 0", table_name=names.stream_staging),
                 _gate("check_mart_row_count", "daily", "count(*)", "> 0", table_name=tables[2]),
+                _gate("check_mart_row_count", "monthly", "count(*)", "> 0", table_name=names.monthly_mart),
             ),
             raw_stream=VALIDATED_STREAM,
         ),

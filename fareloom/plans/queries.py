@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fareloom.config import DateWindow, WarehouseConfig
 from fareloom.contracts import RAW_NAME, STREAM_SCHEMA, TRIP_CLUSTER
+from fareloom.functions.rounding import exact_totals, rounded_mean, rounded_sum
 from fareloom.functions.scalars import in_window
 from fareloom.operators import column_tests, gates
 from fareloom.operators.conform import (
@@ -91,7 +92,7 @@ def _monthly_files(spark: SparkSession, sf_dir: str) -> list[str]:
     folder = scratch_path(spark, "monthly")
     first = F.col(RAW_NAME["pickup_datetime"]).cast("date") < F.lit(SECOND_FILE)
     paths = [f"{folder}/first.parquet", f"{folder}/second.parquet"]
-    for path, rows in zip(paths, (raw.where(first), raw.where(~first))):
+    for path, rows in zip(paths, (raw.where(first), raw.where(~F.coalesce(first, F.lit(False))))):
         rows.write.parquet(path)
     return paths
 
@@ -247,17 +248,35 @@ def test_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incremental_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mart built before the late days arrived, brought up to date by rebuilding only these days."""
+def _rebuilt(spark: SparkSession, sf_dir: str) -> WarehouseConfig:
+    """Marts built before the late days arrived, brought up to date by rebuilding only these days."""
     config = _fresh_config(spark)
     database, names, full = config.database, config.tables, _trips(spark, sf_dir)
     early = spark.table(
         replace_table(full.where(~in_window(F.col("pickup_date"), LATE)), database, names.trips, "pickup_date")
     )
-    mart = replace_table(daily_mart(daily_totals(early)), database, names.daily_mart, "pickup_date", ("source_type",))
+    taxi_warehouse.publish_marts(spark, config, daily_totals(early), new_run_id(), lambda _, report: gates.require(report))
     replace_table(full, database, names.trips, "pickup_date", TRIP_CLUSTER)
     taxi_warehouse.rebuild_days(spark, config, LATE)
-    return spark.table(mart)
+    return config
+
+
+def incremental_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = _rebuilt(spark, sf_dir)
+    return spark.table(qualified(config.database, config.tables.daily_mart))
+
+
+def incremental_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = _rebuilt(spark, sf_dir)
+    return spark.table(qualified(config.database, config.tables.monthly_mart))
+
+
+def fractional_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and means of amounts whose digits go on for ever."""
+    raw = raw_batch(spark, sf_dir)
+    sevenths = exact_totals("share", F.col("total_amount") / 7)
+    grouped = raw.groupBy("PULocationID").agg(*sevenths)
+    return grouped.select("PULocationID", rounded_sum("share").alias("total_share"), rounded_mean("share").alias("average_share"))
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,6 +344,8 @@ def all_queries() -> dict[str, Query]:
         "test_declared": test_declared,
         "test_relationships": test_relationships,
         "incremental_daily": incremental_daily,
+        "incremental_monthly": incremental_monthly,
+        "fractional_amounts": fractional_amounts,
         "stream_ingest": stream_ingest,
         "stream_ingest_validated": stream_ingest_validated,
         "gated_publish": gated_publish,

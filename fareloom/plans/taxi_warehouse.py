@@ -6,7 +6,7 @@ leaves every published table as the last good run left it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -23,13 +23,12 @@ from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart
 from fareloom.operators.tables import (
     create_database,
     drop_old_versions,
+    drop_unpublished,
     new_run_id,
-    overwrite_days,
     publish,
     qualified,
     write_version,
 )
-from fareloom.session import sized_shuffle
 from fareloom.sources.files import read_files, stage_batch
 
 
@@ -71,56 +70,74 @@ def run(
         results.extend(GateResult(table, r["gate"], r["observed"], r["passed"]) for r in rows)
 
     create_database(spark, database, config.location)
-
-    raw = spark.table(stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id))
-    passed(
-        names.batch_staging,
-        gates.evaluate(raw, gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls")),
-    )
-    publish(spark, database, names.batch_staging, run_id)
-
-    stream = spark.table(qualified(database, names.stream_staging))
-    latest = trips(raw, stream, config, run_stamp)
-    with sized_shuffle(spark, latest):
+    stored = (names.batch_staging, names.trips, names.daily_totals, names.daily_mart, names.monthly_mart)
+    try:
+        # An empty stream costs one scan, not a transform.
+        stream = spark.table(qualified(database, names.stream_staging))
+        seen = gates.stream_rows(stream, config.stream_window)
+        passed(names.stream_staging, gates.evaluate(seen, gates.has_rows("check_stream_data_exists")))
+
+        raw = spark.table(stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id))
+        passed(
+            names.batch_staging,
+            gates.evaluate(raw, gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls")),
+        )
+        publish(spark, database, names.batch_staging, run_id)
+
+        latest = trips(raw, stream, config, run_stamp)
         trips_table = write_version(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER)
-    current = spark.table(trips_table)
-    passed(
-        names.trips,
-        gates.evaluate_columns(spark, "check_required_schema", trips_table),
-        gates.evaluate(current, gates.has_valid_values("check_invalid_values", config.rules)),
-        gates.evaluate(current, gates.has_unique_key("check_duplicates")),
-        gates.evaluate(
-            gates.stream_rows(stream, config.stream_window), gates.has_rows("check_stream_data_exists")
-        ),
-    )
-    publish(spark, database, names.trips, run_id)
-
-    totals_table = write_version(daily_totals(current), database, names.daily_totals, run_id)
-    totals = spark.table(totals_table)
-    daily = write_version(daily_mart(totals), database, names.daily_mart, run_id, "pickup_date", ("source_type",))
-    write_version(monthly_mart(totals), database, names.monthly_mart, run_id)
-    passed(names.daily_mart, gates.evaluate(spark.table(daily), gates.has_rows("check_mart_row_count")))
-    publish(spark, database, names.daily_mart, run_id)
-    publish(spark, database, names.monthly_mart, run_id)
-
-    spark.sql(f"DROP TABLE {totals_table}")
-    for table in (names.batch_staging, names.trips, names.daily_mart, names.monthly_mart):
+        current = spark.table(trips_table)
+        passed(
+            names.trips,
+            gates.evaluate_columns(spark, "check_required_schema", trips_table),
+            gates.evaluate(current, gates.has_valid_values("check_invalid_values", config.rules)),
+            gates.evaluate(current, gates.has_unique_key("check_duplicates")),
+        )
+        publish(spark, database, names.trips, run_id)
+
+        publish_marts(spark, config, daily_totals(current), run_id, passed)
+    except BaseException:
+        drop_unpublished(spark, database, stored, run_id)
+        raise
+    for table in stored:
         drop_old_versions(spark, database, table, config.kept_versions)
     return results
 
 
+def publish_marts(
+    spark: SparkSession, config: WarehouseConfig, totals: DataFrame, run_id: str, passed: Callable[..., None]
+) -> None:
+    """Store totals and both marts, check both marts, and publish all three.
+
+    A mart has a few rows a day, so it is stored as few files sorted by day, whose row-group statistics serve
+    day filters, and not as a folder per day.
+    """
+    names, database = config.tables, config.database
+    stored = spark.table(write_version(totals, database, names.daily_totals, run_id, None, ("pickup_date",)))
+    daily = write_version(daily_mart(stored), database, names.daily_mart, run_id, None, ("pickup_date", "source_type"))
+    monthly = write_version(monthly_mart(stored), database, names.monthly_mart, run_id, None, ("pickup_month", "source_type"))
+    passed(names.daily_mart, gates.evaluate(spark.table(daily), gates.has_rows("check_mart_row_count")))
+    passed(names.monthly_mart, gates.evaluate(spark.table(monthly), gates.has_rows("check_mart_row_count")))
+    for table in (names.daily_totals, names.daily_mart, names.monthly_mart):
+        publish(spark, database, table, run_id)
+
+
 def rebuild_days(spark: SparkSession, config: WarehouseConfig, window: DateWindow) -> None:
-    """Recompute the daily mart for the days of a window from the published trips.
+    """Bring both marts up to date with the published trips of the days of a window.
 
-    Only these days are read and only their partitions are written.
+    Only these days of the trips are read. Their totals join the stored totals of all other days in a new
+    version, from which both marts are made, checked and then published; until then, and
+    after a failure, readers see the marts as they were.
     """
-    published = spark.table(qualified(config.database, config.tables.trips))
-    days = published.where(in_window(F.col("pickup_date"), window))
-    overwrite_days(
-        daily_mart(daily_totals(days)),
-        config.database,
-        config.tables.daily_mart,
-        "pickup_date",
-        window,
-        ("source_type",),
-    )
+    names, database, run_id = config.tables, config.database, new_run_id()
+    inside = in_window(F.col("pickup_date"), window)
+    days = spark.table(qualified(database, names.trips)).where(inside)
+    others = spark.table(qualified(database, names.daily_totals)).where(~F.coalesce(inside, F.lit(False)))
+    stored = (names.daily_totals, names.daily_mart, names.monthly_mart)
+    try:
+        publish_marts(spark, config, others.unionByName(daily_totals(days)), run_id, lambda _, report: gates.require(report))
+    except BaseException:
+        drop_unpublished(spark, database, stored, run_id)
+        raise
+    for table in stored:
+        drop_old_versions(spark, database, table, config.kept_versions)

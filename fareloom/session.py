@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cache
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # UTC keeps `current_timestamp` and string casts the same on every host. The
-# advisory size is what adaptive execution aims at per task and per written file.
+# advisory size is what adaptive execution aims at per task and per written file. Every shuffle starts with
+# INITIAL_PARTITIONS partitions, which adaptive execution merges up to that size and never splits by itself:
+# 20,000 suit shuffles of up to 5 TB; raise it with the input (`cluster_settings`).
+INITIAL_PARTITIONS = 20_000
 SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(INITIAL_PARTITIONS),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,6 +22,11 @@ SETTINGS = {
 }
 
 
+def cluster_settings(initial_partitions: int = INITIAL_PARTITIONS) -> dict[str, str]:
+    """Settings of a cluster session whose largest shuffle is about `initial_partitions` times 256 MB."""
+    return {**SETTINGS, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial_partitions)}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -32,38 +39,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         # Test tables are tiny; without this one task would create all day files one by one.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
     )
-    for key, value in SETTINGS.items():
+    for key, value in cluster_settings(shuffle_partitions).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """What the optimizer expects a plan to read, after partition and column pruning."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def shuffle_partitions_for(stored: int, per_task: int = 256 * 2**20, growth: int = 3, most: int = 100_000) -> int:
-    """Shuffle partitions for stored bytes that grow when decoded to rows.
-
-    Adaptive execution merges partitions that turn out small, so too many cost little. Beyond
-    `most` the blocks between map and reduce tasks get too small to move well; partitions
-    then grow, and the sort-based operators spill.
-    """
-    return max(1, min(most, -(-stored * growth // per_task)))
-
-
-@contextmanager
-def sized_shuffle(spark: SparkSession, df: DataFrame) -> Iterator[None]:
-    """Raise the number of shuffle partitions, if need be, to suit what `df` reads."""
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, max(int(before), shuffle_partitions_for(planned_bytes(df))))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="fareloom-")
@@ -80,4 +60,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = _local_folder()
-    return f"{shared.rstrip('/')}/fareloom/{label}-{uuid4().hex}"
+    path = f"{shared.rstrip('/')}/fareloom/{label}-{uuid4().hex}"
+    _remove_at_exit(spark, path)
+    return path
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a scratch folder when it ends; a folder is only noted if it exists, so it is made."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder.getParent())
+    files.deleteOnExit(folder.getParent())

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fareloom.contracts import BATCH_CLUSTER, BATCH_DAY, RAW_NAME
 from fareloom.operators.tables import write_version
@@ -14,21 +16,23 @@ from fareloom.operators.tables import write_version
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All files as one table; columns that only some of them have are NULL elsewhere.
 
-    A path that does not exist is an error.
+    Files may hold a number in different widths: whole numbers are read as 64-bit integers and all others as doubles, and a
+    column that is whole in one file and not in another becomes a double. A path that does not exist is an error.
     """
-    return spark.read.option("mergeSchema", True).parquet(*paths)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hand the rows of a few large files to all cores.
-
-    A monthly file is often one row group, which a single task has to read, and all work up to
-    the next shuffle would stay in that task. Where the scan already has a task for every
-    second core, which any large table has, nothing is moved. Rows are dealt out by their position in the
-    file: copies of a row do not gather in one task, and a task that is run again deals the same way.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores, "_metadata.row_index")
+    files = [_widened(spark.read.parquet(path)) for path in paths]
+    fractional = {f.name for df in files for f in df.schema if isinstance(f.dataType, T.DoubleType)}
+    files = [
+        df.withColumns({f.name: F.col(f"`{f.name}`").cast("double") for f in df.schema if f.name in fractional and isinstance(f.dataType, T.LongType)})
+        for df in files
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
+
+
+def _widened(df: DataFrame) -> DataFrame:
+    whole, other = (T.ByteType, T.ShortType, T.IntegerType), (T.FloatType, T.DecimalType)
+    changes = {f.name: "bigint" for f in df.schema if isinstance(f.dataType, whole)}
+    changes |= {f.name: "double" for f in df.schema if isinstance(f.dataType, other)}
+    return df.withColumns({name: F.col(f"`{name}`").cast(kind) for name, kind in changes.items()})
 
 
 def stage_batch(raw: DataFrame, database: str, table: str, run_id: str) -> str:

@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 from fareloom.config import TripRules
 from fareloom.contracts import STREAM_SCHEMA
 from fareloom.operators.rules import broken_trip
-from fareloom.operators.tables import qualified
+from fareloom.operators.tables import clustered, literal, qualified
+
+# A hundred years: no file is too old to be new.
+OLDEST = "36500d"
+BATCH = "batch"
 
 
 def to_stream_contract(events: DataFrame) -> DataFrame:
@@ -35,31 +39,45 @@ def ingest_events(
 ) -> None:
     """Append the event files not yet seen to `target`, then stop.
 
-    The checkpoint and the file sink's own log make a restart or a second run add
-    nothing twice. Batches are bounded by bytes, so a long backlog is worked off in
-    steps that each commit. There is no state and no shuffle: events arrive by time, so the
-    files of a task fall into few days, and duplicates are resolved later by key.
+    A file is new if no run with this checkpoint has read it, however old it is: the age limit of the file source is set far
+    beyond any retention. Batches are bounded by bytes, so a long backlog is worked off in steps that each commit. Every
+    batch is written to a folder of its own, with its rows brought together by day, and written again from
+    scratch if it has to be repeated, so a restart or a second run adds nothing twice and files do not multiply
+    with tasks. There is no state; duplicates are resolved later by key.
     """
-    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).option("maxFileAge", OLDEST)
     query = (
-        to_stream_contract(prepare(events))
-        .writeStream.format("parquet")
-        .partitionBy("pickup_date")
-        .option("path", target)
+        to_stream_contract(prepare(reader.parquet(source)))
+        .writeStream.foreachBatch(lambda batch, number: _write_batch(batch, f"{target}/{BATCH}={number}"))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
+def _write_batch(batch: DataFrame, folder: str) -> None:
+    writer = clustered(batch, "pickup_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy("pickup_date").parquet(folder)
+
+
 def read_staged(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(STREAM_SCHEMA).parquet(target)
+    days = T.StructType([*STREAM_SCHEMA.fields, T.StructField(BATCH, T.LongType())])
+    return spark.read.schema(days).parquet(target).select(*STREAM_SCHEMA.names)
 
 
 def register_staged(spark: SparkSession, database: str, table: str, target: str) -> str:
-    """Give the staged files a table name."""
-    name = qualified(database, table)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{target}`")
+    """Give the staged files a table name; without any event the table is there and empty."""
+    name, files = qualified(database, table), qualified(database, f"{table}__files")
+    columns = ", ".join(f"{qualified(f.name)} {f.dataType.simpleString()}" for f in STREAM_SCHEMA.fields)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {files}")
+    spark.sql(
+        f"CREATE TABLE {files} ({columns}, {BATCH} BIGINT) USING parquet PARTITIONED BY ({BATCH}, pickup_date) "
+        f"LOCATION {literal(target)}"
+    )
+    spark.sql(f"ALTER TABLE {files} RECOVER PARTITIONS")
+    names = ", ".join(map(qualified, STREAM_SCHEMA.names))
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {names} FROM {files}")
     return name

@@ -147,3 +147,22 @@ def test_partitioning_does_not_change_the_result(spark):
 def test_minutes(spark, seconds, count, minutes):
     got = one(spark, rounded_minutes(F.col("s"), F.col("c")), "s bigint, c bigint", seconds, count)
     assert got == minutes
+
+
+def both(df):
+    return tuple(df.agg(*exact_totals("x", F.col("x"))).select(rounded_sum("x"), rounded_mean("x")).first())
+
+
+def test_no_digit_is_cut(spark):
+    thirds = spark.range(100_000).select((F.lit(1.0) / 3).alias("x"))
+    assert both(thirds) == (33333.33, 0.33)
+    tiny = spark.range(1000).select(F.lit(1e-5).alias("x"))
+    assert both(tiny) == (0.01, 0.0)
+
+
+def test_large_totals_do_not_depend_on_partitions(spark):
+    values = [(9.1e15 + i * 3.0,) for i in range(50)] + [(0.1 * i,) for i in range(200)] + [(-7.3e12,)]
+    df = spark.createDataFrame(values, "x double")
+    assert len({both(df.repartition(n)) for n in (1, 3, 16)}) == 1
+    assert both(df)[0] == round(math.fsum(v for v, in values), 2)
+    assert both(spark.createDataFrame([(1e300,), (1.0,)], "x double")) == (1e300, 5e299)

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from fareloom.oracle import all_sql
+from fareloom.plans import queries
+from fareloom.sources.files import read_files
 from fareloom.contracts import STREAM_SCHEMA, TRIP_SCHEMA, ZONE_TRIP_SCHEMA
 from fareloom.operators.gates import QualityGateError
 from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart, zone_summary
@@ -15,6 +18,7 @@ from fareloom.plans.zone_summary import run_direct, run_models
 from fareloom.sources.inline import example_trips, inline_rows
 from fareloom.streaming.ingest import ingest_events, register_staged
 
+FOLDER = "/root/testdata/sf0.001"
 STAMP = datetime(2025, 8, 1)
 EXAMPLE_RESULT = [
     (date(2026, 7, 1), 1, 2, 37.5),
@@ -112,8 +116,8 @@ def inputs(spark, raw, event, config, tmp_path):
 
 def test_a_run_publishes_every_layer(spark, config, inputs):
     results = taxi_warehouse.run(spark, config, inputs, STAMP)
-    assert [r.gate for r in results][:2] == ["check_batch_row_count", "check_batch_required_nulls"]
-    assert len(results) == 7 and all(r.passed for r in results)
+    assert [r.gate for r in results][:2] == ["check_stream_data_exists", "check_batch_row_count"]
+    assert len(results) == 8 and all(r.passed for r in results)
     table = lambda name: spark.table(qualified(config.database, name))
     trips = table(config.tables.trips)
     assert set(trips.columns) == set(TRIP_SCHEMA.names)
@@ -134,7 +138,7 @@ def test_running_again_leaves_the_same_rows(spark, config, inputs):
         seen.append([rows(spark.table(qualified(config.database, n))) for n in names])
     assert seen[0] == seen[1] == seen[2]
     assert len(versions(spark, config.database, config.tables.trips)) == config.kept_versions
-    assert versions(spark, config.database, config.tables.daily_totals) == []
+    assert len(versions(spark, config.database, config.tables.daily_totals)) == config.kept_versions
 
 
 def test_a_failing_staging_gate_publishes_nothing(spark, config, inputs, raw, tmp_path):
@@ -144,6 +148,7 @@ def test_a_failing_staging_gate_publishes_nothing(spark, config, inputs, raw, tm
         taxi_warehouse.run(spark, config, [*inputs, bad], STAMP)
     assert not spark.catalog.tableExists(qualified(config.database, config.tables.batch_staging))
     assert versions(spark, config.database, config.tables.trips) == []
+    assert versions(spark, config.database, config.tables.batch_staging) == []
 
 
 def test_a_failing_trip_gate_keeps_the_old_tables(spark, config, inputs, event, tmp_path):
@@ -156,6 +161,7 @@ def test_a_failing_trip_gate_keeps_the_old_tables(spark, config, inputs, event,
         taxi_warehouse.run(spark, config, inputs, datetime(2025, 9, 1))
     assert rows(spark.table(qualified(config.database, config.tables.trips))) == before
     assert len(versions(spark, config.database, config.tables.daily_mart)) == 1
+    assert len(versions(spark, config.database, config.tables.trips)) == 1
 
 
 def test_no_stream_rows_in_the_window_stop_the_run(spark, config, inputs, event, tmp_path):
@@ -167,8 +173,23 @@ def test_no_stream_rows_in_the_window_stop_the_run(spark, config, inputs, event,
         taxi_warehouse.run(spark, config, inputs, STAMP)
 
 
+def test_an_empty_stream_stops_the_run_by_name(spark, config, inputs, tmp_path):
+    register_staged(spark, config.database, config.tables.stream_staging, str(tmp_path / "nothing"))
+    with pytest.raises(QualityGateError, match="check_stream_data_exists"):
+        taxi_warehouse.run(spark, config, inputs, STAMP)
+    assert versions(spark, config.database, config.tables.batch_staging) == []
+
+
+def test_unknown_pickups_reach_their_gate_through_the_monthly_files(spark, monkeypatch):
+    found = queries.raw_batch(spark, FOLDER).limit(5)
+    unknown = found.withColumn("lpep_pickup_datetime", F.lit(None).cast("timestamp_ntz"))
+    monkeypatch.setattr(queries, "raw_batch", lambda *_: found.unionByName(unknown))
+    df = read_files(spark, queries._monthly_files(spark, FOLDER))
+    assert df.count() == 10 and df.where("lpep_pickup_datetime IS NULL").count() == 5
+
+
 def test_every_query_has_a_query_of_the_other_engine():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(queries.all_queries()) == set(all_sql())
 
 
 def test_flagship_query(spark):

@@ -3,32 +3,25 @@
 import pytest
 
 from fareloom import session
-
-
-def test_partitions_follow_the_input_up_to_a_limit():
-    mib = 2**20
-    assert session.shuffle_partitions_for(0) == 1
-    assert session.shuffle_partitions_for(256 * mib) == 3
-    assert session.shuffle_partitions_for(256 * mib + 1) == 4
-    assert session.shuffle_partitions_for(100 * 2**40) == 100_000
-
-
-def test_planned_bytes_follow_the_files(spark, raw, tmp_path):
-    raw(*[{}] * 200).write.parquet(str(tmp_path / "one"))
-    df = spark.read.parquet(str(tmp_path / "one"))
-    stored = sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet"))
-    assert session.planned_bytes(df) == stored
-    assert session.planned_bytes(df.union(df)) == 2 * stored
-
-
-def test_shuffle_is_only_ever_raised_and_set_back(spark, monkeypatch):
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    for size, expected in [(0, before), (2**30, "12")]:
-        monkeypatch.setattr(session, "planned_bytes", lambda df, size=size: size)
-        with session.sized_shuffle(spark, None):
-            assert spark.conf.get(setting) == expected
-        assert spark.conf.get(setting) == before
+from fareloom.plans.queries import all_queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_one_setting_sizes_every_shuffle(spark, capsys):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert session.SETTINGS[key] == str(session.INITIAL_PARTITIONS)
+    assert session.cluster_settings(7)[key] == "7"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "37")
+    try:
+        for name in ("check_duplicates", "int_trips"):
+            capsys.readouterr()
+            all_queries()[name](spark, FOLDER).explain()
+            assert "hashpartitioning(trip_id" in (plan := capsys.readouterr().out)
+            assert ", 37)" in plan[plan.index("hashpartitioning(trip_id") :][:60]
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_scratch_lies_in_the_shared_folder(spark):

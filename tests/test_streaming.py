@@ -1,12 +1,14 @@
 """Bounded stream ingestion."""
 
+import os
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from fareloom.config import TripRules
 from fareloom.contracts import STREAM_SCHEMA
-from fareloom.streaming.ingest import ingest_events, read_staged, register_staged, without_broken
+from fareloom.streaming.ingest import _write_batch, ingest_events, read_staged, register_staged, without_broken
 
 
 def ingest(spark, tmp_path, **options):
@@ -89,3 +91,31 @@ def test_staged_files_become_a_table_with_pruned_days(spark, event, tmp_path, co
     july.explain()
     assert "PartitionFilters: [isnotnull(pickup_date" in capsys.readouterr().out
     assert [r["event_id"] for r in july.collect()] == ["b"]
+
+
+def test_old_files_are_new_too(spark, event, tmp_path):
+    def add(name, days_old):
+        event({"event_id": name}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        path = max((p for p in (tmp_path / "in").glob("*.parquet")), key=lambda p: p.stat().st_ctime_ns)
+        os.utime(path, (time.time() - days_old * 86400,) * 2)
+
+    add("now", 0)
+    ingest(spark, tmp_path)
+    add("ten days", 10)
+    add("ten years", 3650)
+    ingest(spark, tmp_path)
+    ingest(spark, tmp_path)
+    assert ids(spark, tmp_path) == ["now", "ten days", "ten years"]
+
+
+def test_files_do_not_multiply_with_tasks(spark, event, tmp_path):
+    event(*({"event_id": f"e{i}", "pickup_date": date(2025, 6, 1 + i % 2)} for i in range(40))).repartition(8).write.parquet(str(tmp_path / "in"))
+    ingest(spark, tmp_path)
+    assert len(list((tmp_path / "out").glob("batch=*/pickup_date=*/*.parquet"))) <= 4
+    assert len(ids(spark, tmp_path)) == 40
+
+
+def test_a_repeated_batch_adds_nothing(spark, event, tmp_path):
+    for _ in range(2):
+        _write_batch(event({"event_id": "a"}), str(tmp_path / "out" / "batch=0"))
+    assert ids(spark, tmp_path) == ["a"]

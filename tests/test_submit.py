@@ -31,6 +31,6 @@ def test_files_and_events_become_marts(spark, raw, event, config, tmp_path, caps
         + ["--events", str(tmp_path / "events"), "--stream", str(tmp_path / "stream")]
         + ["--progress", str(tmp_path / "progress")]
     )
-    assert capsys.readouterr().out.count("passed") == 7
+    assert capsys.readouterr().out.count("passed") == 8
     mart = spark.table(qualified(config.database, config.tables.daily_mart))
     assert sorted(r["pickup_date"] for r in mart.collect()) == [date(2025, 4, 10), date(2025, 5, 2), date(2025, 6, 10)]

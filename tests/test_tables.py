@@ -8,10 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fareloom.config import DateWindow
-from fareloom.operators import tables
-from fareloom.operators.marts import daily_mart, daily_totals
+from fareloom.operators import gates, tables
+from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart
 from fareloom.plans import taxi_warehouse
-from fareloom.sources.files import read_files, spread, stage_batch
+from fareloom.sources.files import read_files, stage_batch
 
 
 def values(df, column="v"):
@@ -109,24 +109,24 @@ def test_a_hot_day_is_split_over_several_tasks(spark, config):
     assert spark.table(name).count() == 300_000
 
 
-def test_only_the_window_is_rewritten(spark, config):
-    name = tables.replace_table(days(spark, [(1, 1), (2, 2), (3, 3), (4, 4)]), config.database, "t", "d")
-    before = set(glob.glob(f"{config.location}/t__*/d=*/*.parquet"))
-    window = DateWindow(date(2025, 6, 2), date(2025, 6, 3))
-    tables.overwrite_days(days(spark, [(2, 20), (2, 21), (4, 99)]), config.database, "t", "d", window)
-    # Day 2 is replaced, day 3 has no rows any more, days 1 and 4 lie outside the window.
-    assert values(spark.table(name)) == [1, 4, 20, 21]
-    after = set(glob.glob(f"{config.location}/t__*/d=*/*.parquet"))
-    assert {f for f in before if "d=2025-06-01" in f or "d=2025-06-04" in f} <= after
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").upper() == "STATIC"
+def test_versions_stay_bounded_and_failed_ones_go(spark, config):
+    for _ in range(4):
+        tables.replace_table(days(spark, [(1, 1)]), config.database, "t", "d")
+    assert len(tables.versions(spark, config.database, "t")) == 2
+    published = tables.published_version(spark, config.database, "t")
+    tables.write_version(days(spark, [(1, 2)]), config.database, "t", "failed")
+    for run_id in ("failed", published, "unknown"):
+        tables.drop_unpublished(spark, config.database, ("t", "none"), run_id)
+    assert "failed" not in tables.versions(spark, config.database, "t")
+    assert tables.published_version(spark, config.database, "t") == published
 
 
-def test_a_failing_rebuild_changes_nothing(spark, config):
-    name = tables.replace_table(days(spark, [(1, 1)]), config.database, "t", "d")
-    broken = days(spark, [(1, 1)]).withColumn("v", F.raise_error("broken").cast("int"))
-    with pytest.raises(Exception, match="broken"):
-        tables.overwrite_days(broken, config.database, "t", "d", DateWindow(date(2025, 6, 1), date(2025, 6, 30)))
-    assert values(spark.table(name)) == [1]
+def test_quotes_in_names_and_paths(spark, tmp_path):
+    name, place = "odd_base", str(tmp_path / "it's here")
+    tables.create_database(spark, name, place)
+    table = tables.replace_table(days(spark, [(1, 1)]), name, "t", "d")
+    assert values(spark.table(table)) == [1]
+    spark.sql(f"DROP DATABASE {tables.qualified(name)} CASCADE")
 
 
 def test_rebuilt_days_equal_a_full_build(spark, config, trip):
@@ -139,12 +139,46 @@ def test_rebuilt_days_equal_a_full_build(spark, config, trip):
     old = trip(on(1), on(2, trip_id="a"), on(3, trip_id="b"))
     new = trip(on(1), on(2, trip_id="a"), on(2, trip_id="c", total_amount=1.0))
     published = spark.table(tables.replace_table(old, config.database, names.trips, "pickup_date"))
-    mart = tables.replace_table(daily_mart(daily_totals(published)), config.database, names.daily_mart, "pickup_date")
+    accept = lambda _, report: gates.require(report)
+    taxi_warehouse.publish_marts(spark, config, daily_totals(published), tables.new_run_id(), accept)
+    window = DateWindow(date(2025, 6, 2), date(2025, 6, 30))
+    marts = [tables.qualified(config.database, n) for n in (names.daily_mart, names.monthly_mart)]
+    seen = lambda: [sorted(spark.table(m).collect(), key=str) for m in marts]
+    before = seen()
     tables.replace_table(new, config.database, names.trips, "pickup_date")
-    taxi_warehouse.rebuild_days(spark, config, DateWindow(date(2025, 6, 2), date(2025, 6, 30)))
-    expected = daily_mart(daily_totals(new))
-    columns = expected.columns
-    assert sorted(spark.table(mart).select(columns).collect()) == sorted(expected.collect())
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    for step in ("publish", "write_version"):
+        with pytest.MonkeyPatch.context() as patch, pytest.raises(RuntimeError, match="crash"):
+            patch.setattr(taxi_warehouse, step, crash)
+            taxi_warehouse.rebuild_days(spark, config, window)
+        assert seen() == before
+        assert len(tables.versions(spark, config.database, names.daily_mart)) == 1
+    taxi_warehouse.rebuild_days(spark, config, window)
+    wanted = [daily_mart(daily_totals(new)), monthly_mart(daily_totals(new))]
+    assert seen() == [sorted(w.collect(), key=str) for w in wanted]
+
+
+def test_a_rebuild_that_leaves_no_rows_fails_its_gate(spark, config, trip):
+    names = config.tables
+    tables.replace_table(trip({}), config.database, names.trips, "pickup_date")
+    accept = lambda _, report: gates.require(report)
+    taxi_warehouse.publish_marts(spark, config, daily_totals(trip({})), tables.new_run_id(), accept)
+    tables.replace_table(trip({}).limit(0), config.database, names.trips, "pickup_date")
+    with pytest.raises(gates.QualityGateError, match="check_mart_row_count"):
+        taxi_warehouse.rebuild_days(spark, config, DateWindow(date(2025, 1, 1), date(2025, 12, 31)))
+    assert spark.table(tables.qualified(config.database, names.daily_mart)).count() == 1
+
+
+def test_a_day_filter_reaches_the_sorted_mart(spark, config, trip, capsys):
+    accept = lambda _, report: gates.require(report)
+    taxi_warehouse.publish_marts(spark, config, daily_totals(trip({})), "run", accept)
+    assert not glob.glob(f"{config.location}/{config.tables.daily_mart}__run/*=*")
+    capsys.readouterr()
+    spark.table(tables.qualified(config.database, config.tables.daily_mart)).where("pickup_date = DATE '2025-06-10'").explain()
+    assert "PushedFilters: [IsNotNull(pickup_date), EqualTo(pickup_date" in capsys.readouterr().out
 
 
 def test_files_with_different_columns_load_together(spark, raw, tmp_path):
@@ -172,13 +206,12 @@ def test_staging_is_partitioned_by_pickup_day(spark, raw, config):
     assert found == {"2025-04-10", "2025-05-02", "__HIVE_DEFAULT_PARTITION__"}
 
 
-def test_rows_are_spread_only_if_the_scan_has_too_few_tasks(spark, tmp_path):
-    cores = spark.sparkContext.defaultParallelism
-    copies = spark.range(0, 1000, numPartitions=1).select(F.lit(7).alias("k"))
-    copies.write.parquet(str(tmp_path / "one"))
-    few = spread(spark.read.parquet(str(tmp_path / "one")))
-    assert few.rdd.getNumPartitions() == cores and few.columns == ["k"]
-    per_task = few.groupBy(F.spark_partition_id()).count().collect()
-    assert len(per_task) == cores and sum(r["count"] for r in per_task) == 1000
-    many = copies.repartition(cores)
-    assert spread(many) is many
+def test_differing_widths_load_together(spark, raw, tmp_path):
+    narrow = raw({}).withColumn("passenger_count", F.lit(2).cast("short")).drop("tolls_amount")
+    narrow.withColumn("fare_amount", F.lit(7.5).cast("float")).write.parquet(str(tmp_path / "one"))
+    wide = raw({"PULocationID": 20}).withColumn("PULocationID", F.col("PULocationID").cast("bigint"))
+    wide.write.parquet(str(tmp_path / "two"))
+    df = read_files(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    kinds = dict(df.dtypes)
+    assert (kinds["PULocationID"], kinds["passenger_count"], kinds["fare_amount"]) == ("bigint", "double", "double")
+    assert sorted((r["PULocationID"], r["fare_amount"], r["passenger_count"]) for r in df.collect()) == [(10, 7.5, 2.0), (20, 12.0, 2.0)]
