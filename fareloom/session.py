@@ -60,15 +60,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = _local_folder()
-    path = f"{shared.rstrip('/')}/fareloom/{label}-{uuid4().hex}"
-    _remove_at_exit(spark, path)
-    return path
+    own = f"{shared.rstrip('/')}/fareloom/{spark.sparkContext.applicationId}"
+    _remove_at_exit(spark, own)
+    return f"{own}/{label}-{uuid4().hex}"
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the driver remove a scratch folder when it ends; a folder is only noted if it exists, so it is made."""
+    """Have the driver remove its own scratch folder when it ends; the folder has to exist to be noted."""
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/")
+    folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(folder.getParent())
-    files.deleteOnExit(folder.getParent())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
