@@ -13,7 +13,7 @@ pair; the join partitions table and documents by the same hash, and Spark may sp
 documents have. What is left is one number per pair and document, summed per document.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
-mean; repeated rows count as often as they occur, but as one document for the table; ids may be null; other columns are not
+mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
 looked at.
 """
 
@@ -121,8 +121,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     known, frequency, total = vocabulary(counts.where("word <> 0"), most)
     begun = counts.where("word = 0").agg(F.sum("n")).first()[0] or 1
     found = pairs(source.select("row", "text"), known)
-    # The smallest and largest row tell pairs of one document from others.
-    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").select("pair", "total")
+    # A document gives a pair once, so the rows of a pair are its documents.
+    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1").select("pair", "total")
     table = stored(table, "pairs")
     met = found.join(table.withColumnRenamed("pair", "held"), F.col("pair") == F.col("held"), "left")
     hit = F.col("total").isNotNull()

@@ -17,11 +17,11 @@ def brute_force(rows, most, alpha=L.ALPHA):
     name = lambda w: w if counts[w] >= least else None
     seen, owners, single = Counter(), defaultdict(set), Counter()
     lists = [[name(w) for w in words] for words in split]
-    for (i, t), words in zip(rows, lists):
+    for row, words in enumerate(lists):
         single.update(words)
         for pair in zip(["<s>", *words], words):
             seen[pair] += 1
-            owners[pair].add((i, t))
+            owners[pair].add(row)
     single["<s>"] = sum(bool(w) for w in lists)
     out = []
     for (i, _), words in zip(rows, lists):
