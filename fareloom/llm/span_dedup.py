@@ -10,7 +10,7 @@ graph, the words from one anchor to the end of the next are its edges.
    out of its node and the only one into the next, the path does not branch, and consecutive anchors of a document become one
    path. Every occurrence of a part of a path lies in an occurrence of the whole path, so one
    decision holds for all windows inside it.
-3. The documents give, from their own words, a 128-bit hash of each path and of each window that has a repeated anchor but
+3. The documents give, from their own words, a 96-bit hash of each path and of each window that has a repeated anchor but
    lies in no path. The smallest coordinate (id, text, start) of each hash is the source; all other spans are removed.
 
 Words are runs of anything but ASCII white space. Defined results: null and empty texts have no words; repeated rows count as
@@ -141,11 +141,11 @@ def spans(met: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append((whole[0][at], whole[1][at], np.full(len(at), width), np.full(len(at), n), loose))
             if out:
                 h1, h2, size, row, start = (np.concatenate(c) for c in zip(*out, strict=True))
-                columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))]
+                columns = [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "size", "id", "copy", "start"])
 
     kind = met.schema["id"].dataType.simpleString()
-    return met.mapInArrow(run, f"h1 long, h2 long, size int, id {kind}, copy long, start int")
+    return met.mapInArrow(run, f"h1 long, h2 int, size int, id {kind}, copy long, start int")
 
 
 def later(found: DataFrame) -> DataFrame:
