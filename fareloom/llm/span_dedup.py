@@ -85,10 +85,11 @@ def nodes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def repeated(found: DataFrame) -> DataFrame:
     """Occurrences (id, copy, pos, left, right) of nodes that occur twice or more; left and right: that edge is the only one."""
-    often = found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    # Stored, the counted side has a shuffle of its own, and Spark can split the rows of a frequent node in the join.
+    often = stored(found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated-nodes")
     again = stored(found.join(often, "node"), "repeated-anchors")
     only = lambda edge: (F.min(edge) == F.max(edge)) & (F.min(edge) != 0)
-    shape = again.groupBy("node").agg(only("edge_in").alias("left"), only("edge_out").alias("right"))
+    shape = stored(again.groupBy("node").agg(only("edge_in").alias("left"), only("edge_out").alias("right")), "node-shapes")
     return again.join(shape, "node").select("id", "copy", "pos", "left", "right")
 
 
