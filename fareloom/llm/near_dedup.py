@@ -7,10 +7,10 @@ few darts per coordinate, and keeps the earliest dart of each. Two texts keep th
 the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands; texts that share a band are candidates. Exact copies are put together first, by digest.
-In a band's bucket all texts are compared with a first leader, those without a link with the next few leaders, and so on in
-growing steps until each one has a link or has met every other text of the bucket; no group is turned into all its
-pairs. Pairs whose signatures agree too little to be similar are set aside, for the others the similarity is computed
-from the texts. Links of at least `SIMILARITY` make classes; the class is named by its smallest document id.
+In a band's bucket all texts are compared with the one that shares most buckets with others, the leader. Texts with no link to
+it are compared with all texts that have the same leader, as packs of texts against blocks of texts inside a task, so that only links
+come out; no group is turned into all its pairs. Signatures that agree too little to be similar are set aside, for the
+others the similarity is computed from the texts. Links of at least `SIMILARITY` make classes; the class is named by its smallest document id.
 
 Words are separated by white space and not changed. Defined results: texts of one to four words are one shingle;
 texts without words only join equal texts; a null text is a class of its own; repeated rows count as one document and are
@@ -20,7 +20,6 @@ in one class; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +33,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-# A pair at the limit has 100 equal coordinates of 125 on average, with a deviation of 4.5; 60 are 9 deviations less.
-LEAST_EQUAL = 60
-LEADERS = 4
+# A pair at the limit has 100 equal coordinates of 125 on average, with a deviation of 4.5; 75 are 5.6 deviations less.
+LEAST_EQUAL = 75
+# Texts without a link, and texts they are compared with, in one task's step.
+PACK, BLOCK = 32, 128
 # Rank intervals: from 0 to 1/64, then each as long as all before it.
 _EDGES = np.array([0.0, *(2.0 ** np.arange(-6, 20))])
 _DARTS = COORDINATES * (np.log(COORDINATES) + 4)
@@ -167,8 +167,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if last is None or last[0] != node:
                     last = node, regions(part.column(2).slice(n, 1))[0]
                 other = keys[rows[n] : rows[n + 1]]
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(common >= SIMILARITY * (len(last[1]) + len(other) - common) - 1e-9)
+                keep.append(_reaches(last[1], other))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sides = [texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab"]
@@ -176,31 +175,65 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _loose_links(groups: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of the texts that have none to their leader, with all texts of that leader.
+
+    `groups` has leader, node and linked. Texts go to packs and blocks by their hash; each pack meets each block of its leader.
+    """
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("loose > 0 AND size > 1")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            found, rows = regions(part.column(1))
+            packed = [np.sort(found[a:b]).tobytes() for a, b in zip(rows.tolist(), rows[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["node", "keys"])
+
+    wanted = groups.join(sizes, "leader")
+    details = texts.join(wanted.select("node").distinct(), "node").select("node", "text").mapInArrow(keys, "node binary, keys binary")
+    details = stored(details.join(nodes.select("node", "sketch"), "node"), "group-texts")
+    full = wanted.join(details, "node").withColumn("item", F.struct("node", "sketch", "keys"))
+    turn = lambda count, most: F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / most))
+    blocks = full.groupBy("leader", turn("size", BLOCK).alias("block")).agg(F.collect_list("item").alias("block_items"))
+    packs = full.where("NOT linked").groupBy("leader", turn("loose", PACK).alias("pack")).agg(F.collect_list("item").alias("pack_items"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                pack, block = (batch.column(c)[n].as_py() for c in (0, 1))
+                marks = [np.frombuffer(b"".join(i["sketch"] for i in side), np.uint8).reshape(-1, COORDINATES) for side in (pack, block)]
+                sets = [np.frombuffer(i["keys"], np.uint64) for i in block]
+                found = []
+                for item, mark in zip(pack, marks[0], strict=True):
+                    mine = np.frombuffer(item["keys"], np.uint64)
+                    for j in np.flatnonzero((marks[1] == mark).sum(1) >= LEAST_EQUAL).tolist():
+                        if block[j]["node"] != item["node"] and _reaches(mine, sets[j]):
+                            found.append((item["node"], block[j]["node"]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return packs.join(blocks, "leader").select("pack_items", "block_items").mapInArrow(compare, "a binary, b binary")
+
+
+def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) for similar different texts, enough of them to connect every text with its class."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(buckets.join(shared, "bucket").withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))), "buckets")
-    involved = members.select("node").distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(buckets.join(shared, "bucket"), "buckets")
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = members.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), "node"))["node"].alias("leader"))
+    groups = stored(members.select("bucket", "node").join(leaders, "bucket").where("node <> leader").select("leader", "node").distinct(), "groups")
+    involved = groups.select("node").unionByName(groups.select(F.col("leader").alias("node"))).distinct()
     texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(involved, "node").dropDuplicates(["node"])
     texts = stored(texts, "candidate-texts")
-    found, seen, todo = [], None, members
-    low, high = 0, 1
-    while True:
-        leaders = members.where((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", F.col("node").alias("a"))
-        if leaders.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct() if found else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        met = stored(todo.withColumnRenamed("node", "b").join(leaders, "bucket").where("a <> b").select("bucket", "a", "b"), "met")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        found.append(stored(_similar(stored(_agreeing(fresh, nodes), "agreeing"), texts), "links"))
-        linked = reduce(DataFrame.unionByName, found)
-        either = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = met.join(either, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")).distinct()
-        todo = stored(todo.join(settled, ["bucket", "node"], "left_anti"), "open")
-        low, high = high, high * LEADERS
+    pairs = groups.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    first = stored(_similar(stored(_agreeing(pairs, nodes), "agreeing"), texts), "links")
+    linked = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
+    groups = stored(groups.join(linked, ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "groups")
+    return first.unionByName(stored(_loose_links(groups, texts, nodes), "links")).distinct()
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
