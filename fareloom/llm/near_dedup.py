@@ -10,7 +10,8 @@ Signatures are cut into bands; texts that share a band are candidates. Exact cop
 In a band's bucket all texts are compared with the one that shares most buckets with others, the leader. Texts with no link to
 it are compared with all texts that have the same leader, as packs of texts against blocks of texts inside a task, so that only links
 come out; no group is turned into all its pairs. Signatures that agree too little to be similar are set aside, for the
-others the similarity is computed from the texts. Links of at least `SIMILARITY` make classes; the class is named by its smallest document id.
+others the similarity is computed from the texts. Links of at least `SIMILARITY` make classes; a class has its smallest document id
+and, as ids can be null or repeated, the smallest digest of its texts as a name.
 
 Words are separated by white space and not changed. Defined results: texts of one to four words are one shingle;
 texts without words only join equal texts; a null text is a class of its own; repeated rows count as one document and are
@@ -237,7 +238,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class) and class_size (documents in it)."""
+    """One row per document: id, class_id (the smallest id of its class), class_size (documents in it) and class_name.
+
+    The name is the smallest digest of the class's texts, as classes of repeated or null ids can share a class_id; a null
+    text, a class of its own, has none.
+    """
     source = keyed(docs, id_col, text_col)
     return _classified(source, stored(sign(source), "signatures"), id_col)
 
@@ -245,18 +250,22 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _classified(source: DataFrame, signed: DataFrame, id_col: str) -> DataFrame:
     named = _classes(source, signed)
     rows = signed.select("id", "node").join(named, "node", "left")
-    return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return rows.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.lower(F.hex("root")).alias("class_name"))
 
 
 def _classes(source: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, class_id, class_size) of every different text."""
+    """(node, root, class_id, class_size, first) of every different text; first is the class's text that stays.
+
+    It is the one with the smallest id, nulls last, and of texts with the same id the one with the smallest digest.
+    """
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes, "nodes")
     roots = components(links(source, nodes))
     rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    return rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
+    order = F.struct(F.col("least").isNull().alias("nameless"), "least", "node")
+    classes = rooted.groupBy("root").agg(F.min(order).alias("first"), F.sum("copies").alias("class_size"))
+    return rooted.select("node", "root").join(classes, "root").select("node", "root", F.col("first.least").alias("class_id"), "class_size", F.col("first.node").alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,10 +273,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     source = keyed(docs, id_col, text_col)
     named = _classes(source, stored(sign(source), "signatures"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{id_col}`").alias("own_id"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("string"))).alias("own_node"))
-    kept = named.withColumnRenamed("node", "own_node")
+    kept = named.where(F.col("node") == F.col("first")).select(F.col("node").alias("own_node"), "class_id")
     null_text = whole.where("own_node IS NULL").select("whole.*")
     met = whole.join(kept, "own_node").where(F.col("own_id").eqNullSafe(F.col("class_id")))
     once = met.withColumn("turn", F.row_number().over(Window.partitionBy("own_node").orderBy("own_id"))).where("turn = 1")
-    # Different texts with one id can both carry the class's name; the smaller digest stays.
-    first = once.select("class_id", "own_node").groupBy("class_id").agg(F.min("own_node").alias("own_node"))
-    return once.join(first.select("own_node"), "own_node", "left_semi").select("whole.*").unionByName(null_text)
+    return once.select("whole.*").unionByName(null_text)

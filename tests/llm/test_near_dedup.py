@@ -74,6 +74,29 @@ def test_classes(spark):
     assert sorted(map(str, ids)) == sorted(map(str, set(least.values())))
 
 
+def test_classes_that_share_an_id(spark):
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(400)]
+    texts = [" ".join(draw.choices(words, k=60)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (None, texts[1] + " end")]  # six classes without any id
+    rows += [(7, texts[6]), (7, texts[7]), (7, texts[8] + " end"), (7, texts[8])]  # three classes with one id
+    rows += [(None, texts[9]), (3, texts[9]), (None, texts[10] + " end"), (4, texts[10]), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = brute_force(rows)
+
+    kept = [(r.doc_id, r.text) for r in N.keep_one(df).collect()]
+    place = {row: root for row, root in zip(rows, roots, strict=True) if row[1] is not None}
+    assert sorted(place[k] for k in kept if k[1] is not None) == sorted({r for (_, t), r in zip(rows, roots, strict=True) if t is not None})
+    assert (3, texts[9]) in kept and (4, texts[10]) in kept
+    assert kept.count((None, None)) == 2
+
+    found = N.classify(df).collect()
+    sizes = Counter(r.class_name for r in found)
+    assert sizes.pop(None) == 2
+    assert len(found) == len(rows) and sorted(sizes.values()) == sorted(Counter(r for (_, t), r in zip(rows, roots, strict=True) if t is not None).values())
+    assert all(r.class_size == sizes.get(r.class_name, 1) for r in found)
+
+
 def test_signatures_estimate_similarity():
     draw = random.Random(2)
     words = [str(draw.random()) for _ in range(800)]
