@@ -4,13 +4,15 @@
              = ALPHA * count(w) / all words      otherwise
 
 The table has the pairs that occur in two documents or more, so a text is not scored by itself alone. Counts cover
-every word of every document. Words outside the vocabulary share one id, `<unk>`: the vocabulary has the words
-at least as frequent as the least count that leaves no more than `VOCABULARY` of them, which bounds what is sent to the
-workers; pairs are not bounded. A document begins with a border, the context of its first word.
+every word of every document, and every word is itself: neither words nor pairs are bounded, and the driver
+holds none. A document begins with a border, the context of its first word. Only a caller that names a bound, `most`, gets a
+vocabulary: the words at least as frequent as the least count that leaves no more than `most` of them; others are one word.
 
 Documents give their distinct pairs with counts. The count table adds them up, first within each task, then by the hash of the
-pair; the join partitions table and documents by the same hash, and Spark may split the rows of a pair that a third of all
-documents have. What is left is one number per pair and document, summed per document.
+pair. A pair's value needs the count of one word, which a join by the word's hash brings to each different pair; the
+values and the documents' pairs meet by the hash of the pair. Both sides of these joins are stored first, so Spark may split
+the rows of a word or pair that a third of all documents have. What is left is one number per pair and document,
+summed per document. Words are told apart by 64-bit hashes, and so are pairs.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
@@ -27,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import Words, keyed, slices, stored
+from fareloom.llm.common import Words, keyed, mix, slices, stored
 
 ALPHA = 0.4
-VOCABULARY = 65_000
-UNKNOWN, BORDER = 0, 1
-BEGUN = np.uint64(0)
+# Words that no text has: the border, also its count, and words outside a vocabulary.
+BEGUN, UNKNOWN = np.uint64(0), np.uint64(1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -70,70 +71,67 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, int]:
-    """The frequent words as sorted hashes, their counts, and the number of all words."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, DataFrame]:
+    """The frequent words as sorted hashes, and the counts with all other words added up as `UNKNOWN`."""
+    sizes = counts.where("word <> 0").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
     taken, least = 0, None
     for row in sizes:
         taken += row.words
         if taken > most:
             break
         least = row.n
-    rows = counts.where(F.col("n") >= least).toArrow() if least is not None else None
-    if rows is None or not rows.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), int(total)
-    words, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(words)
-    return words[order], n[order], int(total)
+    frequent = F.col("n") >= least if least is not None else F.lit(False)
+    known = counts.where((F.col("word") != 0) & frequent).select("word").toArrow().column("word").to_numpy().view(np.uint64)
+    word = F.when((F.col("word") == 0) | frequent, F.col("word")).otherwise(int(UNKNOWN))
+    return np.sort(known), counts.select(word.alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pairs(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """(pair, row, n): each document's distinct pairs of word ids and how often they occur. An id is below 2**16."""
+def pairs(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
+    """(pair, first, second, row, n): each document's distinct pairs of words and how often they occur, all as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
             words = Words(part.column(1))
-            hashes, rows = words.hashes[0], words.rows
-            if not len(hashes):
+            second, rows = words.hashes[0], words.rows
+            if not len(second):
                 continue
-            ids = np.full(len(hashes), UNKNOWN, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                ids = np.where(known[at] == hashes, at + 2, UNKNOWN)
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[rows[:-1][rows[:-1] < rows[1:]]] = BORDER
+            if known is not None:
+                second = np.where(np.isin(second, known), second, UNKNOWN)
+            first = np.empty_like(second)
+            first[1:] = second[:-1]
+            first[rows[:-1][rows[:-1] < rows[1:]]] = BEGUN
+            pair = mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
             owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
-            keys, counts = np.unique((owner << 32) | (before << 16) | ids, return_counts=True)
-            row = part.column(0).take(pa.array(keys >> 32))
-            pair = (keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), row, pa.array(counts.astype(np.int32))], ["pair", "row", "n"])
+            order = np.lexsort((pair, owner))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(owner[order]) != 0) | (pair[order][1:] != pair[order][:-1])
+            counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+            at = order[new]
+            columns = [pa.array(x[at].view(np.int64)) for x in (pair, first, second)]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(owner[at])), pa.array(counts.astype(np.int32))], ["pair", "first", "second", "row", "n"])
 
-    return docs.mapInArrow(run, "pair int, row long, n int")
+    return docs.mapInArrow(run, "pair long, first long, second long, row long, n int")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = VOCABULARY, alpha: float = ALPHA) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """One row per document: id, n_words, log_score (natural logarithm, summed over the words) and mean_log_score."""
-    spark = docs.sparkSession
     source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
     counts = stored(word_counts(source.select("row", "text")), "words")
-    known, frequency, total = vocabulary(counts.where("word <> 0"), most)
-    begun = counts.where("word = 0").agg(F.sum("n")).first()[0] or 1
+    known = None
+    if most is not None:
+        known, counts = vocabulary(counts, most)
+        counts = stored(counts, "words")
+    total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 1
     found = pairs(source.select("row", "text"), known)
     # A document gives a pair once, so the rows of a pair are its documents.
-    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1").select("pair", "total")
-    table = stored(table, "pairs")
-    met = found.join(table.withColumnRenamed("pair", "held"), F.col("pair") == F.col("held"), "left")
-    hit = F.col("total").isNotNull()
-    word = F.when(hit, F.shiftrightunsigned("pair", 16)).otherwise(F.col("pair").bitwiseAND(0xFFFF))
-    unknown = max(total - int(frequency.sum()), 1)
-    logs = [(n, math.log(max(c, 1))) for n, c in enumerate([unknown, begun, *frequency.tolist()])]
-    known_logs = spark.createDataFrame(logs, "word int, log_count double")
-    summed = met.select("row", "n", F.col("total"), word.alias("word"))
-    summed = summed.join(F.broadcast(known_logs), "word")
-    value = F.when(F.col("total").isNotNull(), F.log("total") - F.col("log_count")).otherwise(math.log(alpha) + F.col("log_count") - math.log(max(total, 1)))
-    sums = summed.select("row", "n", (F.col("n") * value).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.min("second").alias("second"), F.count("*").alias("documents"))
+    hit = F.col("documents") > 1
+    table = table.select("pair", F.when(hit, F.col("total")).alias("total"), F.when(hit, F.col("first")).otherwise(F.col("second")).alias("word"))
+    table = stored(table, "pairs").join(counts.withColumnRenamed("n", "word_n"), "word")
+    value = F.when(F.col("total").isNotNull(), F.log("total") - F.log("word_n")).otherwise(math.log(alpha) + F.log("word_n") - math.log(total))
+    values = stored(table.select(F.col("pair").alias("held"), value.alias("value")), "values")
+    met = found.select("pair", "row", "n").join(values, F.col("pair") == F.col("held"))
+    sums = met.select("row", "n", (F.col("n") * F.col("value")).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
     sums = stored(sums, "scores")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))

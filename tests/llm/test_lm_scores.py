@@ -43,5 +43,16 @@ def test_brute_force(spark, most):
     assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-5)
 
 
+def test_no_word_is_folded(spark):
+    """More words of one count than any vocabulary that the query once had."""
+    words = [f"w{n}" for n in range(70_000)]
+    turned = " ".join(w for at in range(0, 70_000, 7) for w in reversed(words[at : at + 7]))
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, turned), (4, turned)]
+    found = sorted((r.doc_id, r.n_words, r.log_score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    wanted = brute_force(rows, len(words))
+    assert [f[:2] for f in found] == [w[:2] for w in wanted]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-3)
+
+
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
