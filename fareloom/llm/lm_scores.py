@@ -1,18 +1,19 @@
 """Stupid-backoff scores of documents under a bigram model of the same corpus.
 
-    S(w | v) = count(v w) / count(v)             if the pair (v, w) is in the table
+    S(w | v) = count(v w) / count(v)             if count(v w) > 0
              = ALPHA * count(w) / all words      otherwise
 
-The table has the pairs that occur in two documents or more, so a text is not scored by itself alone. Counts cover
-every word of every document, and every word is itself: neither words nor pairs are bounded, and the driver
-holds none. A document begins with a border, the context of its first word. Only a caller that names a bound, `most`, gets a
-vocabulary: the words at least as frequent as the least count that leaves no more than `most` of them; others are one word.
+Counts cover every word and every pair of every document, the scored one with them, so a document of the corpus never
+backs off. Neither words nor pairs are bounded, and the driver holds none. A document begins with a border, the
+context of its first word. Only a caller that names a bound, `most`, gets a smaller model: a vocabulary of the words at least
+as frequent as the least count that leaves no more than `most` of them, all others as one word, and only the pairs that occur
+in two documents or more.
 
 Documents give their distinct pairs with counts. The count table adds them up, first within each task, then by the hash of the
-pair. A pair's value needs the count of one word, which a join by the word's hash brings to each different pair; the
-values and the documents' pairs meet by the hash of the pair. Both sides of these joins are stored first, so Spark may split
-the rows of a word or pair that a third of all documents have. What is left is one number per pair and document,
-summed per document. Words are told apart by 64-bit hashes, and so are pairs.
+pair; it stores the pairs of two documents or more, as a pair of one document occurs as often as in that document. The join
+brings table and documents together by the same hash. The counts of first words are joined to each document's distinct first
+words by the word's hash. The tables are stored before they are joined, so Spark may split the rows of a word or pair that a third of
+all documents have. What is left are sums per document. Words are told apart by 64-bit hashes, and so are pairs.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
@@ -86,8 +87,11 @@ def vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, DataFrame]:
     return np.sort(known), counts.select(word.alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pairs(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
-    """(pair, first, second, row, n): each document's distinct pairs of words and how often they occur, all as 64-bit hashes."""
+def pairs(docs: DataFrame, known: np.ndarray | None = None, contexts: bool = False) -> DataFrame:
+    """(pair, first, second, row, n): each document's distinct pairs of words and how often they occur, all as 64-bit hashes.
+
+    With `contexts`, (first, row, n): the distinct first words of its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
@@ -101,29 +105,44 @@ def pairs(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
             first[1:] = second[:-1]
             first[rows[:-1][rows[:-1] < rows[1:]]] = BEGUN
             pair = mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
-            owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
-            order = np.lexsort((pair, owner))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(owner[order]) != 0) | (pair[order][1:] != pair[order][:-1])
-            counts = np.diff(np.append(np.flatnonzero(new), len(order)))
-            at = order[new]
-            columns = [pa.array(x[at].view(np.int64)) for x in (pair, first, second)]
-            yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(owner[at])), pa.array(counts.astype(np.int32))], ["pair", "first", "second", "row", "n"])
-
-    return docs.mapInArrow(run, "pair long, first long, second long, row long, n int")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, alpha: float = ALPHA) -> DataFrame:
-    """One row per document: id, n_words, log_score (natural logarithm, summed over the words) and mean_log_score."""
-    source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
-    counts = stored(word_counts(source.select("row", "text")), "words")
-    known = None
-    if most is not None:
-        known, counts = vocabulary(counts, most)
-        counts = stored(counts, "words")
+            at, row, n = _distinct(first if contexts else pair, part, rows)
+            columns = [pa.array(x[at].view(np.int64)) for x in ((first,) if contexts else (pair, first, second))]
+            yield pa.RecordBatch.from_arrays([*columns, row, n], [*names, "row", "n"])
+
+    names = ["first"] if contexts else ["pair", "first", "second"]
+    return docs.mapInArrow(run, ", ".join(f"{name} long" for name in names) + ", row long, n int")
+
+
+def _distinct(values: np.ndarray, part: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Where each row's distinct values are, with the row's name and how often they occur."""
+    owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
+    order = np.lexsort((values, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(owner[order]) != 0) | (values[order][1:] != values[order][:-1])
+    counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+    at = order[new]
+    return at, part.column(0).take(pa.array(owner[at])), pa.array(counts.astype(np.int32))
+
+
+def _sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, n_words, log_score) with every pair: the logarithms of pair counts less those of the counts of first words."""
+    found = pairs(texts).select("pair", "row", "n")
+    # A document gives a pair once, so the rows of a pair are its documents. A pair of one document needs no entry: its count is that document's.
+    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1").select(F.col("pair").alias("held"), "total")
+    met = found.join(stored(table, "pairs"), F.col("pair") == F.col("held"), "left")
+    over = met.select("row", "n", (F.col("n") * F.log(F.coalesce("total", "n"))).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("over"))
+    over = stored(over, "pair-sums")
+    firsts = pairs(texts, contexts=True).join(counts.withColumnRenamed("n", "word_n"), F.col("first") == F.col("word"))
+    under = firsts.select("row", (F.col("n") * F.log("word_n")).alias("value")).groupBy("row").agg(F.sum("value").alias("under"))
+    return over.join(stored(under, "word-sums"), "row").select("row", "n_words", (F.col("over") - F.col("under")).alias("log_score"))
+
+
+def _bounded_sums(texts: DataFrame, counts: DataFrame, most: int, alpha: float) -> DataFrame:
+    """(row, n_words, log_score) with a vocabulary, and only the pairs of two documents or more."""
+    known, counts = vocabulary(counts, most)
+    counts = stored(counts, "words")
     total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 1
-    found = pairs(source.select("row", "text"), known)
-    # A document gives a pair once, so the rows of a pair are its documents.
+    found = pairs(texts, known)
     table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.min("second").alias("second"), F.count("*").alias("documents"))
     hit = F.col("documents") > 1
     table = table.select("pair", F.when(hit, F.col("total")).alias("total"), F.when(hit, F.col("first")).otherwise(F.col("second")).alias("word"))
@@ -131,7 +150,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     value = F.when(F.col("total").isNotNull(), F.log("total") - F.log("word_n")).otherwise(math.log(alpha) + F.log("word_n") - math.log(total))
     values = stored(table.select(F.col("pair").alias("held"), value.alias("value")), "values")
     met = found.select("pair", "row", "n").join(values, F.col("pair") == F.col("held"))
-    sums = met.select("row", "n", (F.col("n") * F.col("value")).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+    return met.select("row", "n", (F.col("n") * F.col("value")).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, alpha: float = ALPHA) -> DataFrame:
+    """One row per document: id, n_words, log_score (natural logarithm, summed over the words) and mean_log_score."""
+    source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
+    texts = source.select("row", "text")
+    counts = stored(word_counts(texts), "words")
+    sums = _sums(texts, counts) if most is None else _bounded_sums(texts, counts, most, alpha)
     sums = stored(sums, "scores")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))

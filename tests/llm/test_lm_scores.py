@@ -54,5 +54,18 @@ def test_no_word_is_folded(spark):
     assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-3)
 
 
+def test_every_pair_counts(spark):
+    """Pairs of one document are in the table, and copies and repeated rows count without changing that."""
+    rows = [(1, "p q p q p r"), (2, "a b a c"), (3, "a b a c"), (4, "x y x z"), (4, "x y x z"), (5, None), (None, "p  q s"), (6, "t")]
+    split = [(t or "").split() for _, t in rows]
+    seen = Counter(p for words in split for p in zip(["<s>", *words], words))
+    single = Counter(w for words in split for w in words) + Counter({"<s>": sum(map(bool, split))})
+    wanted = [(i, len(words), sum(math.log(seen[p] / single[p[0]]) for p in zip(["<s>", *words], words))) for (i, _), words in zip(rows, split)]
+    found = sorted(((r.doc_id, r.n_words, r.log_score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    wanted.sort(key=repr)
+    assert [f[:2] for f in found] == [w[:2] for w in wanted]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-5)
+
+
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
