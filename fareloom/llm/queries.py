@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, fingerprints, html_text, line_templates, lm_scores, near_dedup, secrets, span_dedup, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, html_text, licenses, line_templates, lm_scores, near_dedup, resampling, secrets, span_dedup, toxicity
 from fareloom.llm.common import read_table
 
 
@@ -55,8 +55,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_scores, op2_fingerprints, op3_html_text, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets)
+    named = (op1_lm_scores, op2_fingerprints, op3_html_text, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets, op11_licenses, op12_resampling)
     return {query.__name__: query for query in named}
 
 
@@ -65,4 +73,5 @@ def all_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.SQL,
         "op8_span_dedup": span_dedup.SQL,
         "op9_line_templates": line_templates.SQL,
+        "op12_resampling": resampling.SQL,
     }
