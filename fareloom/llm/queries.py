@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fareloom.llm import byte_bpe, decontaminate, fingerprints, html_text, licenses, line_templates, lm_scores, near_dedup, resampling, secrets, span_dedup, toxicity
+from fareloom.llm import byte_bpe, decontaminate, fingerprints, html_text, lexical_search, licenses, line_templates, lm_scores, near_dedup, resampling, secrets, span_dedup, toxicity
 from fareloom.llm.common import read_table
 
 
@@ -63,8 +63,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_scores, op2_fingerprints, op3_html_text, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets, op11_licenses, op12_resampling)
+    named = (op1_lm_scores, op2_fingerprints, op3_html_text, op4_toxicity, op5_byte_bpe, op6_decontaminate, op7_near_dedup, op8_span_dedup, op9_line_templates, op10_secrets, op11_licenses, op12_resampling, op13_lexical_search)
     return {query.__name__: query for query in named}
 
 
@@ -74,4 +78,5 @@ def all_sql() -> dict[str, str]:
         "op8_span_dedup": span_dedup.SQL,
         "op9_line_templates": line_templates.SQL,
         "op12_resampling": resampling.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
