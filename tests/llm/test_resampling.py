@@ -1,0 +1,94 @@
+"""Importance resampling against brute force, and the folded checksums against zlib."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from fareloom.llm import resampling as R
+
+SPLIT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_checksums():
+    draw = np.random.default_rng(4)
+    raw = draw.integers(0, 256, 300_000).astype(np.uint8)
+    lengths = np.concatenate([draw.integers(1, 3 * R.REACH, 500), [1, R.REACH - 1, R.REACH, R.REACH + 1, 2 * R.REACH, 7 * R.REACH, 4096, 100_001]])
+    begins = draw.integers(0, 190_000, len(lengths))
+    found = R.checksums(raw, begins, begins + lengths)
+    assert found.tolist() == [zlib.crc32(raw[a : a + n].tobytes()) for a, n in zip(begins, lengths, strict=True)]
+    assert R.length_constants(np.array([0, 1, R.REACH, 1_000_003])).tolist() == [zlib.crc32(bytes(n)) for n in (0, 1, R.REACH, 1_000_003)]
+
+
+def features(text, most=2):
+    words = SPLIT.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return len(words), [" ".join(words[i : i + n + 1]) for n in range(most) for i in range(len(words) - n)]
+
+
+def expected(rows, targets, buckets, least, percent):
+    code = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = [0] * buckets, [0] * buckets
+    for _, text in rows:
+        for f in features(text)[1]:
+            s[code(f)] += 1
+    for text in targets:
+        for f in features(text)[1]:
+            t[code(f)] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for name, text in rows:
+        words, found = features(text)
+        weight = sum(gain[code(f)] for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"7:{'' if name is None else name}".encode()).hexdigest()[:8], 16)
+        out.append([name, words, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    drawn = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0], -r[2]))
+    count = percent * len(drawn) // 100
+    ranks = {id(r): n + 1 for n, r in enumerate(drawn) if n < count}
+    return [(r[0], r[2], r[3], r[4], ranks.get(id(r))) for r in out]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((v is None, v) for v in r))
+
+
+@pytest.mark.parametrize("buckets", [50, R.BUCKETS])
+def test_brute_force(spark, buckets):
+    draw = random.Random(6)
+    vocabulary = ["Aa", "été", "b2", "ccc", "x" * 70, "long" * 200, "THE", "the", "-", "Ω"]
+    rows = [(n // 2, " ".join(draw.choices(vocabulary, k=draw.randint(0, 60)))) for n in range(120)]
+    rows += [(None, "the " * 30), (None, None), (500, ""), (500, None), (501, "the " * 30), (501, "the " * 30), (502, "z" * 100_000 + " end")]
+    targets = ["the été the", None, "", "x" * 70]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, rank int, weight int").repartition(5)
+    target = spark.createDataFrame([(t,) for t in targets], "text string")
+    found = R.resample(docs, target, buckets=buckets)
+    assert found.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    got = [tuple(r) for r in found.collect()]
+    assert ordered(got) == ordered(expected(rows, targets, buckets, 20, 25))
+    assert sorted(r[4] for r in got if r[4]) == list(range(1, 1 + sum(r[4] is not None for r in got)))
+
+
+def test_empty_sides(spark):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    none = docs.where("false")
+    assert R.resample(none, docs).count() == 0
+    rows = R.resample(docs, none, least_words=1, percent=100).collect()
+    assert [(r.doc_id, r.n_features, r.rank) for r in rows if r.rank] == [("a", 3, 1)]
+    assert R.resample(docs, docs, percent=0).where("rank IS NOT NULL").count() == 0
+
+
+def test_numbers_run_over_all_ranges(spark):
+    """Also when one value holds a third of the rows."""
+    df = spark.range(3000).selectExpr("id AS salt", "CASE WHEN id % 3 = 0 THEN 5 ELSE id % 97 END AS score")
+    rows = R.numbered(df.repartition(7), ["score", "salt"]).collect()
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (r.score, r.salt))] == list(range(1, 3001))
+
+
+def test_long_text(spark):
+    """Three million words in one text."""
+    text = "one two three " * 1_000_000
+    row = R.resample(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("one two",)], "text string"), percent=100).first()
+    assert (row.n_features, row["rank"]) == (5_999_999, 1)
