@@ -2,20 +2,22 @@
 
 A rank file gives the byte strings of all tokens. Bytes are written as characters (a fixed one-to-one table), the
 merges follow from the ranks, and the library's BPE model runs on each match of the split pattern. Equal pieces
-recur, so a worker keeps the ids of short pieces it has seen, up to a fixed number. Decoding reverses the table; a
-character whose bytes lie in several tokens is whole again once the bytes are joined.
+recur, so a worker keeps the ids of short pieces it has seen, up to a fixed number of bytes and for one partition. Decoding
+reverses the table; a character whose bytes lie in several tokens is whole again once the bytes are joined.
 
 Defined results: null and empty texts have no ids; decoding no ids (or null) gives empty bytes; unknown ids are an
 error; ids of any type, repeated and null ids pass through; other columns are not looked at. Texts are encoded
-whole; memory beyond one text is bounded by slices of about 2 MB.
+whole; memory beyond one text is bounded by slices of half a MB.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,13 @@ from pyspark.sql import types as T
 
 from fareloom.llm.common import keyed, slices
 
-KEPT_PIECES = 300_000
+# What a worker keeps of the pieces it has seen; a piece and its ids take PIECE_BYTES and what their letters take.
+KEPT_BYTES = 32 << 20
+PIECE_BYTES = 200
 LONGEST_KEPT = 48
+SLICE_BYTES = 1 << 19
+# Pieces that go to the library at once, as its results are large objects.
+AT_ONCE = 4096
 
 
 def byte_characters() -> dict[int, str]:
@@ -102,46 +109,66 @@ def _unbroken(every: str, runs: Iterator[tuple[int, int]]) -> Iterator[tuple[int
 
 
 class Codec:
-    """One vocabulary in one worker."""
+    """One vocabulary in one worker; the model is only made where texts are encoded."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        self.ranks_path, self.pattern = ranks_path, pattern
+        self.table = dict(byte_characters())
+        self.latin = {b: self.table[b] for b in range(256)}
+        ranks = read_ranks(ranks_path)
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.length_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for rank, token in self.bytes_of.items():
+            self.length_of[rank] = len(token)
+        self.known: dict[str, bytes] = {}
+        self.kept = 0
+
+    @cached_property
+    def model(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        ranks = read_ranks(ranks_path)
-        self.table = dict(byte_characters())
+        ranks = {t: r for r, t in self.bytes_of.items()}
         spell = lambda token: "".join(map(self.table.__getitem__, token))
         merges = [tuple(map(spell, last_merge(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
-        self.model = Tokenizer(BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges))
-        self.split = splitter(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        back = {c: b for b, c in self.table.items()}
-        self.bytes_of = {r: bytes(map(back.__getitem__, spell(t))) for t, r in ranks.items()}
-        self.length_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        for rank, token in self.bytes_of.items():
-            self.length_of[rank] = len(token)
-        self.latin = {b: self.table[b] for b in range(256)}
+        return Tokenizer(BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges))
+
+    @cached_property
+    def split(self):
+        return splitter(self.pattern)
 
     def _spelled(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.latin)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        pieces = [self.split(text) for text in texts]
-        fresh = set(chain.from_iterable(pieces)).difference(self.known)
-        if len(self.known) + len(fresh) > KEPT_PIECES:
-            self.known.clear()
-            fresh = set(chain.from_iterable(pieces))
-        names = list(fresh)
-        found = self.model.encode_batch([self._spelled(p) for p in names], add_special_tokens=False)
-        self.known.update(zip(names, (tuple(e.ids) for e in found), strict=True))
-        ids = [list(chain.from_iterable(map(self.known.__getitem__, row))) for row in pieces]
+    def _learn(self, names: list[str]) -> None:
+        """Add the ids of new pieces, as the bytes of 32-bit numbers."""
+        for at in range(0, len(names), AT_ONCE):
+            part = names[at : at + AT_ONCE]
+            found = self.model.encode_batch([self._spelled(p) for p in part], add_special_tokens=False)
+            self.known.update(zip(part, (array("i", e.ids).tobytes() for e in found), strict=True))
+        self.kept += sum(map(len, names)) + PIECE_BYTES * len(names)
+
+    def _forget(self, names: Iterable[str]) -> None:
         for name in names:
-            if len(name) > LONGEST_KEPT:
-                del self.known[name]
+            del self.known[name]
+            self.kept -= len(name) + PIECE_BYTES
+
+    def forget_all(self) -> None:
+        self.known, self.kept = {}, 0
+        pa.default_memory_pool().release_unused()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [self.split(text) for text in texts]
+        names = list(set(chain.from_iterable(pieces)).difference(self.known))
+        self._learn(names)
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, row)), np.int32) for row in pieces]
+        self._forget([name for name in names if len(name) > LONGEST_KEPT])
+        while self.kept > KEPT_BYTES:
+            self._forget(list(islice(self.known, (len(self.known) + 1) // 2)))  # the older half
         return ids
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First code point and end of each token; a token with a part of a character has that character's range."""
         raw = np.frombuffer(text.encode(), np.uint8)
         if not len(raw):
@@ -151,8 +178,8 @@ class Codec:
         begins = ends - self.length_of[ids]
         return character[begins].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
-    def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids or ()))
+    def decode(self, ids: Iterable[int] | None) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, () if ids is None else ids))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -166,10 +193,9 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -177,15 +203,16 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE_BYTES):
             texts = [t or "" for t in part.column(1).to_pylist()]
             ids = own.encode(texts)
-            columns, names = [part.column(0), _lists(ids, pa.int32())], [id_col, "ids"]
+            columns, names = [part.column(0), _lists(ids)], [id_col, "ids"]
             if offsets:
                 spans = [own.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
-                columns += [_lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+                columns += [_lists([s[k] for s in spans]) for k in (0, 1)]
                 names += ["token_start", "token_end"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget_all()
 
     source = keyed(df, id_col, text_col)
     lists = ["ids", *(["token_start", "token_end"] if offsets else [])]

@@ -50,3 +50,15 @@ def test_empty_table_and_null_ids(spark):
     assert byte_bpe.round_trip(empty, RANKS, PATTERN).count() == 0
     rows = spark.createDataFrame([(None, "a"), (None, "a"), (3, None)], "doc_id long, text string")
     assert byte_bpe.round_trip(rows, RANKS, PATTERN).count() == 3
+
+
+def test_kept_pieces_are_bounded(monkeypatch, reference):
+    """Forgetting pieces changes no ids, and what a worker keeps stays below its bound."""
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 3000)
+    monkeypatch.setattr(byte_bpe, "AT_ONCE", 7)
+    codec = byte_bpe.Codec(RANKS, PATTERN)
+    for text in texts():
+        assert codec.encode([text or "", "a b"])[0].tolist() == reference.encode_ordinary(text or "")
+        assert codec.kept <= 3000 and codec.kept == sum(len(p) + byte_bpe.PIECE_BYTES for p in codec.known)
+    codec.forget_all()
+    assert not codec.known and codec.encode([""])[0].tolist() == []
