@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet to the shared scratch folder and read again.
 
-    It cuts the lineage, so that a lost executor costs tasks of later steps only. The collection afterwards
-    lets Spark's cleaner remove shuffle files of steps that nothing refers to any more.
+    It cuts the lineage, so that a lost executor costs tasks of later steps only. The collections afterwards
+    let Spark's cleaner remove shuffle files of steps that nothing refers to any more; the first one frees the plan,
+    and a shuffle is free once the cleaner has seen to that.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -33,6 +35,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     again = spark.read.schema(df.schema).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
     return again
 
 

@@ -1,19 +1,20 @@
 """Stupid-backoff scores of documents under a bigram model of the same corpus.
 
-    S(w | v) = count(v w) / count(v)             if count(v w) > 0
-             = ALPHA * count(w) / all words      otherwise
-
-Counts cover every word and every pair of every document, the scored one with them, so a document of the corpus never
-backs off. Neither words nor pairs are bounded, and the driver holds none. A document begins with a border, the
-context of its first word. Only a caller that names a bound, `most`, gets a smaller model: a vocabulary of the words at least
-as frequent as the least count that leaves no more than `most` of them, all others as one word, and only the pairs that occur
-in two documents or more.
-
-Documents give their distinct pairs with counts. The count table adds them up, first within each task, then by the hash of the
-pair; it stores the pairs of two documents or more, as a pair of one document occurs as often as in that document. The join
-brings table and documents together by the same hash. The counts of first words are joined to each document's distinct first
-words by the word's hash. The tables are stored before they are joined, so Spark may split the rows of a word or pair that a third of
-all documents have. What is left are sums per document. Words are told apart by 64-bit hashes, and so are pairs.
+    S(w | v) = (count(v w) - n) / (count(v) - n)             if count(v w) > n
+             = ALPHA * max(count(w) - n, 1) / all words      otherwise
+
+Counts cover every word and every pair of every document. A document is scored by what the others say: n, its own
+occurrences of the pair, are left out, so a pair that no other document has backs off to its second word, and words
+that no other document has count as one occurrence. Copies are documents of their own and do speak for each other. Neither words
+nor pairs are bounded, and the driver holds none. A document begins with a border, the context of its first word.
+
+Documents give their distinct pairs with counts. The pair table adds them up, first within each task, then by the hash of
+the pair; it keeps the pairs of two documents or more, as all others back off, and gets the counts of their first words
+by a join. The exploded pairs are then joined to the table by the same hash. Pairs that back off need the
+count of their second word: of the `FREQUENT` most frequent words, a bounded number, it is broadcast; the others are
+added up by document and word and joined to the word counts. Tables are stored before they are joined, so Spark may split the
+rows of a word or pair that a third of all documents have. What is left are sums per document. Words are told apart by
+64-bit hashes, pairs by the hashes of both words.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import Words, keyed, mix, slices, stored
+from fareloom.llm.common import Words, keyed, slices, stored
 
 ALPHA = 0.4
-# Words that no text has: the border, also its count, and words outside a vocabulary.
-BEGUN, UNKNOWN = np.uint64(0), np.uint64(1)
+# The border before the first word, also what its count goes by.
+BEGUN = np.uint64(0)
+# Words whose counts are broadcast, at most; 16 bytes each.
+FREQUENT = 200_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -72,25 +75,22 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-def vocabulary(counts: DataFrame, most: int) -> tuple[np.ndarray, DataFrame]:
-    """The frequent words as sorted hashes, and the counts with all other words added up as `UNKNOWN`."""
-    sizes = counts.where("word <> 0").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
-    taken, least = 0, None
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """The least count that no more than `most` words reach."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
+    taken, least = 0, (sizes[0].n + 1 if sizes else 1)
     for row in sizes:
         taken += row.words
         if taken > most:
             break
         least = row.n
-    frequent = F.col("n") >= least if least is not None else F.lit(False)
-    known = counts.where((F.col("word") != 0) & frequent).select("word").toArrow().column("word").to_numpy().view(np.uint64)
-    word = F.when((F.col("word") == 0) | frequent, F.col("word")).otherwise(int(UNKNOWN))
-    return np.sort(known), counts.select(word.alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    return least
 
 
-def pairs(docs: DataFrame, known: np.ndarray | None = None, contexts: bool = False) -> DataFrame:
-    """(pair, first, second, row, n): each document's distinct pairs of words and how often they occur, all as 64-bit hashes.
+def pairs(docs: DataFrame) -> DataFrame:
+    """(first, second, row, n): each document's distinct pairs of words, as hashes, and how often they occur.
 
-    With `contexts`, (first, row, n): the distinct first words of its pairs.
+    Those of some documents come sorted by their first word, which makes them smaller when they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,67 +99,63 @@ def pairs(docs: DataFrame, known: np.ndarray | None = None, contexts: bool = Fal
             second, rows = words.hashes[0], words.rows
             if not len(second):
                 continue
-            if known is not None:
-                second = np.where(np.isin(second, known), second, UNKNOWN)
             first = np.empty_like(second)
             first[1:] = second[:-1]
             first[rows[:-1][rows[:-1] < rows[1:]]] = BEGUN
-            pair = mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
-            at, row, n = _distinct(first if contexts else pair, part, rows)
-            columns = [pa.array(x[at].view(np.int64)) for x in ((first,) if contexts else (pair, first, second))]
-            yield pa.RecordBatch.from_arrays([*columns, row, n], [*names, "row", "n"])
-
-    names = ["first"] if contexts else ["pair", "first", "second"]
-    return docs.mapInArrow(run, ", ".join(f"{name} long" for name in names) + ", row long, n int")
-
-
-def _distinct(values: np.ndarray, part: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Where each row's distinct values are, with the row's name and how often they occur."""
-    owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
-    order = np.lexsort((values, owner))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(owner[order]) != 0) | (values[order][1:] != values[order][:-1])
-    counts = np.diff(np.append(np.flatnonzero(new), len(order)))
-    at = order[new]
-    return at, part.column(0).take(pa.array(owner[at])), pa.array(counts.astype(np.int32))
-
-
-def _sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, n_words, log_score) with every pair: the logarithms of pair counts less those of the counts of first words."""
-    found = pairs(texts).select("pair", "row", "n")
-    # A document gives a pair once, so the rows of a pair are its documents. A pair of one document needs no entry: its count is that document's.
-    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1").select(F.col("pair").alias("held"), "total")
-    met = found.join(stored(table, "pairs"), F.col("pair") == F.col("held"), "left")
-    over = met.select("row", "n", (F.col("n") * F.log(F.coalesce("total", "n"))).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("over"))
-    over = stored(over, "pair-sums")
-    firsts = pairs(texts, contexts=True).join(counts.withColumnRenamed("n", "word_n"), F.col("first") == F.col("word"))
-    under = firsts.select("row", (F.col("n") * F.log("word_n")).alias("value")).groupBy("row").agg(F.sum("value").alias("under"))
-    return over.join(stored(under, "word-sums"), "row").select("row", "n_words", (F.col("over") - F.col("under")).alias("log_score"))
-
-
-def _bounded_sums(texts: DataFrame, counts: DataFrame, most: int, alpha: float) -> DataFrame:
-    """(row, n_words, log_score) with a vocabulary, and only the pairs of two documents or more."""
-    known, counts = vocabulary(counts, most)
-    counts = stored(counts, "words")
+            owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
+            order = np.lexsort((owner, second, first))
+            ordered = [x[order] for x in (first, second, owner)]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ordered])
+            at = np.flatnonzero(new)
+            counts = np.diff(np.append(at, len(order)))
+            columns = [pa.array(x[at].view(np.int64)) for x in ordered[:2]]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(ordered[2][at])), pa.array(counts.astype(np.int32))], ["first", "second", "row", "n"])
+
+    return docs.mapInArrow(run, "first long, second long, row long, n int")
+
+
+def pair_table(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, total, context): the pairs of two documents or more, how often they occur, and the counts of their first words."""
+    shared = found.groupBy("first", "second").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1")
+    shared = stored(shared.select(F.col("first").alias("a"), F.col("second").alias("b"), "total"), "shared-pairs")
+    return stored(shared.join(counts.withColumnRenamed("n", "context"), F.col("a") == F.col("word")).select("a", "b", "total", "context"), "pairs")
+
+
+def _sums(texts: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
+    """(row, n_words, log_score) for rows (row, text) and the word counts."""
     total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 1
-    found = pairs(texts, known)
-    table = found.groupBy("pair").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.min("second").alias("second"), F.count("*").alias("documents"))
-    hit = F.col("documents") > 1
-    table = table.select("pair", F.when(hit, F.col("total")).alias("total"), F.when(hit, F.col("first")).otherwise(F.col("second")).alias("word"))
-    table = stored(table, "pairs").join(counts.withColumnRenamed("n", "word_n"), "word")
-    value = F.when(F.col("total").isNotNull(), F.log("total") - F.log("word_n")).otherwise(math.log(alpha) + F.log("word_n") - math.log(total))
-    values = stored(table.select(F.col("pair").alias("held"), value.alias("value")), "values")
-    met = found.select("pair", "row", "n").join(values, F.col("pair") == F.col("held"))
-    return met.select("row", "n", (F.col("n") * F.col("value")).alias("value")).groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, alpha: float = ALPHA) -> DataFrame:
+    least = least_frequent(counts, FREQUENT)
+    found = pairs(texts)
+    table = pair_table(found, counts)
+    met = found.join(table, (F.col("first") == F.col("a")) & (F.col("second") == F.col("b")), "left")
+    seen = F.col("total") > F.col("n")
+    direct = F.when(seen, F.col("n") * (F.log(F.col("total") - F.col("n")) - F.log(F.col("context") - F.col("n"))))
+    met = met.select("row", "n", direct.alias("direct"), F.when(seen, F.lit(None)).otherwise(F.col("second")).alias("back"))
+
+    backed = lambda n, word_n: n * (math.log(alpha) - math.log(total) + F.log(F.greatest(word_n - n, F.lit(1))))
+    frequent = F.broadcast(counts.where(F.col("n") >= least).select("word", F.col("n").alias("word_n")))
+    met = met.join(frequent, F.col("back") == F.col("word"), "left")
+    value = F.coalesce("direct", backed(F.col("n"), F.col("word_n")))
+    rare = F.when(F.col("direct").isNull() & F.col("word_n").isNull(), F.col("back"))
+    # A rare word keeps its pairs' counts apart, as each is left out of the word's count on its own.
+    parts = met.select("row", "n", value.alias("value"), rare.alias("rare"), F.when(rare.isNotNull(), F.col("n")).alias("own"))
+    parts = stored(parts.groupBy("row", "rare", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value")), "scores-and-rare-words")
+
+    known = parts.where("rare IS NULL").groupBy("row").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+    asked = parts.where("rare IS NOT NULL").join(counts.select("word", F.col("n").alias("word_n")), F.col("rare") == F.col("word"))
+    # Equal pairs' counts of one document and word were added up: n / own of them.
+    values = asked.select("row", "n", (F.col("n") / F.col("own") * backed(F.col("own"), F.col("word_n"))).alias("value"))
+    both = known.unionByName(values.groupBy("row").agg(F.sum("n").alias("n"), F.sum("value").alias("value")))
+    return both.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per document: id, n_words, log_score (natural logarithm, summed over the words) and mean_log_score."""
     source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
     texts = source.select("row", "text")
     counts = stored(word_counts(texts), "words")
-    sums = _sums(texts, counts) if most is None else _bounded_sums(texts, counts, most, alpha)
-    sums = stored(sums, "scores")
+    sums = stored(_sums(texts, counts, alpha), "scores")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
     each = sums.join(copies, "row").select("row", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), (F.col("log_score") / F.col("copies")).alias("log_score"))

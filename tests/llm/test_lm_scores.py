@@ -2,69 +2,77 @@
 
 import math
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
 
 from fareloom.llm import lm_scores as L
 
 
-def brute_force(rows, most, alpha=L.ALPHA):
-    split = [(t or "").split() for _, t in rows]
-    counts = Counter(w for words in split for w in words)
-    total = sum(counts.values())
-    least = min((n for n in set(counts.values()) if sum(c >= n for c in counts.values()) <= most), default=math.inf)
-    name = lambda w: w if counts[w] >= least else None
-    seen, owners, single = Counter(), defaultdict(set), Counter()
-    lists = [[name(w) for w in words] for words in split]
-    for row, words in enumerate(lists):
-        single.update(words)
-        for pair in zip(["<s>", *words], words):
-            seen[pair] += 1
-            owners[pair].add(row)
-    single["<s>"] = sum(bool(w) for w in lists)
+def brute_force(rows, alpha=L.ALPHA):
+    lists = [(t or "").split() for _, t in rows]
+    single = Counter(w for words in lists for w in words)
+    total = sum(single.values())
+    seen = Counter(p for words in lists for p in zip(["<s>", *words], words))
+    single["<s>"] = sum(map(bool, lists))
     out = []
-    for (i, _), words in zip(rows, lists):
-        value = sum(math.log(seen[v, w] / single[v]) if len(owners[v, w]) > 1 else math.log(alpha * single[w] / total) for v, w in zip(["<s>", *words], words))
+    for (i, _), words in zip(rows, lists, strict=True):
+        value = 0.0
+        for (v, w), n in Counter(zip(["<s>", *words], words)).items():
+            share = (seen[v, w] - n) / (single[v] - n) if seen[v, w] > n else alpha * max(single[w] - n, 1) / total
+            value += n * math.log(share)
         out.append((i, len(words), value))
     return out
 
 
-@pytest.mark.parametrize("most", [5, 20, 1000])
-def test_brute_force(spark, most):
-    draw = random.Random(most)
+def same(found, wanted, tolerance=1e-5):
+    found, wanted = (sorted(x, key=lambda r: (r[0] is None, r)) for x in (found, wanted))
+    assert [f[:2] for f in found] == [w[:2] for w in wanted]
+    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=tolerance)
+
+
+def scored(spark, rows):
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, row string, first int")
+    return [(r.doc_id, r.n_words, r.log_score) for r in L.score(df).collect()]
+
+
+@pytest.mark.parametrize("frequent", [0, 7, L.FREQUENT])
+def test_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    draw = random.Random(frequent)
     words = ["".join(draw.choices("abcdé", k=draw.randint(1, 3))) for _ in range(60)]
     rows = [(n, draw.choice([" ", "\n"]).join(draw.choices(words[: draw.randint(2, 60)], k=draw.randint(0, 80)))) for n in range(50)]
-    rows += [(100, None), (101, ""), (102, " \n"), (3, rows[3][1]), (None, "a b"), (103, "a " * 3000)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
-    found = sorted(((r.doc_id, r.n_words, r.log_score) for r in L.score(df, most=most).collect()), key=repr)
-    wanted = sorted(brute_force(rows, most), key=repr)
-    assert [f[:2] for f in found] == [w[:2] for w in wanted]
-    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-5)
+    rows += [(100, None), (101, ""), (102, " \n"), (3, rows[3][1]), (None, "a b"), (None, "a b c"), (103, "a " * 3000), (104, "own words own words here"), (104, "again a b again")]
+    same(scored(spark, rows), brute_force(rows))
 
 
 def test_no_word_is_folded(spark):
-    """More words of one count than any vocabulary that the query once had."""
+    """More words of one count than any bounded vocabulary."""
     words = [f"w{n}" for n in range(70_000)]
     turned = " ".join(w for at in range(0, 70_000, 7) for w in reversed(words[at : at + 7]))
     rows = [(1, " ".join(words)), (2, " ".join(words)), (3, turned), (4, turned)]
-    found = sorted((r.doc_id, r.n_words, r.log_score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    wanted = brute_force(rows, len(words))
-    assert [f[:2] for f in found] == [w[:2] for w in wanted]
-    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-3)
-
-
-def test_every_pair_counts(spark):
-    """Pairs of one document are in the table, and copies and repeated rows count without changing that."""
-    rows = [(1, "p q p q p r"), (2, "a b a c"), (3, "a b a c"), (4, "x y x z"), (4, "x y x z"), (5, None), (None, "p  q s"), (6, "t")]
-    split = [(t or "").split() for _, t in rows]
-    seen = Counter(p for words in split for p in zip(["<s>", *words], words))
-    single = Counter(w for words in split for w in words) + Counter({"<s>": sum(map(bool, split))})
-    wanted = [(i, len(words), sum(math.log(seen[p] / single[p[0]]) for p in zip(["<s>", *words], words))) for (i, _), words in zip(rows, split)]
-    found = sorted(((r.doc_id, r.n_words, r.log_score) for r in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
-    wanted.sort(key=repr)
-    assert [f[:2] for f in found] == [w[:2] for w in wanted]
-    assert [f[2] for f in found] == pytest.approx([w[2] for w in wanted], abs=1e-5)
+    same(scored(spark, rows), brute_force(rows), 1e-3)
+
+
+def test_backs_off_without_its_own_counts(spark):
+    """A pair that only one document has backs off however often it has it; copies speak for each other."""
+    rows = [(1, "p q p q p q"), (2, "x y"), (3, "x y"), (4, "x y x y")]
+    found = {i: s for i, _, s in scored(spark, rows)}
+    total = 14
+    assert found[1] == pytest.approx(math.log(0.4 * 2 / total) + 5 * math.log(0.4 / total), abs=1e-5)  # p: 3 - 1, then 3 - 2; q: 3 - 3
+    # <s> x: two of the three other documents; x y: three of three other x.
+    assert found[2] == pytest.approx(math.log(2 / 3) + math.log(3 / 3), abs=1e-5)
+
+
+def test_prose_before_junk(spark):
+    """Texts of common words score above a text of words that occur nowhere else, however often it repeats them."""
+    draw = random.Random(2)
+    common = "the of and to a in is it that was".split()
+    rows = [(n, " ".join(draw.choices(common, k=60))) for n in range(40)]
+    junk = ["".join(draw.choices("qxzjkvw", k=9)) for _ in range(60)]
+    rows += [(100, " ".join(junk)), (101, " ".join([f"{w}{w}" for w in junk[:6]] * 10))]
+    means = {i: s / n for i, n, s in scored(spark, rows)}
+    assert min(means[n] for n in range(40)) > max(means[100], means[101]) + 1
 
 
 def test_empty_table(spark):
