@@ -1,20 +1,20 @@
 """Stupid-backoff scores of documents under a bigram model of the same corpus.
 
-    S(w | v) = (count(v w) - n) / (count(v) - n)             if count(v w) > n
-             = ALPHA * max(count(w) - n, 1) / all words      otherwise
-
-Counts cover every word and every pair of every document. A document is scored by what the others say: n, its own
-occurrences of the pair, are left out, so a pair that no other document has backs off to its second word, and words
-that no other document has count as one occurrence. Copies are documents of their own and do speak for each other. Neither words
-nor pairs are bounded, and the driver holds none. A document begins with a border, the context of its first word.
-
-Documents give their distinct pairs with counts. The pair table adds them up, first within each task, then by the hash of
-the pair; it keeps the pairs of two documents or more, as all others back off, and gets the counts of their first words
-by a join. The exploded pairs are then joined to the table by the same hash. Pairs that back off need the
-count of their second word: of the `FREQUENT` most frequent words, a bounded number, it is broadcast; the others are
-added up by document and word and joined to the word counts. Tables are stored before they are joined, so Spark may split the
-rows of a word or pair that a third of all documents have. What is left are sums per document. Words are told apart by
-64-bit hashes, pairs by the hashes of both words.
+    S(w | v) = count(v w) / count(v)             if count(v w) > 0
+             = ALPHA * max(count(w), 1) / all words      otherwise
+
+A document is scored by what all others say: its own words and pairs are left out of every count. So a pair that no
+other document has backs off to its second word, and a word that no other document has counts as one occurrence. Copies are
+documents of their own and do speak for each other. Neither words nor pairs are bounded, and the driver holds none but
+the `FREQUENT` most frequent ones. A document begins with a border, the context of its first word.
+
+The pair table adds up the distinct pairs of all documents, first within each task, then by the hash of the pair; it
+keeps the pairs of two documents or more, as all others back off, and gets the counts of their words by joins. Documents
+then give their pairs again, exploded, with their own counts. The most frequent pairs, a bounded number, are looked up
+where they are found; the others are joined to the table by their hash. A document's score is that of backing off
+everywhere, plus what each pair of the table adds to it: sums per document. The first part is the
+same with words: frequent ones are looked up, others are joined. Tables are stored before they are joined, so Spark may split the
+rows of a word or pair that many documents have. Words and pairs are told apart by 64-bit hashes.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import Words, keyed, slices, stored
+from fareloom.llm.common import Words, keyed, mix, slices, stored
 
 ALPHA = 0.4
 # The border before the first word, also what its count goes by.
 BEGUN = np.uint64(0)
-# Words whose counts are broadcast, at most; 16 bytes each.
+# Words, and pairs, that every task can look up, at most; 16 and 32 bytes each.
 FREQUENT = 200_000
 
 
@@ -75,79 +75,151 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-def least_frequent(counts: DataFrame, most: int) -> int:
-    """The least count that no more than `most` words reach."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect()
-    taken, least = 0, (sizes[0].n + 1 if sizes else 1)
-    for row in sizes:
-        taken += row.words
-        if taken > most:
-            break
-        least = row.n
-    return least
+class Frequent:
+    """The most frequent entries of a table with a column `n`, no more than `FREQUENT`, as arrays sorted by their key."""
+
+    def __init__(self, table: DataFrame, key: str, values: tuple[str, ...]):
+        sizes = table.groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).limit(FREQUENT).collect()
+        taken, least = 0, None
+        for row in sizes:
+            taken += row.entries
+            if taken > FREQUENT:
+                break
+            least = row.n
+        held = table.where(F.col("n") >= least if least is not None else F.lit(False)).select(key, *values).toArrow()
+        keys = held.column(key).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [held.column(v).to_numpy()[order] for v in values]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and where."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+class TextPairs:
+    """The words of some documents and their distinct pairs, with the documents' own counts."""
+
+    def __init__(self, column: pa.Array):
+        words = Words(column)
+        self.rows, self.count = words.rows, len(column)
+        second = words.hashes[0]
+        first = np.empty_like(second)
+        first[1:] = second[:-1]
+        begins = self.rows[:-1][self.rows[:-1] < self.rows[1:]]
+        first[begins] = BEGUN
+        owner = np.repeat(np.arange(self.count), np.diff(self.rows))
+        # Every document's distinct words are numbered; a pair is two of these numbers.
+        order = np.lexsort((second, owner))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(owner[order]) != 0) | (np.diff(second[order]) != 0)
+        self.word_at = order[new]
+        self.word_owner, self.words = owner[self.word_at], second[self.word_at]
+        self.word_n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        before = np.empty_like(number)
+        before[1:] = number[:-1]
+        before[begins] = -1
+        key = number << 32 | before + 1
+        order = np.argsort(key)
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(key[order]) != 0
+        at = order[new]
+        self.first, self.second, self.owner = first[at], second[at], owner[at]
+        self.n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        self.own_second = self.word_n[number[at]]
+        # A document has one border, and its last word is the context of nothing but is counted as a word all the same.
+        self.own_first = np.where(before[at] < 0, 1, self.word_n[before[at]])
+
+    def sums(self, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, values, self.count).astype(np.float64)
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
+
+
+def pair_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pair, n, first_n, second_n): the pairs of two documents or more and how often they and their words occur."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            own = TextPairs(part.column(1))
+            order = np.lexsort((own.second, own.first))  # sorted, they are smaller when they are shuffled
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[order].view(np.int64)) for x in (own.first, own.second)), pa.array(own.n[order].astype(np.int32))], ["first", "second", "n"])
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(first, second).view(np.int64)), *batch.columns[2:]], ["pair", "n", "first_n", "second_n"])
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(first, second, row, n): each document's distinct pairs of words, as hashes, and how often they occur.
+    every = texts.mapInArrow(found, "first long, second long, n int")
+    shared = every.groupBy("first", "second").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).where("documents > 1").drop("documents")
+    table = stored(shared, "shared-pairs")
+    for side in ("first", "second"):
+        own = counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
+        table = stored(table.join(own, side), f"{side}-counts")
+    return table.select("first", "second", "n", "first_n", "second_n").mapInArrow(named, "pair long, n long, first_n long, second_n long")
 
-    Those of some documents come sorted by their first word, which makes them smaller when they are shuffled.
-    """
+
+def word_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, n_words, value): the logarithms of the counts that others have of a document's words, 1 at least, added up."""
+    frequent = Frequent(counts.where("word <> 0"), "word", ("n",))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            own = TextPairs(part.column(1))
+            known, at = frequent.find(own.words)
+            others = np.maximum(frequent.values[0][at[known]] - own.word_n[known], 1)
+            value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
+            yield _rows(part, np.arange(own.count), None, [np.diff(own.rows)], value)
+            yield _rows(part, own.word_owner[~known], own.words[~known], [own.word_n[~known]], None)
+
+    found = stored(texts.mapInArrow(run, "row long, word long, n int, value double"), "words-of-documents")
+    known = found.where("value IS NOT NULL").select("row", F.col("n").cast("long").alias("n_words"), "value")
+    rare = found.where("value IS NULL").join(counts.select("word", F.col("n").alias("word_n")), "word")
+    value = F.col("n") * F.log(F.greatest(F.col("word_n") - F.col("n"), F.lit(1)))
+    both = known.unionByName(rare.select("row", F.lit(0).cast("long").alias("n_words"), value.alias("value")))
+    return both.groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("value").alias("value"))
+
+
+def pair_sums(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, pair_n, pair_value): how many of a document's pairs others have, and the logarithms of their shares less what
+    backing off has for them, added up."""
+    frequent = Frequent(table, "pair", ("n", "first_n", "second_n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
-            words = Words(part.column(1))
-            second, rows = words.hashes[0], words.rows
-            if not len(second):
-                continue
-            first = np.empty_like(second)
-            first[1:] = second[:-1]
-            first[rows[:-1][rows[:-1] < rows[1:]]] = BEGUN
-            owner = np.repeat(np.arange(part.num_rows), np.diff(rows))
-            order = np.lexsort((owner, second, first))
-            ordered = [x[order] for x in (first, second, owner)]
-            new = np.ones(len(order), bool)
-            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ordered])
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(order)))
-            columns = [pa.array(x[at].view(np.int64)) for x in ordered[:2]]
-            yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(ordered[2][at])), pa.array(counts.astype(np.int32))], ["first", "second", "row", "n"])
-
-    return docs.mapInArrow(run, "first long, second long, row long, n int")
-
-
-def pair_table(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b, total, context): the pairs of two documents or more, how often they occur, and the counts of their first words."""
-    shared = found.groupBy("first", "second").agg(F.sum("n").alias("total"), F.count("*").alias("documents")).where("documents > 1")
-    shared = stored(shared.select(F.col("first").alias("a"), F.col("second").alias("b"), "total"), "shared-pairs")
-    return stored(shared.join(counts.withColumnRenamed("n", "context"), F.col("a") == F.col("word")).select("a", "b", "total", "context"), "pairs")
-
-
-def _sums(texts: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
-    """(row, n_words, log_score) for rows (row, text) and the word counts."""
-    total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 1
-    least = least_frequent(counts, FREQUENT)
-    found = pairs(texts)
-    table = pair_table(found, counts)
-    met = found.join(table, (F.col("first") == F.col("a")) & (F.col("second") == F.col("b")), "left")
-    seen = F.col("total") > F.col("n")
-    direct = F.when(seen, F.col("n") * (F.log(F.col("total") - F.col("n")) - F.log(F.col("context") - F.col("n"))))
-    met = met.select("row", "n", direct.alias("direct"), F.when(seen, F.lit(None)).otherwise(F.col("second")).alias("back"))
-
-    backed = lambda n, word_n: n * (math.log(alpha) - math.log(total) + F.log(F.greatest(word_n - n, F.lit(1))))
-    frequent = F.broadcast(counts.where(F.col("n") >= least).select("word", F.col("n").alias("word_n")))
-    met = met.join(frequent, F.col("back") == F.col("word"), "left")
-    value = F.coalesce("direct", backed(F.col("n"), F.col("word_n")))
-    rare = F.when(F.col("direct").isNull() & F.col("word_n").isNull(), F.col("back"))
-    # A rare word keeps its pairs' counts apart, as each is left out of the word's count on its own.
-    parts = met.select("row", "n", value.alias("value"), rare.alias("rare"), F.when(rare.isNotNull(), F.col("n")).alias("own"))
-    parts = stored(parts.groupBy("row", "rare", "own").agg(F.sum("n").alias("n"), F.sum("value").alias("value")), "scores-and-rare-words")
-
-    known = parts.where("rare IS NULL").groupBy("row").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
-    asked = parts.where("rare IS NOT NULL").join(counts.select("word", F.col("n").alias("word_n")), F.col("rare") == F.col("word"))
-    # Equal pairs' counts of one document and word were added up: n / own of them.
-    values = asked.select("row", "n", (F.col("n") / F.col("own") * backed(F.col("own"), F.col("word_n"))).alias("value"))
-    both = known.unionByName(values.groupBy("row").agg(F.sum("n").alias("n"), F.sum("value").alias("value")))
-    return both.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("value").alias("log_score"))
+            own = TextPairs(part.column(1))
+            pair = pair_hash(own.first, own.second)
+            known, at = frequent.find(pair)
+            n, own_n, owner = own.n[known], [x[known] for x in (own.n, own.own_first, own.own_second)], own.owner[known]
+            both, first, second = (values[at[known]] - mine for values, mine in zip(frequent.values, own_n, strict=True))
+            seen = both > 0
+            n, owner, both, first, second = (x[seen] for x in (n, owner, both, first, second))
+            value = own.sums(owner, n * (np.log(both) - np.log(first) - np.log(np.maximum(second, 1))))
+            zero = np.zeros(own.count, np.int64)
+            yield _rows(part, np.arange(own.count), None, [own.sums(owner, n), zero, zero], value)
+            yield _rows(part, own.owner[~known], pair[~known], [x[~known] for x in (own.n, own.own_first, own.own_second)], None)
+
+    found = texts.mapInArrow(run, "row long, word long, n int, own_first int, own_second int, value double")
+    met = found.join(table.select(F.col("pair").alias("word"), F.col("n").alias("pair_n"), "first_n", "second_n"), "word", "left")
+    left_out = F.col("pair_n") - F.col("n")
+    share = F.log(left_out) - F.log(F.col("first_n") - F.col("own_first")) - F.log(F.greatest(F.col("second_n") - F.col("own_second"), F.lit(1)))
+    ready, seen = F.col("value").isNotNull(), left_out > 0
+    parts = met.select("row", F.when(ready | seen, F.col("n")).otherwise(0).alias("pair_n"), F.when(ready, F.col("value")).when(seen, F.col("n") * share).otherwise(0.0).alias("pair_value"))
+    return parts.groupBy("row").agg(F.sum("pair_n").alias("pair_n"), F.sum("pair_value").alias("pair_value"))
+
+
+def _rows(part: pa.RecordBatch, owner: np.ndarray, key: np.ndarray | None, numbers: list[np.ndarray], value: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of the documents `owner`: sums, with the document's own name as key to be dealt out by, or keys without sums."""
+    keys = part.column(0).take(pa.array(owner)) if key is None else pa.array(key.view(np.int64))
+    values = pa.nulls(len(owner), pa.float64()) if value is None else pa.array(value)
+    names = ["n", "own_first", "own_second"][: len(numbers)]
+    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), keys, *(pa.array(x.astype(np.int32)) for x in numbers), values], ["row", "word", *names, "value"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -155,10 +227,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
     texts = source.select("row", "text")
     counts = stored(word_counts(texts), "words")
-    sums = stored(_sums(texts, counts, alpha), "scores")
+    total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 0
+    table = stored(pair_table(texts, counts), "pairs")
+    by_pairs = stored(pair_sums(texts, table), "pair-sums")
+    by_words = stored(word_sums(texts, counts), "word-sums")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    each = sums.join(copies, "row").select("row", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"), (F.col("log_score") / F.col("copies")).alias("log_score"))
+    # Repeated rows were added up under one name.
+    one = [(F.col(n) / F.col("copies")).alias(n) for n in ("n_words", "value", "pair_n", "pair_value")]
+    each = by_words.join(by_pairs, "row").join(copies, "row").select("row", *one)
+    backed = math.log(alpha) - F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1.0)))
+    log_score = F.col("value") + F.col("pair_value") + (F.col("n_words") - F.col("pair_n")) * backed
+    each = each.where("n_words > 0").select("row", F.col("n_words").cast("long").alias("n_words"), log_score.alias("log_score"))
     return rows.join(each, "row", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("n_words", F.lit(0)).alias("n_words"),

@@ -17,9 +17,10 @@ def brute_force(rows, alpha=L.ALPHA):
     single["<s>"] = sum(map(bool, lists))
     out = []
     for (i, _), words in zip(rows, lists, strict=True):
-        value = 0.0
+        value, own = 0.0, Counter(words) + Counter({"<s>": bool(words)})
         for (v, w), n in Counter(zip(["<s>", *words], words)).items():
-            share = (seen[v, w] - n) / (single[v] - n) if seen[v, w] > n else alpha * max(single[w] - n, 1) / total
+            others = seen[v, w] - n
+            share = others / (single[v] - own[v]) if others else alpha * max(single[w] - own[w], 1) / max(total - len(words), 1)
             value += n * math.log(share)
         out.append((i, len(words), value))
     return out
@@ -58,8 +59,8 @@ def test_backs_off_without_its_own_counts(spark):
     """A pair that only one document has backs off however often it has it; copies speak for each other."""
     rows = [(1, "p q p q p q"), (2, "x y"), (3, "x y"), (4, "x y x y")]
     found = {i: s for i, _, s in scored(spark, rows)}
-    total = 14
-    assert found[1] == pytest.approx(math.log(0.4 * 2 / total) + 5 * math.log(0.4 / total), abs=1e-5)  # p: 3 - 1, then 3 - 2; q: 3 - 3
+    # Of 14 words 6 are its own, and nobody else has p or q.
+    assert found[1] == pytest.approx(6 * math.log(0.4 / 8), abs=1e-5)
     # <s> x: two of the three other documents; x y: three of three other x.
     assert found[2] == pytest.approx(math.log(2 / 3) + math.log(3 / 3), abs=1e-5)
 
