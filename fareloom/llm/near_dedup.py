@@ -8,9 +8,9 @@ the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands; texts that share a band are candidates. Exact copies are put together first, by digest.
 In a band's bucket all texts are compared with the one that shares most buckets with others, the leader. Texts with no link to
-it are compared with all texts of the bucket, by their signatures only, as packs of texts against blocks of texts inside a task,
-so that only pairs whose signatures agree come out; no group is turned into all its pairs. Signatures that agree too little to be similar are
-set aside; for the others texts are fetched, and the similarity is computed from them. Links of at least `SIMILARITY` make classes; a class has its smallest document id
+it are compared with all texts that have the same leader, as packs of texts against blocks of texts inside a task, so that only links
+come out; no group is turned into all its pairs. Signatures that agree too little to be similar are set aside, for the
+others the similarity is computed from the texts. Links of at least `SIMILARITY` make classes; a class has its smallest document id
 and, as ids can be null or repeated, the smallest digest of its texts as a name.
 
 Words are separated by white space and not changed. Defined results: texts of one to four words are one shingle;
@@ -37,7 +37,7 @@ COORDINATES = BANDS * ROWS
 # A pair at the limit has 100 equal coordinates of 125 on average, with a deviation of 4.5; 75 are 5.6 deviations less.
 LEAST_EQUAL = 75
 # Texts without a link, and texts they are compared with, in one task's step.
-PACK, BLOCK = 128, 512
+PACK, BLOCK = 32, 128
 # Rank intervals: from 0 to 1/64, then each as long as all before it.
 _EDGES = np.array([0.0, *(2.0 ** np.arange(-6, 20))])
 _DARTS = COORDINATES * (np.log(COORDINATES) + 4)
@@ -176,32 +176,42 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _loose_pairs(spots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket, where one has no link to the bucket's leader, if their signatures do not rule out similarity.
+def _loose_links(groups: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of the texts that have none to their leader, with all texts of that leader.
 
-    `spots` has bucket, node and loose, without leaders. Texts go to packs and blocks by their hash; each pack meets each block of its bucket.
+    `groups` has leader, node and linked. Texts go to packs and blocks by their hash; each pack meets each block of its leader.
     """
-    sizes = spots.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.col("loose").cast("int")).alias("loose_size")).where("loose_size > 0 AND size > 1")
-    full = spots.join(stored(sizes, "loose-sizes"), "bucket").join(nodes.select("node", "sketch"), "node")
-    full = stored(full.withColumn("item", F.struct("node", "sketch")), "loose-buckets")
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("loose > 0 AND size > 1")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1, 1 << 20):
+            found, rows = regions(part.column(1))
+            packed = [np.sort(found[a:b]).tobytes() for a, b in zip(rows.tolist(), rows[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["node", "keys"])
+
+    wanted = groups.join(sizes, "leader")
+    details = texts.join(wanted.select("node").distinct().hint("merge"), "node").select("node", "text").mapInArrow(keys, "node binary, keys binary")
+    details = stored(details.join(nodes.select("node", "sketch"), "node"), "group-texts")
+    full = wanted.join(details, "node").withColumn("item", F.struct("node", "sketch", "keys"))
     turn = lambda count, most: F.pmod(F.xxhash64("node"), F.ceil(F.col(count) / most))
-    # Both are stored, so that the join can split a bucket with many packs.
-    blocks = stored(full.groupBy("bucket", turn("size", BLOCK).alias("block")).agg(F.collect_list("item").alias("block_items")), "blocks")
-    packs = stored(full.where("loose").groupBy("bucket", turn("loose_size", PACK).alias("pack")).agg(F.collect_list("item").alias("pack_items")), "packs")
+    blocks = full.groupBy("leader", turn("size", BLOCK).alias("block")).agg(F.collect_list("item").alias("block_items"))
+    packs = full.where("NOT linked").groupBy("leader", turn("loose", PACK).alias("pack")).agg(F.collect_list("item").alias("pack_items"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                (ours, marks), (theirs, others) = (_unpacked(batch.column(c).slice(n, 1).flatten()) for c in (0, 1))
-                found = [(min(own, theirs[j]), max(own, theirs[j])) for own, mark in zip(ours, marks, strict=True) for j in np.flatnonzero((others == mark).sum(1) >= LEAST_EQUAL).tolist() if own != theirs[j]]
+                pack, block = (batch.column(c)[n].as_py() for c in (0, 1))
+                marks = [np.frombuffer(b"".join(i["sketch"] for i in side), np.uint8).reshape(-1, COORDINATES) for side in (pack, block)]
+                sets = [np.frombuffer(i["keys"], np.uint64) for i in block]
+                found = []
+                for item, mark in zip(pack, marks[0], strict=True):
+                    mine = np.frombuffer(item["keys"], np.uint64)
+                    for j in np.flatnonzero((marks[1] == mark).sum(1) >= LEAST_EQUAL).tolist():
+                        if block[j]["node"] != item["node"] and _reaches(mine, sets[j]):
+                            found.append((item["node"], block[j]["node"]))
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return packs.join(blocks, "bucket").select("pack_items", "block_items").mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _unpacked(items: pa.StructArray) -> tuple[list[bytes], np.ndarray]:
-    """Names and sketches of a list of texts."""
-    return items.field(0).to_pylist(), np.frombuffer(b"".join(items.field(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return packs.join(blocks, "leader").select("pack_items", "block_items").mapInArrow(compare, "a binary, b binary")
 
 
 def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -212,22 +222,19 @@ def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) for similar different texts, enough of them to connect every text with its class."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(buckets.join(stored(shared, "shared-buckets"), "bucket"), "buckets")
+    shared = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    members = stored(buckets.join(shared, "bucket"), "buckets")
     central = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "central")
     leaders = members.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("met"), "node"))["node"].alias("leader"))
-    spots = stored(members.select("bucket", "node").join(stored(leaders, "leaders"), "bucket").where("node <> leader"), "spots")
-    groups = stored(spots.select("leader", "node").distinct(), "groups")
+    groups = stored(members.select("bucket", "node").join(stored(leaders, "leaders"), "bucket").where("node <> leader").select("leader", "node").distinct(), "groups")
     involved = groups.select("node").unionByName(groups.select(F.col("leader").alias("node"))).distinct()
-    # The same join at every size, although Spark would send few names to all texts.
-    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(involved.hint("merge"), "node").dropDuplicates(["node"])
+    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(involved.hint("merge"), "node").dropDuplicates(["node"])  # the same join at every size
     texts = stored(texts, "candidate-texts")
     pairs = groups.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     first = stored(_similar(stored(_agreeing(pairs, nodes), "agreeing"), texts), "links")
     linked = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked"))
-    spots = spots.join(linked, ["leader", "node"], "left").select("bucket", "node", F.col("linked").isNull().alias("loose"))
-    loose = stored(_loose_pairs(stored(spots, "spots"), nodes), "agreeing")
-    return first.unionByName(stored(_similar(loose, texts), "links"))
+    groups = stored(groups.join(linked, ["leader", "node"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "groups")
+    return first.unionByName(stored(_loose_links(groups, texts, nodes), "links")).distinct()
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
