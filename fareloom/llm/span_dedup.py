@@ -10,7 +10,7 @@ graph, the words from one anchor to the end of the next are its edges.
    out of its node and the only one into the next, the path does not branch, and consecutive anchors of a document become one
    path. Every occurrence of a part of a path lies in an occurrence of the whole path, so one
    decision holds for all windows inside it.
-3. The documents give, from their own words, a 96-bit hash of each path and of each window that has a repeated anchor but
+3. The documents give, from their own words, a 128-bit hash of each path and of each window that has a repeated anchor but
    lies in no path. The smallest coordinate (id, text, start) of each hash is the source; all other spans are removed.
 
 Words are runs of anything but ASCII white space. Defined results: null and empty texts have no words; repeated rows count as
@@ -73,14 +73,13 @@ def nodes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             level = flat[end] - flat[begin]
             between = prefix[end] - prefix[begin] - level * (begin.astype(np.uint64) * np.uint64(2))
             edge = mix(between + runs[place[1:]] * _BASE + gap.astype(np.uint64))
-            edge = ((edge & np.uint64(0x7FFFFFFF)) | np.uint64(1)).astype(np.int32)
-            edge_out = np.append(np.where(same, edge, 0), 0).astype(np.int32)
-            edge_in = np.append(0, np.where(same, edge, 0)).astype(np.int32)
+            edge = np.where(same, (edge | np.uint64(1)).view(np.int64), 0)
+            edge_out, edge_in = np.append(edge, 0), np.append(0, edge)
             columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((place - rows[row]).astype(np.int32)), pa.array(runs[place].view(np.int64)), pa.array(edge_in), pa.array(edge_out)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "pos", "node", "edge_in", "edge_out"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, copy long, pos int, node long, edge_in int, edge_out int")
+    return docs.mapInArrow(run, f"id {kind}, copy long, pos int, node long, edge_in long, edge_out long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -142,17 +141,18 @@ def spans(met: DataFrame, width: int = WIDTH) -> DataFrame:
                 out.append((whole[0][at], whole[1][at], np.full(len(at), width), np.full(len(at), n), loose))
             if out:
                 h1, h2, size, row, start = (np.concatenate(c) for c in zip(*out, strict=True))
-                columns = [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))]
+                columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(size.astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "size", "id", "copy", "start"])
 
     kind = met.schema["id"].dataType.simpleString()
-    return met.mapInArrow(run, f"h1 long, h2 int, size int, id {kind}, copy long, start int")
+    return met.mapInArrow(run, f"h1 long, h2 long, size int, id {kind}, copy long, start int")
 
 
 def later(found: DataFrame) -> DataFrame:
     """The spans (id, copy, start, size) that are not the first ones of their words."""
     here = F.struct("id", "copy", "start")
-    first = found.groupBy("h1", "h2", "size").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Stored, as in `repeated`: a passage that very many documents share is split in the join.
+    first = stored(found.groupBy("h1", "h2", "size").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "sources")
     return found.join(first, ["h1", "h2", "size"]).where(~here.eqNullSafe(F.col("first"))).select("id", "copy", "start", "size")
 
 
@@ -211,11 +211,12 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # The same rows in SQL for an independent engine.
 SQL = r"""
 WITH letters AS (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents)),
 wins AS (SELECT r, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM letters WHERE len(w) >= 20)),
 numbered AS (SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY r, i) AS turn FROM wins),
 gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM numbered WHERE turn > 1) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [w[p] for p in range(1, len(w) + 1) if NOT list_contains(ps, p)] END, ' '), '')) AS kept_sha256
-FROM letters LEFT JOIN gone USING (r)
+FROM documents d JOIN letters l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text IS NOT DISTINCT FROM l.text LEFT JOIN gone USING (r)
 """

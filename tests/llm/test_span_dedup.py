@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from fareloom.llm import span_dedup as S
@@ -56,6 +57,29 @@ def test_brute_force(spark, seed):
     assert sum(r[2] for r in found) > 500
 
 
+def test_sql_with_repeated_rows_and_null_ids(spark):
+    """Repeated rows are one document and a row without id comes first, in SQL as well."""
+    rows = documents(5)
+    rows += [rows[4], rows[4], (None, rows[6][1]), (None, rows[6][1])]
+    rows = [r for r in rows if r[0] is not None or r[1] == rows[-1][1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    found = sorted((tuple(r) for r in S.remove_repeated_spans(df).collect()), key=repr)
+    assert found == sorted(con.sql(S.SQL).fetchall(), key=repr)
+
+
+def test_long_text_and_passage_of_a_third(spark):
+    """A text of 200,000 words that repeats its half, and one passage in a third of 600 documents."""
+    draw = random.Random(7)
+    half = " ".join(f"w{draw.randrange(10**6)}" for _ in range(100_000))
+    passage = " ".join(f"p{n}" for n in range(60))
+    rows = [(n, f"only{n} {passage} end{n}" if n % 3 == 0 else f"alone{n}") for n in range(600)]
+    found = {r.doc_id: r for r in S.remove_repeated_spans(spark.createDataFrame([*rows, (1000, f"{half} {half}")], "doc_id long, text string")).collect()}
+    assert (found[1000].n_words, found[1000].n_removed) == (200_000, 100_000)
+    assert found[0].n_removed == 0 and all(found[n].n_removed == 60 for n in range(3, 600, 3))
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = " ".join(map(str, range(50)))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
