@@ -2,20 +2,25 @@
 
 Adding doubles gives a result that depends on the order of the rows, and a mean
 that sits on half a cent then rounds either way. Here every double is cut, by powers of two and so without
-loss, into its whole part and three runs of binary digits after the point. All four are added as 64-bit
-integers in the normal hash aggregate; only the total is rounded. Amounts of money are decimal numbers that
+loss, into its whole part and four runs of binary digits after the point. All five are added as 64-bit
+integers in the normal hash aggregate; only the total is rounded. A run has at most 21 digits, so one aggregate can add
+up 2**42 values, 4e12, and where partial totals meet, what a run has beyond its digits is first carried into the run before
+it: merging adds the same few digits for a partial total of any size. Amounts of money are decimal numbers that
 doubles miss by a hair, so a total is first taken to the nearest billionth, where these hairs vanish and half a cent is
 half a cent again. Digits below 2**-83 are left out. That is also several times faster than adding decimals.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Binary digits after the point in each run.
-RUNS = {"upper": 26, "lower": 27, "rest": 30}
-UNIT = 2 ** (RUNS["upper"] + RUNS["lower"])
+# Binary digits after the point in each run, from the point on.
+RUNS = {"upper": 21, "middle": 21, "lower": 21, "rest": 20}
+# What the fraction of a total is a multiple of, from its first three runs.
+UNIT = 2 ** (RUNS["upper"] + RUNS["middle"] + RUNS["lower"])
 BILLION = 10**9
 
 # A double from here on has no digits after the point that would matter, nor would their rounding.
@@ -25,13 +30,17 @@ LARGEST = 9e18
 
 
 def _parts(value: Column) -> dict[str, Column]:
-    """The whole part, rounded down, and the runs of digits after the point; null unless finite and below `LARGEST`."""
-    kept = F.when(F.abs(value) < LARGEST, value)
-    parts = {"whole": F.floor(kept)}
-    left = kept - F.floor(kept)
+    """The whole part and the runs of digits after the point, with the value's sign; null unless finite and below `LARGEST`.
+
+    They are cut from the magnitude, whose fraction is exact; that of a negative value less its next lower integer is not.
+    """
+    size = F.when(F.abs(value) < LARGEST, F.abs(value))
+    sign = F.when(value < 0, F.lit(-1).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+    parts = {"whole": F.floor(size) * sign}
+    left = size - F.floor(size)
     for name, digits in RUNS.items():
         left = left * float(2**digits)
-        parts[name] = F.floor(left)
+        parts[name] = F.floor(left) * sign
         left = left - F.floor(left)
     return parts
 
@@ -47,11 +56,20 @@ def exact_totals(name: str, value: Column) -> list[Column]:
     ]
 
 
+def _carried(name: str) -> dict[str, Column]:
+    """The whole part, rounded down, and the runs of a total, each with no more than its digits; what is over has gone into the one before."""
+    out, over = {}, F.lit(0).cast("bigint")
+    for run, digits in reversed(RUNS.items()):
+        held = F.col(f"{name}_{run}") + over
+        out[run], over = held.bitwiseAND(F.lit(2**digits - 1).cast("bigint")), F.shiftright(held, digits)
+    return {"whole": F.try_add(F.col(f"{name}_whole"), over), **{run: out[run] for run in RUNS}}
+
+
 def merged_totals(name: str) -> list[Column]:
     """The same aggregates over rows that hold partial totals."""
     summed = ("float", "count", "finite")
     return [
-        *(F.try_sum(f"{name}_{run}").alias(f"{name}_{run}") for run in ("whole", *RUNS)),
+        *(F.try_sum(part).alias(f"{name}_{run}") for run, part in _carried(name).items()),
         *(F.sum(f"{name}_{column}").alias(f"{name}_{column}") for column in summed),
     ]
 
@@ -64,18 +82,16 @@ def _cents(numerator: Column, denominator: Column) -> Column:
 
 
 def _decimal(column: Column | int) -> Column:
-    return (F.lit(column) if isinstance(column, int) else column).cast("decimal(19,0)")
+    return (F.lit(Decimal(column)) if isinstance(column, int) else column).cast("decimal(19,0)")
 
 
 def _in_billionths(name: str) -> Column:
     """The total as an integer, to the nearest billionth."""
-    carried = F.shiftright(f"{name}_rest", RUNS["rest"])
-    fraction = _decimal(F.col(f"{name}_upper")) * _decimal(2 ** RUNS["lower"]) + _decimal(F.col(f"{name}_lower")) + _decimal(carried)
-    fraction = fraction.cast("decimal(37,0)")
-    over = _decimal(F.call_function("div", fraction, _decimal(UNIT)))
-    left = _decimal(fraction % _decimal(UNIT))
-    near = F.call_function("div", left * _decimal(2 * BILLION) + _decimal(UNIT), _decimal(2 * UNIT))
-    return ((_decimal(F.col(f"{name}_whole")) + over) * _decimal(BILLION) + _decimal(near)).cast("decimal(30,0)")
+    parts = _carried(name)
+    fraction = F.shiftleft(parts["upper"], RUNS["middle"] + RUNS["lower"]) + F.shiftleft(parts["middle"], RUNS["lower"]) + parts["lower"]
+    # The fraction is below UNIT; twice UNIT has 20 digits.
+    near = F.call_function("div", _decimal(fraction) * _decimal(2 * BILLION) + _decimal(UNIT), F.lit(Decimal(2 * UNIT)).cast("decimal(20,0)"))
+    return (_decimal(parts["whole"]) * _decimal(BILLION) + _decimal(near)).cast("decimal(30,0)")
 
 
 def _total(name: str, denominator: Column) -> Column:
@@ -84,7 +100,7 @@ def _total(name: str, denominator: Column) -> Column:
     Values that are infinite, not a number or beyond 64 bits follow floating-point rules.
     """
     billionths, approximate = _in_billionths(name), F.col(f"{name}_float")
-    exact = F.col(f"{name}_finite") == F.col(f"{name}_count")
+    exact = (F.col(f"{name}_finite") == F.col(f"{name}_count")) & _carried(name)["whole"].isNotNull()
     for run in ("whole", *RUNS):
         exact = exact & F.col(f"{name}_{run}").isNotNull()
     small = F.abs(F.col(f"{name}_whole")) < NO_CENTS

@@ -3,6 +3,7 @@
 import math
 from datetime import date, datetime
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -166,3 +167,33 @@ def test_large_totals_do_not_depend_on_partitions(spark):
     assert len({both(df.repartition(n)) for n in (1, 3, 16)}) == 1
     assert both(df)[0] == round(math.fsum(v for v, in values), 2)
     assert both(spark.createDataFrame([(1e300,), (1.0,)], "x double")) == (1e300, 5e299)
+
+
+def scaled(spark, value, rows, times):
+    """Totals that stand for `rows * times` values: those of `rows` values, multiplied."""
+    parts = spark.createDataFrame([(value,)] * rows, "x double").agg(*exact_totals("x", F.col("x")))
+    return parts.select(*((F.col(c) * times).alias(c) for c in parts.columns))
+
+
+@pytest.mark.parametrize("value", [0.3, 0.1, -0.3, 0.49999999, 1e-7])
+def test_totals_of_forty_billion_values(spark, value):
+    """Runs carry where totals meet, so that neither the number of values nor the order of merging shows."""
+    part = scaled(spark, value, 100, 10**8)
+    many = reduce(lambda a, b: a.unionAll(b), [part, part, part, part])
+    mixed = many.unionAll(spark.createDataFrame([(0.005,)], "x double").agg(*exact_totals("x", F.col("x"))))
+    shown = [rounded_sum("x").alias("s"), rounded_mean("x").alias("m"), F.col("x_rest").isNotNull().alias("exact")]
+    orders = [mixed.repartition(1).agg(*merged_totals("x")), mixed.repartition(5).agg(*merged_totals("x"))]
+    twice = mixed.withColumn("k", F.monotonically_increasing_id() % 2).groupBy("k").agg(*merged_totals("x")).agg(*merged_totals("x"))
+    found = {tuple(df.select(*shown).first()) for df in (*orders, twice)}
+    assert len(found) == 1
+    total, mean, exact = found.pop()
+    wanted = Decimal(value) * 4 * 10**10 + Decimal(0.005)
+    assert exact and total == cents(wanted.quantize(Decimal("1e-9"))) and mean == cents(Decimal(value).quantize(Decimal("1e-9")))
+
+
+def test_one_aggregate_adds_up_as_many_values_as_its_runs_have_room_for(spark):
+    """The largest digits of every run, 2**42 times, fit the sums."""
+    part = scaled(spark, 1 - 2**-53, 4, 2**40)
+    row = part.select(rounded_sum("x").alias("s"), *part.columns).first()
+    assert row.s == float(2**42)  # a two-thousandth less, in cents
+    assert max(row[f"x_{run}"] for run in ("upper", "middle", "lower", "rest")) < 2**63
