@@ -31,6 +31,7 @@ class TableNames:
     batch_staging: str = "stg_green_taxi_batch"
     stream_staging: str = "stg_green_taxi_stream"
     trips: str = "int_green_taxi_trips"
+    trip_days: str = "int_trip_days"
     daily_totals: str = "int_daily_totals"
     daily_mart: str = "mart_daily_taxi_summary"
     monthly_mart: str = "mart_monthly_taxi_performance"
@@ -47,3 +48,5 @@ class WarehouseConfig:
     rules: TripRules = field(default_factory=TripRules)
     tables: TableNames = field(default_factory=TableNames)
     kept_versions: int = 2
+    # Buckets of the key-to-day table; about as many as a shuffle of all its keys would have partitions.
+    key_buckets: int = 8

@@ -255,9 +255,9 @@ def all_sql() -> dict[str, str]:
         "check_stream_exists": _with(_gate("check_stream_data_exists", "raw_stream", _count_if(IN_STREAM), "> 0")),
         "check_mart_row_count": _with(_gate("check_mart_row_count", "daily", "count(*)", "> 0")),
         "assert_summary": _with("""
-SELECT CAST(0 AS INTEGER) AS "position", 'daily_trip_summary must contain rows' AS message, count(*) > 0 AS holds
+SELECT CAST(0 AS INTEGER) AS "position", 'no rows in daily_trip_summary' AS message, count(*) > 0 AS holds
 FROM zone_summary
-UNION ALL SELECT CAST(1 AS INTEGER), 'summary contains invalid metrics',
+UNION ALL SELECT CAST(1 AS INTEGER), 'a summary row without trips or with negative revenue',
   count(*) FILTER (WHERE trip_count <= 0 OR total_revenue < 0) = 0 FROM zone_summary"""),
         "test_not_null": _with(
             _union(
@@ -285,6 +285,8 @@ SELECT "PULocationID" AS missing_key, count(*) AS child_rows FROM raw_batch b
 WHERE NOT EXISTS (SELECT 1 FROM raw_stream s WHERE s.pickup_location_id = b."PULocationID")
   AND "PULocationID" IS NOT NULL
 GROUP BY 1"""),
+        "incremental_trips": _with("SELECT * FROM int_trips", raw_stream=VALIDATED_STREAM),
+        "incremental_trip_marts": _with("SELECT * FROM daily", raw_stream=VALIDATED_STREAM),
         "incremental_daily": _with("SELECT * FROM daily"),
         "incremental_monthly": _with("SELECT * FROM monthly"),
         "fractional_amounts": _with(

@@ -1,20 +1,20 @@
 """The trip warehouse from files and stream to published marts.
 
 Each table is written, checked and only then published, so a failing gate
-leaves every published table as the last good run left it.
+leaves every published table as the last good run left it. Trips and what is made of them are published as one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fareloom.config import DateWindow, WarehouseConfig
-from fareloom.contracts import TRIP_CLUSTER
+from fareloom.contracts import BATCH_DAY, TRIP_CLUSTER
 from fareloom.functions.scalars import in_window
 from fareloom.operators import gates
 from fareloom.operators.conform import unified_trips
@@ -26,9 +26,17 @@ from fareloom.operators.tables import (
     drop_unpublished,
     new_run_id,
     publish,
+    publish_together,
+    published_version,
     qualified,
+    version_folder,
+    version_name,
+    versions,
+    write_days,
+    write_measured,
     write_version,
 )
+from fareloom.session import scratch_path
 from fareloom.sources.files import read_files, stage_batch
 
 
@@ -47,6 +55,9 @@ def trips(
     return keep_latest(unified_trips(raw, staged_stream, config, run_stamp))
 
 
+Passed = Callable[..., None]
+
+
 def run(
     spark: SparkSession,
     config: WarehouseConfig,
@@ -56,18 +67,15 @@ def run(
     """Load, check, transform, check, summarise, check; publish what passed.
 
     The stream staging table has to exist under its configured name. Raises
-    `QualityGateError` at the first table whose gates do not all pass.
+    `QualityGateError` at the first table whose gates do not all pass. Gates that count rows are measured while
+    their table is written.
     """
     names, database = config.tables, config.database
     run_id = new_run_id()
     results: list[GateResult] = []
 
-    def passed(table: str, *reports: DataFrame) -> None:
-        whole = reports[0]
-        for report in reports[1:]:
-            whole = whole.unionByName(report)
-        rows = gates.require(whole)
-        results.extend(GateResult(table, r["gate"], r["observed"], r["passed"]) for r in rows)
+    def passed(table: str, *reports: DataFrame | Sequence[Row]) -> None:
+        results.extend(GateResult(table, r["gate"], r["observed"], r["passed"]) for r in gates.require(*reports))
 
     create_database(spark, database, config.location)
     stored = (names.batch_staging, names.trips, names.daily_totals, names.daily_mart, names.monthly_mart)
@@ -77,25 +85,19 @@ def run(
         seen = gates.stream_rows(stream, config.stream_window)
         passed(names.stream_staging, gates.evaluate(seen, gates.has_rows("check_stream_data_exists")))
 
-        raw = spark.table(stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id))
-        passed(
-            names.batch_staging,
-            gates.evaluate(raw, gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls")),
-        )
+        arrived = (gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls"))
+        batch, measured = stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id, gates.measures(arrived))
+        passed(names.batch_staging, gates.judged(arrived, measured))
         publish(spark, database, names.batch_staging, run_id)
 
-        latest = trips(raw, stream, config, run_stamp)
-        trips_table = write_version(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER)
-        current = spark.table(trips_table)
-        passed(
-            names.trips,
-            gates.evaluate_columns(spark, "check_required_schema", trips_table),
-            gates.evaluate(current, gates.has_valid_values("check_invalid_values", config.rules)),
-            gates.evaluate(current, gates.has_unique_key("check_duplicates")),
-        )
-        publish(spark, database, names.trips, run_id)
-
-        publish_marts(spark, config, daily_totals(current), run_id, passed)
+        latest = trips(spark.table(batch), stream, config, run_stamp)
+        valid = (gates.has_valid_values("check_invalid_values", config.rules),)
+        folder = version_folder(spark, database, names.trips, run_id)
+        table, measured = write_measured(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER, gates.measures(valid), folder)
+        _check_trips(spark, config, table, gates.judged(valid, measured), passed)
+
+        marts = store_marts(spark, config, daily_totals(spark.table(table)), run_id, passed)
+        publish_together(spark, database, {names.trips: run_id, **marts})
     except BaseException:
         drop_unpublished(spark, database, stored, run_id)
         raise
@@ -104,22 +106,45 @@ def run(
     return results
 
 
-def publish_marts(
-    spark: SparkSession, config: WarehouseConfig, totals: DataFrame, run_id: str, passed: Callable[..., None]
-) -> None:
-    """Store totals and both marts, check both marts, and publish all three.
+def _check_trips(spark: SparkSession, config: WarehouseConfig, table: str, measured: Sequence[Row], passed: Passed, checked: Column | None = None) -> None:
+    """The gates of a version of the trips, that on its keys over the rows that are `checked`."""
+    rows = spark.table(table) if checked is None else spark.table(table).where(checked)
+    passed(
+        config.tables.trips,
+        gates.evaluate_columns(spark, "check_required_schema", table),
+        measured,
+        gates.evaluate(rows, gates.has_unique_key("check_duplicates")),
+    )
+
+
+def store_marts(spark: SparkSession, config: WarehouseConfig, totals: DataFrame, run_id: str, passed: Passed) -> dict[str, str]:
+    """Store totals and both marts and check both marts; the tables and their run, to be published.
 
     A mart has a few rows a day, so it is stored as few files sorted by day, whose row-group statistics serve
     day filters, and not as a folder per day.
     """
     names, database = config.tables, config.database
     stored = spark.table(write_version(totals, database, names.daily_totals, run_id, None, ("pickup_date",)))
-    daily = write_version(daily_mart(stored), database, names.daily_mart, run_id, None, ("pickup_date", "source_type"))
-    monthly = write_version(monthly_mart(stored), database, names.monthly_mart, run_id, None, ("pickup_month", "source_type"))
-    passed(names.daily_mart, gates.evaluate(spark.table(daily), gates.has_rows("check_mart_row_count")))
-    passed(names.monthly_mart, gates.evaluate(spark.table(monthly), gates.has_rows("check_mart_row_count")))
-    for table in (names.daily_totals, names.daily_mart, names.monthly_mart):
-        publish(spark, database, table, run_id)
+    some = (gates.has_rows("check_mart_row_count"),)
+    for name, rows, day in ((names.daily_mart, daily_mart(stored), "pickup_date"), (names.monthly_mart, monthly_mart(stored), "pickup_month")):
+        _, measured = write_measured(rows, database, name, run_id, None, (day, "source_type"), gates.measures(some))
+        passed(name, gates.judged(some, measured))
+    return dict.fromkeys((names.daily_totals, names.daily_mart, names.monthly_mart), run_id)
+
+
+def publish_marts(spark: SparkSession, config: WarehouseConfig, totals: DataFrame, run_id: str, passed: Passed) -> None:
+    """Store totals and both marts, check both marts, and publish all three as one."""
+    publish_together(spark, config.database, store_marts(spark, config, totals, run_id, passed))
+
+
+def _accept(_: str, *reports: DataFrame | Sequence[Row]) -> None:
+    gates.require(*reports)
+
+
+def _totals_with(spark: SparkSession, config: WarehouseConfig, trips_table: DataFrame, inside: Column) -> DataFrame:
+    """The stored totals, with those of some days made anew from the trips; only these days of the trips are read."""
+    others = spark.table(qualified(config.database, config.tables.daily_totals)).where(~F.coalesce(inside, F.lit(False)))
+    return others.unionByName(daily_totals(trips_table.where(inside)))
 
 
 def rebuild_days(spark: SparkSession, config: WarehouseConfig, window: DateWindow) -> None:
@@ -130,14 +155,107 @@ def rebuild_days(spark: SparkSession, config: WarehouseConfig, window: DateWindo
     after a failure, readers see the marts as they were.
     """
     names, database, run_id = config.tables, config.database, new_run_id()
-    inside = in_window(F.col("pickup_date"), window)
-    days = spark.table(qualified(database, names.trips)).where(inside)
-    others = spark.table(qualified(database, names.daily_totals)).where(~F.coalesce(inside, F.lit(False)))
     stored = (names.daily_totals, names.daily_mart, names.monthly_mart)
     try:
-        publish_marts(spark, config, others.unionByName(daily_totals(days)), run_id, lambda _, report: gates.require(report))
+        totals = _totals_with(spark, config, spark.table(qualified(database, names.trips)), in_window(F.col("pickup_date"), window))
+        publish_marts(spark, config, totals, run_id, _accept)
+    except BaseException:
+        drop_unpublished(spark, database, stored, run_id)
+        raise
+    for table in stored:
+        drop_old_versions(spark, database, table, config.kept_versions)
+
+
+def _on_days(column: str, days: Iterable[date]) -> Column:
+    return F.col(column).isin([F.lit(day) for day in days])
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to the shared scratch folder and read again, so that several steps use the same rows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _days_of(rows: DataFrame) -> list[date]:
+    """The days of some trips: a number of values that calendars bound."""
+    return sorted(r["pickup_date"] for r in rows.select("pickup_date").distinct().collect())
+
+
+def _copies(spark: SparkSession, config: WarehouseConfig, batch: Callable[[str], Column], run_stamp: datetime | None) -> DataFrame:
+    """Valid staged rows of both sources on some days, `batch` being the condition on a day column; it prunes both tables."""
+    names, database = config.tables, config.database
+    raw = spark.table(qualified(database, names.batch_staging)).where(batch(BATCH_DAY))
+    stream = spark.table(qualified(database, names.stream_staging)).where(batch("pickup_date"))
+    return unified_trips(raw, stream, config, run_stamp)
+
+
+def trip_days(spark: SparkSession, config: WarehouseConfig) -> str:
+    """The key-to-day table of the staged rows: trip_id and pickup_date, each pair once, in buckets by trip_id.
+
+    It is made with the first rebuild after a run, by one pass over what is staged, and rebuilds add to it what has come since. A
+    pair that is no longer staged does no harm: it is looked for and not found.
+    """
+    names, database = config.tables, config.database
+    staged = published_version(spark, database, names.batch_staging)
+    if staged not in versions(spark, database, names.trip_days):
+        pairs = _copies(spark, config, lambda _: F.lit(True), None).select("trip_id", "pickup_date").distinct()
+        _add_pairs(pairs, config, version_name(database, names.trip_days, staged))
+        for old in versions(spark, database, names.trip_days):
+            if old != staged:
+                spark.sql(f"DROP TABLE {version_name(database, names.trip_days, old)}")
+    return version_name(database, names.trip_days, staged)
+
+
+def _add_pairs(pairs: DataFrame, config: WarehouseConfig, name: str) -> None:
+    dealt = pairs.repartition(config.key_buckets, "trip_id")  # one file a bucket
+    dealt.write.format("parquet").mode("append").bucketBy(config.key_buckets, "trip_id").sortBy("trip_id").saveAsTable(name)
+
+
+def rebuild_trips(spark: SparkSession, config: WarehouseConfig, window: DateWindow, run_stamp: datetime | None = None) -> list[date]:
+    """Bring trips and marts up to date with what is staged for the days of a window; the days that changed.
+
+    Staged rows and published trips of the window are read, and of all other days only those that hold a copy of
+    a trip that the window touches, found in the key-to-day table. The latest copies of the touched
+    trips are compared with the published ones; only days on which they differ are written, in a version that shares all
+    other day folders with the one before. Trips and marts of these days are checked and published as one. The rows of batch trips have the
+    ingestion time `run_stamp`, as in `run`.
+    """
+    names, database, run_id = config.tables, config.database, new_run_id()
+    base = published_version(spark, database, names.trips)
+    current = spark.table(version_name(database, names.trips, base))
+    inside = lambda day: in_window(F.col(day), window)
+    keys = trip_days(spark, config)
+
+    here = _kept(_copies(spark, config, inside, run_stamp), "window-copies")
+    touched = here.select("trip_id").unionByName(current.where(inside("pickup_date")).select("trip_id")).distinct()
+    touched = _kept(touched, "touched-trips")
+    known = spark.table(keys).join(touched, "trip_id", "left_semi")
+    elsewhere = _kept(known.where(~inside("pickup_date")), "other-days")
+    fresh = here.select("trip_id", "pickup_date").distinct().join(known, ["trip_id", "pickup_date"], "left_anti")
+    _add_pairs(_kept(fresh, "new-pairs"), config, keys)
+
+    other_days = _days_of(elsewhere)
+    there = _copies(spark, config, lambda day: _on_days(day, other_days), run_stamp).join(touched, "trip_id", "left_semi")
+    latest = _kept(keep_latest(here.unionByName(there)), "latest-copies")
+    before = current.where(inside("pickup_date") | _on_days("pickup_date", other_days))
+    published = _kept(before.join(touched, "trip_id", "left_semi").select(latest.columns), "published-copies")
+    days = _days_of(latest.exceptAll(published).unionByName(published.exceptAll(latest)))
+    if not days:
+        return []
+
+    changed = _on_days("pickup_date", days)
+    rows = current.where(changed).join(touched, "trip_id", "left_anti").select(latest.columns).unionByName(latest.where(changed))
+    stored = (names.trips, names.daily_totals, names.daily_mart, names.monthly_mart)
+    valid = (gates.has_valid_values("check_invalid_values", config.rules),)
+    try:
+        table, measured = write_days(rows, database, names.trips, run_id, base, days, "pickup_date", TRIP_CLUSTER, gates.measures(valid))
+        _check_trips(spark, config, table, gates.judged(valid, measured), _accept, changed)
+        marts = store_marts(spark, config, _totals_with(spark, config, spark.table(table), changed), run_id, _accept)
+        publish_together(spark, database, {names.trips: run_id, **marts})
     except BaseException:
         drop_unpublished(spark, database, stored, run_id)
         raise
     for table in stored:
         drop_old_versions(spark, database, table, config.kept_versions)
+    return days

@@ -43,9 +43,18 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _event_pickup() -> Column:
+    return F.expr("timestampadd(DAY, 517 + 35 * (event_id % 2), ts)")
+
+
+def event_day() -> Column:
+    """The pickup day that an event will have as a trip."""
+    return _event_pickup().cast("date")
+
+
 def stream_events(events: DataFrame) -> DataFrame:
     """Works on a static and on a streaming table alike."""
-    shifted = events.withColumn("pickup", F.expr("timestampadd(DAY, 517 + 35 * (event_id % 2), ts)"))
+    shifted = events.withColumn("pickup", _event_pickup())
     return _select(
         shifted,
         event_id="concat('evt-', event_id div 10 * 9 + least(event_id % 10, 8))",

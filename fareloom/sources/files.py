@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareloom.contracts import BATCH_CLUSTER, BATCH_DAY, RAW_NAME
-from fareloom.operators.tables import write_version
+from fareloom.operators.tables import write_measured
 
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def _widened(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(f"`{name}`").cast(kind) for name, kind in changes.items()})
 
 
-def stage_batch(raw: DataFrame, database: str, table: str, run_id: str) -> str:
-    """Store raw monthly rows by pickup day, clustered by zone and payment."""
+def stage_batch(raw: DataFrame, database: str, table: str, run_id: str, measures: Sequence[Column] = ()) -> tuple[str, dict[str, int]]:
+    """Store raw monthly rows by pickup day, clustered by zone and payment; the table's name, and what was measured on the way."""
     dated = raw.withColumn(BATCH_DAY, F.col(RAW_NAME["pickup_datetime"]).cast("date"))
-    return write_version(dated, database, table, run_id, BATCH_DAY, BATCH_CLUSTER)
+    return write_measured(dated, database, table, run_id, BATCH_DAY, BATCH_CLUSTER, measures)

@@ -1,18 +1,21 @@
 """Complete runs, and the contract of the entry file."""
 
-from datetime import date, datetime
+import contextlib
+import io
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from fareloom.config import DateWindow
 from fareloom.oracle import all_sql
 from fareloom.plans import queries
 from fareloom.sources.files import read_files
 from fareloom.contracts import STREAM_SCHEMA, TRIP_SCHEMA, ZONE_TRIP_SCHEMA
 from fareloom.operators.gates import QualityGateError
 from fareloom.operators.marts import daily_mart, daily_totals, monthly_mart, zone_summary
-from fareloom.operators.tables import qualified, versions
+from fareloom.operators.tables import day_folders, qualified, versions
 from fareloom.plans import taxi_warehouse
 from fareloom.plans.zone_summary import run_direct, run_models
 from fareloom.sources.inline import example_trips, inline_rows
@@ -59,7 +62,7 @@ def test_direct_and_model_runs_publish_the_same_summary(spark, config):
 def test_a_failing_assertion_keeps_the_published_summary(spark, config):
     run_direct(example_trips(spark), config.database)
     bad = inline_rows(spark, [("x", date(2026, 7, 3), 1, -5.0)], ZONE_TRIP_SCHEMA)
-    with pytest.raises(QualityGateError, match="summary contains invalid metrics"):
+    with pytest.raises(QualityGateError, match="a summary row without trips or with negative revenue"):
         run_direct(bad, config.database)
     assert summary(spark.table(qualified(config.database, "daily_trip_summary"))) == EXAMPLE_RESULT
 
@@ -164,6 +167,122 @@ def test_a_failing_trip_gate_keeps_the_old_tables(spark, config, inputs, event,
     assert len(versions(spark, config.database, config.tables.trips)) == 1
 
 
+def staged_again(spark, config, tmp_path, events):
+    """More event files for the stream staging table of `inputs`."""
+    events.write.parquet(str(tmp_path / f"events/{len(list((tmp_path / 'events').iterdir()))}.parquet"))
+    ingest_events(spark, str(tmp_path / "events/*.parquet"), STREAM_SCHEMA, str(tmp_path / "again"), str(tmp_path / "progress-again"))
+    register_staged(spark, config.database, config.tables.stream_staging, str(tmp_path / "again"))
+
+
+JUNE = [datetime(2025, 6, d, 8) for d in range(1, 31)]
+
+
+def on(day, **more):
+    pickup = JUNE[day - 1]
+    return {"pickup_datetime": pickup, "dropoff_datetime": pickup + timedelta(minutes=9), "pickup_date": pickup.date(), **more}
+
+
+@pytest.fixture
+def late(spark, config, inputs, event, tmp_path):
+    """A warehouse that was run before some events came; a function stages them."""
+    (tmp_path / "events").rename(tmp_path / "first-events")
+    (tmp_path / "events").mkdir()
+    stamps = [datetime(2025, 8, d) for d in range(1, 10)]
+    staged_again(spark, config, tmp_path, event(on(1, event_id="a"), on(1, event_id="b"), on(2, event_id="c"), on(3, event_id="d"), on(4, event_id="e"), on(5, event_id="f"), on(5, event_id="g")))
+    taxi_warehouse.run(spark, config, inputs, STAMP)
+    newer = event(
+        on(10, event_id="a", ingestion_time=stamps[3]),  # comes again on another day
+        on(10, event_id="c", ingestion_time=datetime(2025, 7, 1)),  # an older copy changes nothing
+        on(10, event_id="d", ingestion_time=stamps[4]),  # the third loses its only trip
+        on(11, event_id="new"),
+        on(11, event_id="new", ingestion_time=stamps[5], fare_amount=1.0),
+        on(12, event_id="f", ingestion_time=stamps[6]),
+        on(20, event_id="g", ingestion_time=stamps[7]),  # outside of the window that is rebuilt
+    )
+    return lambda: staged_again(spark, config, tmp_path, newer)
+
+
+def published(spark, config):
+    names = config.tables
+    return [rows(spark.table(qualified(config.database, n)).select(*sorted(spark.table(qualified(config.database, n)).columns))) for n in (names.trips, names.daily_totals, names.daily_mart, names.monthly_mart)]
+
+
+def test_rebuilt_trips_equal_a_full_run(spark, config, inputs, late):
+    late()
+    window = DateWindow(date(2025, 6, 9), date(2025, 6, 15))
+    # The first, third and fifth day lose trips that the window takes over; the second, with an older copy, stays.
+    assert taxi_warehouse.rebuild_trips(spark, config, window, STAMP) == [date(2025, 6, d) for d in (1, 3, 5, 10, 11, 12)]
+    trips = spark.table(qualified(config.database, config.tables.trips))
+    assert {(r.trip_id, r.pickup_date.day) for r in trips.where("source_type = 'stream'").collect()} == {("a", 10), ("b", 1), ("c", 2), ("d", 10), ("e", 4), ("f", 12), ("g", 5), ("new", 11)}
+    assert taxi_warehouse.rebuild_trips(spark, config, window, STAMP) == []
+    # The rest of the late events, on a day of their own.
+    assert taxi_warehouse.rebuild_trips(spark, config, DateWindow(date(2025, 6, 20), date(2025, 6, 20)), STAMP) == [date(2025, 6, 5), date(2025, 6, 20)]
+    rebuilt = published(spark, config)
+    taxi_warehouse.run(spark, config, inputs, STAMP)
+    assert rebuilt == published(spark, config)
+
+
+def test_a_rebuild_writes_only_the_days_that_changed(spark, config, late):
+    before = day_folders(spark.table(qualified(config.database, config.tables.trips)))
+    late()
+    changed = taxi_warehouse.rebuild_trips(spark, config, DateWindow(date(2025, 6, 9), date(2025, 6, 15)), STAMP)
+    after = day_folders(spark.table(qualified(config.database, config.tables.trips)))
+    names = {f"pickup_date={d.isoformat()}" for d in changed}
+    assert {day for day, folder in after.items() if before.get(day) != folder} == names - {"pickup_date=2025-06-03"}
+    assert "pickup_date=2025-06-03" in before and "pickup_date=2025-06-03" not in after
+    assert len(set(after) - names) > 3
+
+
+def test_a_rebuild_reads_the_window_and_the_days_of_touched_keys(spark, config, late, monkeypatch):
+    """The staged tables and the trips are read with partition filters, the key table without a shuffle of its own."""
+    late()
+    plans = []
+    kept = taxi_warehouse._kept
+    monkeypatch.setattr(taxi_warehouse, "_kept", lambda df, label: (plans.append((label, explained(df))), kept(df, label))[1])
+    # Tables of any real size are not broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taxi_warehouse.rebuild_trips(spark, config, DateWindow(date(2025, 6, 9), date(2025, 6, 15)), STAMP)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = dict(plans)
+    for label in ("window-copies", "touched-trips", "latest-copies", "published-copies"):
+        scans = [line for line in plan[label].splitlines() if "FileScan" in line and "pickup_date" in line and "scratch" not in line]
+        assert scans and all("PartitionFilters: [" in line and "PartitionFilters: []" not in line for line in scans if "int_green" in line or "stg_green" in line), label
+    keys = [line for line in plan["other-days"].splitlines() if "Bucketed: true" in line]
+    assert keys
+    # The key table is joined where it lies: the only exchange is that of the touched keys.
+    assert plan["other-days"].count("Exchange hashpartitioning") <= 1
+
+
+def explained(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_a_crash_in_a_rebuild_leaves_trips_and_marts_as_they_were(spark, config, late, monkeypatch):
+    late()
+    before = published(spark, config)
+    window = DateWindow(date(2025, 6, 9), date(2025, 6, 15))
+    for step in ("write_days", "store_marts", "publish_together"):
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="crash"):
+            patch.setattr(taxi_warehouse, step, lambda *_, **__: (_ for _ in ()).throw(RuntimeError("crash")))
+            taxi_warehouse.rebuild_trips(spark, config, window, STAMP)
+        assert published(spark, config) == before
+        assert len(versions(spark, config.database, config.tables.trips)) == 1
+    assert len(taxi_warehouse.rebuild_trips(spark, config, window, STAMP)) == 6
+
+
+def test_a_rebuild_that_breaks_a_rule_publishes_nothing(spark, config, late, event, tmp_path):
+    late()
+    staged_again(spark, config, tmp_path, event(on(13, event_id="bad", fare_amount=-1.0)))
+    before = published(spark, config)
+    with pytest.raises(QualityGateError, match="check_invalid_values"):
+        taxi_warehouse.rebuild_trips(spark, config, DateWindow(date(2025, 6, 9), date(2025, 6, 15)), STAMP)
+    assert published(spark, config) == before
+
+
 def test_no_stream_rows_in_the_window_stop_the_run(spark, config, inputs, event, tmp_path):
     event({"pickup_date": date(2025, 5, 31)}).write.parquet(str(tmp_path / "early"))
     target = str(tmp_path / "stream2")

@@ -150,7 +150,7 @@ def test_rebuilt_days_equal_a_full_build(spark, config, trip):
     def crash(*_):
         raise RuntimeError("crash")
 
-    for step in ("publish", "write_version"):
+    for step in ("publish_together", "write_measured"):
         with pytest.MonkeyPatch.context() as patch, pytest.raises(RuntimeError, match="crash"):
             patch.setattr(taxi_warehouse, step, crash)
             taxi_warehouse.rebuild_days(spark, config, window)
@@ -200,7 +200,7 @@ def test_a_missing_file_is_an_error(spark, raw, tmp_path):
 
 def test_staging_is_partitioned_by_pickup_day(spark, raw, config):
     rows = raw({}, {"lpep_pickup_datetime": datetime(2025, 5, 2, 1)}, {"lpep_pickup_datetime": None})
-    name = stage_batch(rows, config.database, "stage", "run")
+    name, _ = stage_batch(rows, config.database, "stage", "run")
     assert spark.table(name).count() == 3
     found = {f.split("lpep_pickup_date=")[1] for f in glob.glob(f"{config.location}/stage__run/lpep_*")}
     assert found == {"2025-04-10", "2025-05-02", "__HIVE_DEFAULT_PARTITION__"}
@@ -215,3 +215,121 @@ def test_differing_widths_load_together(spark, raw, tmp_path):
     kinds = dict(df.dtypes)
     assert (kinds["PULocationID"], kinds["passenger_count"], kinds["fare_amount"]) == ("bigint", "double", "double")
     assert sorted((r["PULocationID"], r["fare_amount"], r["passenger_count"]) for r in df.collect()) == [(10, 7.5, 2.0), (20, 12.0, 2.0)]
+
+
+def shown(spark, config, names=("a", "b", "c")):
+    return [values(spark.table(tables.qualified(config.database, n))) for n in names]
+
+
+def test_several_tables_are_published_as_one(spark, config):
+    """Whatever statement is the last to succeed, readers see all tables as before or all as after."""
+    names = ("a", "b", "c")
+    for n, run in enumerate(("r0", "r1")):
+        for name in names:
+            tables.write_version(days(spark, [(1, n)]), config.database, name, run)
+    tables.publish_together(spark, config.database, dict.fromkeys(names, "r0"))
+    assert shown(spark, config) == [[0], [0], [0]]
+    define, seen = tables._define, []
+    for allowed in range(20):
+        done = 0
+
+        def crashing(session, statement):
+            nonlocal done
+            if done == allowed:
+                raise RuntimeError("crash")
+            done += 1
+            define(session, statement)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tables, "_define", crashing)
+            try:
+                tables.publish_together(spark, config.database, dict.fromkeys(names, "r1"))
+                ended = True
+            except RuntimeError:
+                ended = False
+        now = shown(spark, config)
+        assert now in ([[0]] * 3, [[1]] * 3)
+        version = {tables.published_version(spark, config.database, n) for n in names}
+        assert version == {f"r{now[0][0]}"}
+        seen.append(now[0][0])
+        # A later run finds the same set, and what has not been published goes without harm.
+        tables.drop_unpublished(spark, config.database, names, "r1")
+        assert shown(spark, config) == now
+        if ended:
+            break
+        for name in names:
+            if now[0][0] == 0:
+                tables.write_version(days(spark, [(1, 1)]), config.database, name, "r1")
+        tables.publish_together(spark, config.database, dict.fromkeys(names, "r0"))
+    # Three views with both versions, the release, three views with one version.
+    assert ended and seen == [0] * 4 + [1] * 4
+
+
+def test_a_pending_release_reads_one_version(spark, config, capsys):
+    for run in ("r0", "r1"):
+        tables.write_version(days(spark, [(1, 1)]), config.database, "a", run)
+    tables.publish(spark, config.database, "a", "r0")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables, "publish", lambda *_: None)
+        tables.publish_together(spark, config.database, {"a": "r1"})
+    capsys.readouterr()
+    spark.table(tables.qualified(config.database, "a")).explain()
+    plan = capsys.readouterr().out
+    assert "a__r1" in plan and "a__r0" not in plan and "Union" not in plan
+
+
+def test_a_first_release_that_fails_leaves_no_table(spark, config):
+    tables.write_version(days(spark, [(1, 1)]), config.database, "a", "r0")
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(RuntimeError):
+        release = tables._release
+        patch.setattr(tables, "_release", lambda s, d, r: release(s, d, r) if r == "none" else (_ for _ in ()).throw(RuntimeError("crash")))
+        tables.publish_together(spark, config.database, {"a": "r0"})
+    tables.drop_unpublished(spark, config.database, ("a",), "r0")
+    assert not spark.catalog.tableExists(tables.qualified(config.database, "a"))
+    assert tables.versions(spark, config.database, "a") == []
+
+
+def test_numbers_measured_while_writing(spark, config):
+    """The same as the gates say afterwards, also for a table without rows and over several tasks."""
+    checks = (gates.has_rows("rows"), gates.has_values("values", ["v"]))
+    some = spark.range(1000).select(F.date_add(F.lit(date(2025, 6, 1)), (F.col("id") % 9).cast("int")).alias("d"), F.when(F.col("id") % 10 != 0, F.col("id")).alias("v"))
+    for n, df in enumerate((some, some.where("v < 0"), some.where("v IS NOT NULL"))):
+        name, measured = tables.write_measured(df, config.database, "t", f"r{n}", "d", ("v",), gates.measures(checks))
+        afterwards = gates.evaluate(spark.table(name), *checks).collect()
+        assert [tuple(r) for r in gates.judged(checks, measured)] == [tuple(r) for r in afterwards]
+    assert measured == {"rows": 900, "values": 0}
+
+
+def test_an_unknown_number_does_not_pass():
+    assert [tuple(r) for r in gates.judged((gates.has_rows("rows"),), {})] == [("rows", None, False)]
+
+
+def test_a_version_shares_the_folders_of_unchanged_days(spark, config):
+    first, second, third = (tables.new_run_id() for _ in range(3))
+    at = lambda run: tables.version_folder(spark, config.database, "t", run)
+    tables.write_measured(days(spark, [(1, 1), (2, 2), (3, 3)]), config.database, "t", first, "d", location=at(first))
+    # The second day gets other rows, the third day loses its only one.
+    tables.write_days(days(spark, [(2, 20), (2, 21)]), config.database, "t", second, first, [date(2025, 6, 2), date(2025, 6, 3)], "d")
+    name = tables.version_name(config.database, "t", second)
+    assert values(spark.table(name)) == [1, 20, 21]
+    folders = tables.day_folders(spark.table(name))
+    assert {day: first in folder for day, folder in folders.items()} == {"d=2025-06-01": True, "d=2025-06-02": False}
+    tables.write_days(days(spark, [(4, 4)]), config.database, "t", third, second, [date(2025, 6, 4)], "d")
+    tables.publish(spark, config.database, "t", third)
+    assert tables.drop_old_versions(spark, config.database, "t", keep=1) == [first, second]
+    assert values(spark.table(tables.qualified(config.database, "t"))) == [1, 4, 20, 21]
+    # Of the first version only the day that is still in use is left.
+    assert sorted(f.rsplit("/", 1)[1] for f in glob.glob(f"{config.location}/t__{first}/*")) == ["d=2025-06-01"]
+    assert sorted(f.rsplit("/", 1)[1] for f in glob.glob(f"{config.location}/t__{second}/*")) == ["d=2025-06-02"]
+    tables.replace_table(days(spark, [(9, 9)]), config.database, "t", "d", keep=1)
+    assert glob.glob(f"{config.location}/t__{first}") == glob.glob(f"{config.location}/t__{second}") == []
+
+
+def test_a_failed_version_by_days_takes_nothing_of_its_base(spark, config):
+    first, second = tables.new_run_id(), tables.new_run_id()
+    tables.write_measured(days(spark, [(1, 1), (2, 2)]), config.database, "t", first, "d", location=tables.version_folder(spark, config.database, "t", first))
+    tables.publish(spark, config.database, "t", first)
+    tables.write_days(days(spark, [(2, 20)]), config.database, "t", second, first, [date(2025, 6, 2)], "d")
+    tables.drop_unpublished(spark, config.database, ("t",), second)
+    assert values(spark.table(tables.qualified(config.database, "t"))) == [1, 2]
+    assert not glob.glob(f"{config.location}/t__{second}")
