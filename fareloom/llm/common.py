@@ -40,6 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return again
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a stored table once nothing reads it any more, also not by way of an unfinished step."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator works on, under names of its own; other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

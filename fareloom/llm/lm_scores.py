@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareloom.llm.common import Words, keyed, mix, slices, stored
+from fareloom.llm.common import Words, forget, keyed, mix, slices, stored
 
 ALPHA = 0.4
 # The border before the first word, also what its count goes by.
 BEGUN = np.uint64(0)
 # Words, and pairs, that every task can look up, at most; 16 and 32 bytes each.
-FREQUENT = 200_000
+FREQUENT = 400_000
+# A document's three counts for a pair share a number; those that need more bits have columns of their own.
+BITS = 21
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -159,10 +161,13 @@ def pair_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
     every = texts.mapInArrow(found, "first long, second long, n int")
     shared = every.groupBy("first", "second").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).where("documents > 1").drop("documents")
     table = stored(shared, "shared-pairs")
-    for side in ("first", "second"):
-        own = counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
-        table = stored(table.join(own, side), f"{side}-counts")
-    return table.select("first", "second", "n", "first_n", "second_n").mapInArrow(named, "pair long, n long, first_n long, second_n long")
+    of = lambda side: counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
+    first = stored(table.join(of("first"), "first"), "first-counts")
+    forget(table)
+    both = first.join(of("second"), "second").select("first", "second", "n", "first_n", "second_n")
+    whole = stored(both.mapInArrow(named, "pair long, n long, first_n long, second_n long"), "pairs")
+    forget(first)
+    return whole
 
 
 def word_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -175,8 +180,12 @@ def word_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
             known, at = frequent.find(own.words)
             others = np.maximum(frequent.values[0][at[known]] - own.word_n[known], 1)
             value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
-            yield _rows(part, np.arange(own.count), None, [np.diff(own.rows)], value)
-            yield _rows(part, own.word_owner[~known], own.words[~known], [own.word_n[~known]], None)
+            rare = own.word_owner[~known]
+            yield rows(part.column(0), part.column(0), np.diff(own.rows), pa.array(value))
+            yield rows(part.column(0).take(pa.array(rare)), pa.array(own.words[~known].view(np.int64)), own.word_n[~known], pa.nulls(len(rare), pa.float64()))
+
+    def rows(row: pa.Array, word: pa.Array, n: np.ndarray, value: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([row, word, pa.array(n.astype(np.int32)), value], ["row", "word", "n", "value"])
 
     found = stored(texts.mapInArrow(run, "row long, word long, n int, value double"), "words-of-documents")
     known = found.where("value IS NOT NULL").select("row", F.col("n").cast("long").alias("n_words"), "value")
@@ -201,34 +210,44 @@ def pair_sums(texts: DataFrame, table: DataFrame) -> DataFrame:
             seen = both > 0
             n, owner, both, first, second = (x[seen] for x in (n, owner, both, first, second))
             value = own.sums(owner, n * (np.log(both) - np.log(first) - np.log(np.maximum(second, 1))))
-            zero = np.zeros(own.count, np.int64)
-            yield _rows(part, np.arange(own.count), None, [own.sums(owner, n), zero, zero], value)
-            yield _rows(part, own.owner[~known], pair[~known], [x[~known] for x in (own.n, own.own_first, own.own_second)], None)
-
-    found = texts.mapInArrow(run, "row long, word long, n int, own_first int, own_second int, value double")
-    met = found.join(table.select(F.col("pair").alias("word"), F.col("n").alias("pair_n"), "first_n", "second_n"), "word", "left")
+            yield ready(part, own.sums(owner, n), value)
+            numbers = [x[~known].astype(np.int64) for x in (own.n, own.own_first, own.own_second)]
+            fits = np.logical_and.reduce([x < 1 << BITS for x in numbers])
+            yield asked(part, own.owner[~known][fits], pair[~known][fits], [x[fits] for x in numbers], True)
+            if not fits.all():
+                yield asked(part, own.owner[~known][~fits], pair[~known][~fits], [x[~fits] for x in numbers], False)
+
+    def ready(part: pa.RecordBatch, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        """What the known pairs of each document add up to, dealt out by the document's own name."""
+        empty = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(0), empty, pa.array(n.astype(np.int64)), empty, empty, pa.array(value)], columns)
+
+    def asked(part: pa.RecordBatch, owner: np.ndarray, pair: np.ndarray, numbers: list[np.ndarray], packed: bool) -> pa.RecordBatch:
+        empty = pa.nulls(len(owner), pa.int64())
+        together = pa.array(numbers[0] | numbers[1] << BITS | numbers[2] << 2 * BITS) if packed else empty
+        apart = [empty] * 3 if packed else [pa.array(x) for x in numbers]
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(pair.view(np.int64)), together, *apart, pa.nulls(len(owner), pa.float64())], columns)
+
+    columns = ["row", "pair", "packed", "n", "own_first", "own_second", "value"]
+    found = texts.mapInArrow(run, "row long, pair long, packed long, n long, own_first long, own_second long, value double")
+    met = found.join(table.withColumnsRenamed({"n": "pair_n"}), "pair", "left")
+    for place, name in enumerate(("n", "own_first", "own_second")):
+        held = F.shiftright("packed", place * BITS).bitwiseAND((1 << BITS) - 1)
+        met = met.withColumn(name, F.coalesce(name, held))
     left_out = F.col("pair_n") - F.col("n")
     share = F.log(left_out) - F.log(F.col("first_n") - F.col("own_first")) - F.log(F.greatest(F.col("second_n") - F.col("own_second"), F.lit(1)))
-    ready, seen = F.col("value").isNotNull(), left_out > 0
-    parts = met.select("row", F.when(ready | seen, F.col("n")).otherwise(0).alias("pair_n"), F.when(ready, F.col("value")).when(seen, F.col("n") * share).otherwise(0.0).alias("pair_value"))
+    done, seen = F.col("value").isNotNull(), left_out > 0
+    parts = met.select("row", F.when(done | seen, F.col("n")).otherwise(0).alias("pair_n"), F.when(done, F.col("value")).when(seen, F.col("n") * share).otherwise(0.0).alias("pair_value"))
     return parts.groupBy("row").agg(F.sum("pair_n").alias("pair_n"), F.sum("pair_value").alias("pair_value"))
 
 
-def _rows(part: pa.RecordBatch, owner: np.ndarray, key: np.ndarray | None, numbers: list[np.ndarray], value: np.ndarray | None) -> pa.RecordBatch:
-    """Rows of the documents `owner`: sums, with the document's own name as key to be dealt out by, or keys without sums."""
-    keys = part.column(0).take(pa.array(owner)) if key is None else pa.array(key.view(np.int64))
-    values = pa.nulls(len(owner), pa.float64()) if value is None else pa.array(value)
-    names = ["n", "own_first", "own_second"][: len(numbers)]
-    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), keys, *(pa.array(x.astype(np.int32)) for x in numbers), values], ["row", "word", *names, "value"])
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row per document: id, n_words, log_score (natural logarithm, summed over the words) and mean_log_score."""
     source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
     texts = source.select("row", "text")
     counts = stored(word_counts(texts), "words")
     total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 0
-    table = stored(pair_table(texts, counts), "pairs")
+    table = pair_table(texts, counts)
     by_pairs = stored(pair_sums(texts, table), "pair-sums")
     by_words = stored(word_sums(texts, counts), "word-sums")
     rows = source.select("id", "row")

@@ -37,9 +37,10 @@ def scored(spark, rows):
     return [(r.doc_id, r.n_words, r.log_score) for r in L.score(df).collect()]
 
 
-@pytest.mark.parametrize("frequent", [0, 7, L.FREQUENT])
-def test_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, bits", [(0, L.BITS), (7, 2), (L.FREQUENT, L.BITS)])
+def test_brute_force(spark, monkeypatch, frequent, bits):
     monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "BITS", bits)
     draw = random.Random(frequent)
     words = ["".join(draw.choices("abcdé", k=draw.randint(1, 3))) for _ in range(60)]
     rows = [(n, draw.choice([" ", "\n"]).join(draw.choices(words[: draw.randint(2, 60)], k=draw.randint(0, 80)))) for n in range(50)]
