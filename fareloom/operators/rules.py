@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +31,26 @@ def valid_trip(rules: TripRules, raw: bool = True) -> Column:
     )
 
 
-def broken_trip(rules: TripRules) -> Column:
-    """True for a trip that provably breaks a rule; unknown values break none."""
+def breakable_rules(rules: TripRules) -> dict[str, Column]:
+    """Each rule by name, true for a trip that provably breaks it; unknown values break none."""
     c = _named(raw=False)
-    zones = [c["pickup_location_id"], c["dropoff_location_id"]]
-    broken = c["pickup_datetime"] >= c["dropoff_datetime"]
-    broken |= (c["trip_distance"] <= 0) | (c["fare_amount"] < 0) | (c["total_amount"] <= 0)
-    for zone in zones:
-        broken |= ~zone.between(rules.lowest_zone, rules.highest_zone)
-    return broken | ~F.col("source_type").isin(*rules.sources)
+    zone = lambda name: ~c[name].between(rules.lowest_zone, rules.highest_zone)
+    return {
+        "dropoff after pickup": c["pickup_datetime"] >= c["dropoff_datetime"],
+        "distance above zero": c["trip_distance"] <= 0,
+        "fare not below zero": c["fare_amount"] < 0,
+        "total above zero": c["total_amount"] <= 0,
+        "pickup zone": zone("pickup_location_id"),
+        "dropoff zone": zone("dropoff_location_id"),
+        "source": ~F.col("source_type").isin(*rules.sources),
+    }
+
+
+def broken_trip(rules: TripRules) -> Column:
+    """True for a trip that provably breaks a rule."""
+    return reduce(or_, breakable_rules(rules).values())
+
+
+def first_broken_rule(rules: TripRules) -> Column:
+    """The name of the first rule that a trip provably breaks, else null."""
+    return F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in breakable_rules(rules).items()))

@@ -142,6 +142,11 @@ INVALID = """pickup_datetime >= dropoff_datetime OR trip_distance <= 0 OR fare_a
   OR pickup_location_id NOT BETWEEN 1 AND 265 OR dropoff_location_id NOT BETWEEN 1 AND 265
   OR source_type NOT IN ('batch', 'stream')"""
 
+FIRST_BROKEN = """CASE WHEN pickup_datetime >= dropoff_datetime THEN 'dropoff after pickup' WHEN trip_distance <= 0 THEN 'distance above zero'
+  WHEN fare_amount < 0 THEN 'fare not below zero' WHEN total_amount <= 0 THEN 'total above zero'
+  WHEN pickup_location_id NOT BETWEEN 1 AND 265 THEN 'pickup zone' WHEN dropoff_location_id NOT BETWEEN 1 AND 265 THEN 'dropoff zone'
+  WHEN source_type NOT IN ('batch', 'stream') THEN 'source' END"""
+
 VALIDATED_STREAM = f"SELECT * FROM ({RAW_STREAM}) WHERE NOT coalesce({INVALID}, FALSE)"
 
 REQUIRED = """lpep_pickup_datetime IS NULL OR lpep_dropoff_datetime IS NULL
@@ -295,6 +300,7 @@ GROUP BY 1"""),
         ),
         "stream_ingest": _with("SELECT * FROM raw_stream"),
         "stream_ingest_validated": _with("SELECT * FROM raw_stream", raw_stream=VALIDATED_STREAM),
+        "stream_rejected": _with(f"SELECT *, {FIRST_BROKEN} AS broken_rule FROM ({RAW_STREAM}) WHERE coalesce({INVALID}, FALSE)".replace("AND 265", "AND 200")),
         "gated_publish": _with(
             _union(
                 _gate("check_batch_row_count", "raw_batch", "count(*)", "> 0", table_name=tables[0]),

@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.config import DateWindow, WarehouseConfig
+from fareloom.config import DateWindow, TripRules, WarehouseConfig
 from fareloom.contracts import RAW_NAME, STREAM_SCHEMA, TRIP_CLUSTER, TRIP_SCHEMA
 from fareloom.functions.rounding import exact_totals, rounded_mean, rounded_sum
 from fareloom.functions.scalars import in_window
@@ -39,7 +39,7 @@ from fareloom.plans.zone_summary import run_direct, run_models
 from fareloom.session import scratch_path
 from fareloom.sources.derived import EVENT_COLUMNS, event_day, raw_batch, raw_stream, stream_events, zone_trips
 from fareloom.sources.files import read_files, stage_batch
-from fareloom.streaming.ingest import ingest_events, read_staged, register_staged, without_broken
+from fareloom.streaming.ingest import ingest_events, read_rejected, read_staged, register_staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,8 @@ CONFIG = WarehouseConfig(database="fareloom")
 SECOND_FILE = date(2025, 5, 1)
 # Trips of these days reach the incremental query only in its second load.
 LATE = DateWindow(date(2025, 5, 16), date(2025, 5, 31))
+# Rules that some events break.
+FEWER_ZONES = TripRules(highest_zone=200)
 # Events of these days come after the first run of the query that rebuilds trips.
 LATE_STREAM = DateWindow(date(2025, 7, 20), date(2025, 7, 31))
 
@@ -104,22 +106,18 @@ def _event_source(sf_dir: str) -> str:
     return f"{sf_dir}/events.parquet*"
 
 
-def _ingested(spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame] = stream_events) -> str:
+def _ingested(spark: SparkSession, sf_dir: str, rules: TripRules | None = None) -> str:
     target = scratch_path(spark, "stream")
     checkpoint = scratch_path(spark, "stream-progress")
     # The second call finds nothing new and must not add a row.
     for _ in range(2):
-        ingest_events(spark, _event_source(sf_dir), EVENT_COLUMNS, target, checkpoint, prepare)
+        ingest_events(spark, _event_source(sf_dir), EVENT_COLUMNS, target, checkpoint, stream_events, rules=rules)
     return target
 
 
-def _validated_events(events: DataFrame) -> DataFrame:
-    return without_broken(stream_events(events), CONFIG.rules)
-
-
 def _run_warehouse(spark: SparkSession, sf_dir: str) -> tuple[WarehouseConfig, list]:
     config = _fresh_config(spark)
-    stream = _ingested(spark, sf_dir, _validated_events)
+    stream = _ingested(spark, sf_dir, CONFIG.rules)
     register_staged(spark, config.database, config.tables.stream_staging, stream)
     return config, taxi_warehouse.run(spark, config, _monthly_files(spark, sf_dir), RUN_STAMP)
 
@@ -274,7 +272,7 @@ def _late_events(spark: SparkSession, sf_dir: str) -> WarehouseConfig:
     late = in_window(event_day(), LATE_STREAM)
     for number, arrived in enumerate((~late, late)):
         events.where(arrived).write.parquet(f"{folder}/{number}.parquet")
-        ingest_events(spark, f"{folder}/*.parquet", EVENT_COLUMNS, target, progress, _validated_events)
+        ingest_events(spark, f"{folder}/*.parquet", EVENT_COLUMNS, target, progress, stream_events, rules=config.rules)
         register_staged(spark, config.database, config.tables.stream_staging, target)
         if number == 0:
             taxi_warehouse.run(spark, config, _monthly_files(spark, sf_dir), RUN_STAMP)
@@ -315,7 +313,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_staged(spark, _ingested(spark, sf_dir, _validated_events)).select(*STREAM_SCHEMA.names)
+    return read_staged(spark, _ingested(spark, sf_dir, CONFIG.rules)).select(*STREAM_SCHEMA.names)
+
+
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that were set aside, and the rule that each of them breaks."""
+    return read_rejected(spark, _ingested(spark, sf_dir, FEWER_ZONES)).select(*STREAM_SCHEMA.names, "broken_rule")
 
 
 def gated_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,6 +384,7 @@ def all_queries() -> dict[str, Query]:
         "fractional_amounts": fractional_amounts,
         "stream_ingest": stream_ingest,
         "stream_ingest_validated": stream_ingest_validated,
+        "stream_rejected": stream_rejected,
         "gated_publish": gated_publish,
         "published_daily_mart": published_daily_mart,
         "published_monthly_mart": published_monthly_mart,

@@ -16,8 +16,8 @@ from fareloom.config import DateWindow, WarehouseConfig
 from fareloom.contracts import STREAM_SCHEMA
 from fareloom.operators.tables import create_database
 from fareloom.plans.taxi_warehouse import run
-from fareloom.session import SETTINGS
-from fareloom.streaming.ingest import ingest_events, register_staged, without_broken
+from fareloom.session import SETTINGS, cluster_settings
+from fareloom.streaming.ingest import ingest_events, register_staged
 
 
 def window(text: str) -> DateWindow:
@@ -37,18 +37,30 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--progress", help="checkpoint folder of the ingestion")
     parser.add_argument("--batch-window", type=window, default=default.batch_window)
     parser.add_argument("--stream-window", type=window, default=default.stream_window)
+    parser.add_argument("--shuffle-partitions", type=int, help="partitions that every shuffle starts with; outranks --conf")
     args = parser.parse_args(argv)
     if args.events and not (args.stream and args.progress):
         parser.error("--events needs --stream and --progress")
     return args
 
 
+def session(shuffle_partitions: int | None = None) -> SparkSession:
+    """A session with the library's settings, where spark-submit was not given others."""
+    spark = SparkSession.builder.appName("fareloom").getOrCreate()
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in SETTINGS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    if shuffle_partitions:
+        for key, value in cluster_settings(shuffle_partitions).items():
+            if value != SETTINGS[key]:
+                spark.conf.set(key, value)
+    return spark
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
-    builder = SparkSession.builder.appName("fareloom")
-    for key, value in SETTINGS.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = session(args.shuffle_partitions)
     config = WarehouseConfig(
         database=args.database,
         location=args.location,
@@ -57,14 +69,7 @@ def main(argv: list[str] | None = None) -> None:
     )
     create_database(spark, config.database, config.location)
     if args.events:
-        ingest_events(
-            spark,
-            args.events,
-            STREAM_SCHEMA,
-            args.stream,
-            args.progress,
-            prepare=lambda events: without_broken(events, config.rules),
-        )
+        ingest_events(spark, args.events, STREAM_SCHEMA, args.stream, args.progress, rules=config.rules)
     if args.stream:
         register_staged(spark, config.database, config.tables.stream_staging, args.stream)
     for result in run(spark, config, args.batch_file):

@@ -7,6 +7,7 @@ import pytest
 from fareloom.config import DateWindow
 from fareloom.operators.tables import qualified
 from fareloom.plans import submit
+from fareloom.session import INITIAL_PARTITIONS
 
 
 def test_windows_are_read_as_days():
@@ -20,6 +21,17 @@ def test_events_need_a_place_to_go():
         submit.arguments(["--database", "d", "--batch-file", "f", "--events", "e"])
 
 
+def test_given_settings_stay_and_the_option_outranks_them(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    given = spark.conf.get(key)
+    assert submit.session().conf.get(key) == given != str(INITIAL_PARTITIONS)
+    try:
+        args = submit.arguments(["--database", "d", "--batch-file", "f", "--shuffle-partitions", "77"])
+        assert submit.session(args.shuffle_partitions).conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, given)
+
+
 def test_files_and_events_become_marts(spark, raw, event, config, tmp_path, capsys):
     raw({}).write.parquet(str(tmp_path / "april"))
     may = datetime(2025, 5, 2, 8)
