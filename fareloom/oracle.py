@@ -300,7 +300,7 @@ GROUP BY 1"""),
         ),
         "stream_ingest": _with("SELECT * FROM raw_stream"),
         "stream_ingest_validated": _with("SELECT * FROM raw_stream", raw_stream=VALIDATED_STREAM),
-        "stream_rejected": _with(f"SELECT *, {FIRST_BROKEN} AS broken_rule FROM ({RAW_STREAM}) WHERE coalesce({INVALID}, FALSE)".replace("AND 265", "AND 200")),
+        "stream_rejected": _with(f"SELECT *, {FIRST_BROKEN} AS broken_rule FROM ({RAW_STREAM}) WHERE coalesce({INVALID}, FALSE)".replace("BETWEEN 1 AND 265", "BETWEEN 8 AND 200")),
         "gated_publish": _with(
             _union(
                 _gate("check_batch_row_count", "raw_batch", "count(*)", "> 0", table_name=tables[0]),
