@@ -251,12 +251,10 @@ def test_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rebuilt(spark: SparkSession, sf_dir: str) -> WarehouseConfig:
     """Marts built before the late days arrived, brought up to date by rebuilding only these days."""
     config = _fresh_config(spark)
-    database, names, full = config.database, config.tables, _trips(spark, sf_dir)
-    early = spark.table(
-        replace_table(full.where(~in_window(F.col("pickup_date"), LATE)), database, names.trips, "pickup_date")
-    )
-    taxi_warehouse.publish_marts(spark, config, daily_totals(early), new_run_id(), lambda _, report: gates.require(report))
-    replace_table(full, database, names.trips, "pickup_date", TRIP_CLUSTER)
+    database, names = config.database, config.tables
+    full = spark.table(replace_table(_trips(spark, sf_dir), database, names.trips, "pickup_date", TRIP_CLUSTER))
+    early = daily_totals(full.where(~in_window(F.col("pickup_date"), LATE)))
+    taxi_warehouse.publish_marts(spark, config, early, new_run_id(), lambda _, *reports: gates.require(*reports))
     taxi_warehouse.rebuild_days(spark, config, LATE)
     return config
 
