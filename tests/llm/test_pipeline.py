@@ -53,3 +53,44 @@ def test_stages(spark, monkeypatch):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert {r.doc_id for r in docs.collect()} == clean
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, docs.collect()))
+
+
+PROSE = [" ".join(f"{'abcdefghij'[n % 10]}{'klmnopqrst'[m % 10]}{'uvwxyz'[(n * m) % 6]}{'abcdefgh'[m % 8]}{'ijklmnop'[m // 8]}" for m in range(1, 41)) for n in range(1, 13)]
+
+
+def hostile(spark, folder, rows):
+    """Tables with nulls in any column, repeated rows, and further columns whose names the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, row long, whole string, n_lines long, gone int, `a b` string"
+    made = [(i, t, None, "s", None if t is None else len(t), "x", 7, None, 77, None, "y") for i, t in rows]
+    spark.createDataFrame(made, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("b", " ".join(PROSE[11].split()[:20])), (None, "x"), ("n", None), ("e", "")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_hostile_rows_come_through(spark, tmp_path):
+    near = PROSE[0] + " more"
+    rows = [(None, None), (None, ""), (None, PROSE[1]), (None, PROSE[2]), (5, PROSE[3]), (5, PROSE[3]), (5, PROSE[4]), (6, ""), (7, None), (8, "\n \n"), (9, PROSE[0]), (10, near), (11, PROSE[11]), (12, PROSE[5] * 200)]
+    folder = hostile(spark, str(tmp_path), rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == columns
+        seen[name] = [(r.doc_id, r.text) for r in docs.collect()]
+        assert all(r.n_lines == 77 and r["a b"] == "y" and r.id == "x" for r in docs.collect())
+    assert len(seen["toxicity"]) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(seen["line_dedup"], key=key) == sorted(rows, key=key)
+    # Null texts stay; of empty texts, of repeated rows and of the near copies one each.
+    texts = [t for _, t in seen["near_dedup"]]
+    assert texts.count(None) == 2 and texts.count(PROSE[3]) == 1 and (PROSE[0] in texts) != (near in texts)
+    assert {PROSE[n] for n in (1, 2, 4, 11)} <= set(texts)
+    assert [t for _, t in seen["decontamination"]].count(PROSE[11]) == 0
+    assert len(seen["decontamination"]) == len(seen["near_dedup"]) - 1
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert last.count() == len(seen["decontamination"])
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, hostile(spark, str(tmp_path), [])).count() == 0
