@@ -22,21 +22,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
     """`df` written as Parquet to the shared scratch folder and read again.
 
     It cuts the lineage, so that a lost executor costs tasks of later steps only. The collections afterwards
     let Spark's cleaner remove shuffle files of steps that nothing refers to any more; the first one frees the plan,
-    and a shuffle is free once the cleaner has seen to that.
+    and a shuffle is free once the cleaner has seen to that. Steps whose shuffles are small can do without (`tidy`).
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
     return again
 
 
