@@ -32,6 +32,7 @@ class TableNames:
     stream_staging: str = "stg_green_taxi_stream"
     trips: str = "int_green_taxi_trips"
     trip_days: str = "int_trip_days"
+    run_log: str = "run_progress"
     daily_totals: str = "int_daily_totals"
     daily_mart: str = "mart_daily_taxi_summary"
     monthly_mart: str = "mart_monthly_taxi_performance"

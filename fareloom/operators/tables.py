@@ -138,8 +138,8 @@ def publish_together(spark: SparkSession, database: str, runs: Mapping[str, str]
             known = set(spark.table(old).columns)
             listed = ", ".join(qualified(c) if c in known else f"NULL AS {qualified(c)}" for c in columns)
             rows += f" UNION ALL SELECT {listed} FROM {old} WHERE {chosen} <> '{release}'"
-        properties = {VERSION_PROPERTY: current or "", PENDING_VERSION: run_id, PENDING_RELEASE: release}
-        listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
+        told = {VERSION_PROPERTY: current or "", PENDING_VERSION: run_id, PENDING_RELEASE: release}
+        listed = ", ".join(f"'{k}' = '{v}'" for k, v in told.items())
         _define(spark, f"CREATE OR REPLACE VIEW {public} TBLPROPERTIES ({listed}) AS {rows}")
     _release(spark, database, release)
     for table, run_id in runs.items():
@@ -147,11 +147,12 @@ def publish_together(spark: SparkSession, database: str, runs: Mapping[str, str]
 
 
 def _release(spark: SparkSession, database: str, release: str) -> None:
-    properties = f"TBLPROPERTIES ('{RELEASE_PROPERTY}' = '{release}')"
-    _define(spark, f"CREATE OR REPLACE VIEW {qualified(database, RELEASE_VIEW)} {properties} AS SELECT '{release}' AS {RELEASE_PROPERTY}")
+    told = f"TBLPROPERTIES ('{RELEASE_PROPERTY}' = '{release}')"
+    _define(spark, f"CREATE OR REPLACE VIEW {qualified(database, RELEASE_VIEW)} {told} AS SELECT '{release}' AS {RELEASE_PROPERTY}")
 
 
-def _properties(spark: SparkSession, database: str, table: str) -> dict[str, str]:
+def properties(spark: SparkSession, database: str, table: str) -> dict[str, str]:
+    """The properties of a table or view; none if it does not exist."""
     if not spark.catalog.tableExists(qualified(database, table)):
         return {}
     return {row["key"]: row["value"] for row in spark.sql(f"SHOW TBLPROPERTIES {qualified(database, table)}").collect()}
@@ -159,7 +160,7 @@ def _properties(spark: SparkSession, database: str, table: str) -> dict[str, str
 
 def released(spark: SparkSession, database: str) -> str | None:
     """The release that was published last."""
-    return _properties(spark, database, RELEASE_VIEW).get(RELEASE_PROPERTY)
+    return properties(spark, database, RELEASE_VIEW).get(RELEASE_PROPERTY)
 
 
 def replace_table(
@@ -184,10 +185,10 @@ def replace_table(
 
 def published_version(spark: SparkSession, database: str, table: str) -> str | None:
     """The run whose rows the public name shows; None if it shows none."""
-    properties = _properties(spark, database, table)
-    if PENDING_RELEASE in properties and properties[PENDING_RELEASE] == released(spark, database):
-        return properties[PENDING_VERSION]
-    return properties.get(VERSION_PROPERTY) or None
+    known = properties(spark, database, table)
+    if PENDING_RELEASE in known and known[PENDING_RELEASE] == released(spark, database):
+        return known[PENDING_VERSION]
+    return known.get(VERSION_PROPERTY) or None
 
 
 def versions(spark: SparkSession, database: str, table: str) -> list[str]:
@@ -210,10 +211,10 @@ def drop_unpublished(spark: SparkSession, database: str, tables: Sequence[str],
     for table in tables:
         if published_version(spark, database, table) == run_id:
             continue
-        properties = _properties(spark, database, table)
-        if properties.get(PENDING_VERSION) == run_id:
-            if properties[VERSION_PROPERTY]:
-                publish(spark, database, table, properties[VERSION_PROPERTY])
+        known = properties(spark, database, table)
+        if known.get(PENDING_VERSION) == run_id:
+            if known[VERSION_PROPERTY]:
+                publish(spark, database, table, known[VERSION_PROPERTY])
             else:
                 _define(spark, f"DROP VIEW {qualified(database, table)}")
         if run_id in versions(spark, database, table):

@@ -6,9 +6,11 @@ leaves every published table as the last good run left it. Trips and what is mad
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ from fareloom.operators.tables import (
     create_database,
     drop_old_versions,
     drop_unpublished,
+    literal,
     new_run_id,
+    properties,
     publish,
     publish_together,
     published_version,
@@ -37,7 +41,7 @@ from fareloom.operators.tables import (
     write_version,
 )
 from fareloom.session import scratch_path
-from fareloom.sources.files import read_files, stage_batch
+from fareloom.sources.files import file_states, read_files, stage_batch
 
 
 @dataclass(frozen=True)
@@ -68,44 +72,97 @@ def run(
 
     The stream staging table has to exist under its configured name. Raises
     `QualityGateError` at the first table whose gates do not all pass. Gates that count rows are measured while
-    their table is written.
+    their table is written. A call after one that failed goes on from the tables that had passed all their gates, if files, stream,
+    settings and stamp are the same (`Progress`).
     """
     names, database = config.tables, config.database
-    run_id = new_run_id()
     results: list[GateResult] = []
 
     def passed(table: str, *reports: DataFrame | Sequence[Row]) -> None:
         results.extend(GateResult(table, r["gate"], r["observed"], r["passed"]) for r in gates.require(*reports))
 
     create_database(spark, database, config.location)
+    run_id = new_run_id()
     stored = (names.batch_staging, names.trips, names.daily_totals, names.daily_mart, names.monthly_mart)
+    progress = Progress.of(spark, config, batch_files, run_stamp)
     try:
         # An empty stream costs one scan, not a transform.
         stream = spark.table(qualified(database, names.stream_staging))
         seen = gates.stream_rows(stream, config.stream_window)
         passed(names.stream_staging, gates.evaluate(seen, gates.has_rows("check_stream_data_exists")))
 
-        arrived = (gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls"))
-        batch, measured = stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id, gates.measures(arrived))
-        passed(names.batch_staging, gates.judged(arrived, measured))
-        publish(spark, database, names.batch_staging, run_id)
-
-        latest = trips(spark.table(batch), stream, config, run_stamp)
-        valid = (gates.has_valid_values("check_invalid_values", config.rules),)
-        folder = version_folder(spark, database, names.trips, run_id)
-        table, measured = write_measured(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER, gates.measures(valid), folder)
-        _check_trips(spark, config, table, gates.judged(valid, measured), passed)
-
-        marts = store_marts(spark, config, daily_totals(spark.table(table)), run_id, passed)
-        publish_together(spark, database, {names.trips: run_id, **marts})
+        if names.batch_staging not in progress.done:
+            arrived = (gates.has_rows("check_batch_row_count"), gates.has_values("check_batch_required_nulls"))
+            _, measured = stage_batch(read_files(spark, batch_files), database, names.batch_staging, run_id, gates.measures(arrived))
+            rows = gates.judged(arrived, measured)
+            passed(names.batch_staging, rows)
+            publish(spark, database, names.batch_staging, run_id)
+            progress.add(names.batch_staging, run_id, rows)
+        else:
+            passed(names.batch_staging, progress.reports[names.batch_staging])
+
+        if names.trips not in progress.done:
+            batch = version_name(database, names.batch_staging, progress.done[names.batch_staging])
+            latest = trips(spark.table(batch), stream, config, run_stamp)
+            valid = (gates.has_valid_values("check_invalid_values", config.rules),)
+            folder = version_folder(spark, database, names.trips, run_id)
+            table, measured = write_measured(latest, database, names.trips, run_id, "pickup_date", TRIP_CLUSTER, gates.measures(valid), folder)
+            before = len(results)
+            _check_trips(spark, config, table, gates.judged(valid, measured), passed)
+            progress.add(names.trips, run_id, [Row(gate=r.gate, observed=r.observed, passed=r.passed) for r in results[before:]])
+        else:
+            passed(names.trips, progress.reports[names.trips])
+
+        current = spark.table(version_name(database, names.trips, progress.done[names.trips]))
+        marts = store_marts(spark, config, daily_totals(current), run_id, passed)
+        publish_together(spark, database, {names.trips: progress.done[names.trips], **marts})
     except BaseException:
-        drop_unpublished(spark, database, stored, run_id)
+        drop_unpublished(spark, database, [t for t in stored if progress.done.get(t) != run_id], run_id)
         raise
+    progress.clear()
     for table in stored:
         drop_old_versions(spark, database, table, config.kept_versions)
     return results
 
 
+class Progress:
+    """The run log: tables of a run that have passed their gates, with their versions and reports, and what the run was made from.
+
+    It is kept as the properties of a small view, so that each step is noted by one statement of the catalog.
+    """
+
+    def __init__(self, spark: SparkSession, config: WarehouseConfig, inputs: str):
+        self.spark, self.config, self.inputs = spark, config, inputs
+        self.done: dict[str, str] = {}
+        self.reports: dict[str, list[Row]] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, config: WarehouseConfig, batch_files: Sequence[str], run_stamp: datetime | None) -> Progress:
+        """What an earlier call with the same inputs has finished; tables that one with other inputs has left are dropped."""
+        names, database = config.tables, config.database
+        stream = sorted(spark.table(qualified(database, names.stream_staging)).inputFiles())
+        told = repr((config, run_stamp, file_states(spark, batch_files), stream))
+        log = cls(spark, config, sha256(told.encode()).hexdigest())
+        kept = properties(spark, database, names.run_log)
+        steps = json.loads(kept.get("steps", "[]"))
+        if kept.get("inputs") == log.inputs and all(run_id in versions(spark, database, table) for table, run_id, _ in steps):
+            for table, run_id, rows in steps:
+                log.done[table], log.reports[table] = run_id, [Row(**row) for row in rows]
+        else:
+            for table, run_id, _ in steps:
+                drop_unpublished(spark, database, [table], run_id)
+        return log
+
+    def add(self, table: str, run_id: str, rows: Sequence[Row]) -> None:
+        self.done[table], self.reports[table] = run_id, list(rows)
+        steps = json.dumps([[t, r, [row.asDict() for row in self.reports[t]]] for t, r in self.done.items()])
+        named = f"TBLPROPERTIES ('inputs' = '{self.inputs}', 'steps' = {literal(steps)})"
+        self.spark.sql(f"CREATE OR REPLACE VIEW {qualified(self.config.database, self.config.tables.run_log)} {named} AS SELECT {literal(self.inputs)} AS inputs")
+
+    def clear(self) -> None:
+        self.spark.sql(f"DROP VIEW IF EXISTS {qualified(self.config.database, self.config.tables.run_log)}")
+
+
 def _check_trips(spark: SparkSession, config: WarehouseConfig, table: str, measured: Sequence[Row], passed: Passed, checked: Column | None = None) -> None:
     """The gates of a version of the trips, that on its keys over the rows that are `checked`."""
     rows = spark.table(table) if checked is None else spark.table(table).where(checked)

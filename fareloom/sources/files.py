@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
 
 
+def file_states(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of all files of some paths: when they are the same, so is what is read."""
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    found = (path(unquote(file)) for file in sorted(spark.read.parquet(*paths).inputFiles()))
+    states = (p.getFileSystem(conf).getFileStatus(p) for p in found)
+    return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in states]
+
+
 def _widened(df: DataFrame) -> DataFrame:
     whole, other = (T.ByteType, T.ShortType, T.IntegerType), (T.FloatType, T.DecimalType)
     changes = {f.name: "bigint" for f in df.schema if isinstance(f.dataType, whole)}

@@ -283,6 +283,41 @@ def test_a_rebuild_that_breaks_a_rule_publishes_nothing(spark, config, late, eve
     assert published(spark, config) == before
 
 
+def test_a_run_goes_on_after_a_failure(spark, config, inputs, monkeypatch):
+    """A failure in the marts does not stage and dedup again, and the result is that of a clean run."""
+    crash = lambda *_, **__: (_ for _ in ()).throw(RuntimeError("crash"))
+    names = config.tables
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="crash"):
+        patch.setattr(taxi_warehouse, "store_marts", crash)
+        taxi_warehouse.run(spark, config, inputs, STAMP)
+    assert not spark.catalog.tableExists(qualified(config.database, names.trips))
+    kept = versions(spark, config.database, names.trips)
+    assert len(kept) == 1
+    with monkeypatch.context() as patch:
+        for step in ("stage_batch", "keep_latest"):
+            patch.setattr(taxi_warehouse, step, crash)
+        resumed = taxi_warehouse.run(spark, config, inputs, STAMP)
+    assert versions(spark, config.database, names.trips) == kept
+    shown = published(spark, config)
+    assert not spark.catalog.tableExists(qualified(config.database, names.run_log))
+    assert taxi_warehouse.run(spark, config, inputs, STAMP) == resumed
+    assert published(spark, config) == shown and versions(spark, config.database, names.trips) != kept
+
+
+def test_a_run_with_other_inputs_starts_anew(spark, config, inputs, raw, monkeypatch):
+    crash = lambda *_, **__: (_ for _ in ()).throw(RuntimeError("crash"))
+    names = config.tables
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="crash"):
+        patch.setattr(taxi_warehouse, "store_marts", crash)
+        taxi_warehouse.run(spark, config, inputs, STAMP)
+    kept = versions(spark, config.database, names.trips)
+    # The same name, other rows.
+    raw({"fare_amount": 3.0}, {"total_amount": 4.0}, {"PULocationID": 7}).write.mode("overwrite").parquet(inputs[0])
+    taxi_warehouse.run(spark, config, inputs, STAMP)
+    assert kept[0] not in versions(spark, config.database, names.trips)
+    assert spark.table(qualified(config.database, names.trips)).where("source_type = 'batch'").count() == 4
+
+
 def test_no_stream_rows_in_the_window_stop_the_run(spark, config, inputs, event, tmp_path):
     event({"pickup_date": date(2025, 5, 31)}).write.parquet(str(tmp_path / "early"))
     target = str(tmp_path / "stream2")
