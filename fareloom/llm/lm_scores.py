@@ -102,16 +102,12 @@ class Frequent:
 
 
 class TextPairs:
-    """The words of some documents and their distinct pairs, with the documents' own counts."""
+    """The distinct words of some documents and, unless only words are wanted, their distinct pairs, with the documents' own counts."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, only_words: bool = False):
         words = Words(column)
         self.rows, self.count = words.rows, len(column)
         second = words.hashes[0]
-        first = np.empty_like(second)
-        first[1:] = second[:-1]
-        begins = self.rows[:-1][self.rows[:-1] < self.rows[1:]]
-        first[begins] = BEGUN
         owner = np.repeat(np.arange(self.count), np.diff(self.rows))
         # Every document's distinct words are numbered; a pair is two of these numbers.
         order = np.lexsort((second, owner))
@@ -120,6 +116,12 @@ class TextPairs:
         self.word_at = order[new]
         self.word_owner, self.words = owner[self.word_at], second[self.word_at]
         self.word_n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        if only_words:
+            return
+        first = np.empty_like(second)
+        first[1:] = second[:-1]
+        begins = self.rows[:-1][self.rows[:-1] < self.rows[1:]]
+        first[begins] = BEGUN
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         before = np.empty_like(number)
@@ -176,7 +178,7 @@ def word_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
-            own = TextPairs(part.column(1))
+            own = TextPairs(part.column(1), only_words=True)
             known, at = frequent.find(own.words)
             others = np.maximum(frequent.values[0][at[known]] - own.word_n[known], 1)
             value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
