@@ -24,6 +24,10 @@ class TripRules:
     sources: tuple[str, ...] = ("batch", "stream")
 
 
+# Rules that some events of every test table break.
+FEWER_ZONES = TripRules(lowest_zone=8, highest_zone=200)
+
+
 @dataclass(frozen=True)
 class TableNames:
     """Names of the tables of each layer."""

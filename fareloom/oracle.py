@@ -6,7 +6,10 @@ a copy of how the Spark side adds up.
 
 from __future__ import annotations
 
-from fareloom.config import TableNames
+from fareloom.config import FEWER_ZONES, DateWindow, TableNames, TripRules, WarehouseConfig
+from fareloom.contracts import TRIP_SCHEMA
+
+DEFAULT = WarehouseConfig(database="")
 
 RAW_BATCH = """
 SELECT pickup AS lpep_pickup_datetime,
@@ -66,13 +69,22 @@ SELECT event_id AS trip_id, pickup_datetime, dropoff_datetime, pickup_date, pick
        source_type, ingestion_time
 FROM """
 
-WINDOW_BATCH = "SELECT * FROM raw_batch WHERE CAST(lpep_pickup_datetime AS DATE) BETWEEN '2025-04-01' AND '2025-05-31'"
-WINDOW_STREAM = "SELECT * FROM raw_stream WHERE pickup_date BETWEEN '2025-06-01' AND '2025-07-31'"
 
-VALID_BATCH = """
+def _within(window: DateWindow) -> str:
+    return f"BETWEEN '{window.first}' AND '{window.last}'"
+
+
+def _zone(rules: TripRules) -> str:
+    return f"BETWEEN {rules.lowest_zone} AND {rules.highest_zone}"
+
+
+WINDOW_BATCH = f"SELECT * FROM raw_batch WHERE CAST(lpep_pickup_datetime AS DATE) {_within(DEFAULT.batch_window)}"
+WINDOW_STREAM = f"SELECT * FROM raw_stream WHERE pickup_date {_within(DEFAULT.stream_window)}"
+
+VALID_BATCH = f"""
 SELECT * FROM window_batch
 WHERE lpep_dropoff_datetime > lpep_pickup_datetime
-  AND "PULocationID" BETWEEN 1 AND 265 AND "DOLocationID" BETWEEN 1 AND 265
+  AND "PULocationID" {_zone(DEFAULT.rules)} AND "DOLocationID" {_zone(DEFAULT.rules)}
   AND trip_distance > 0 AND fare_amount >= 0 AND total_amount > 0
 """
 
@@ -138,21 +150,34 @@ SELECT trip_date, pickup_zone_id, count(*) AS trip_count, {_sum('total_amount')}
 FROM zone_trips GROUP BY trip_date, pickup_zone_id
 """
 
-INVALID = """pickup_datetime >= dropoff_datetime OR trip_distance <= 0 OR fare_amount < 0 OR total_amount <= 0
-  OR pickup_location_id NOT BETWEEN 1 AND 265 OR dropoff_location_id NOT BETWEEN 1 AND 265
-  OR source_type NOT IN ('batch', 'stream')"""
 
-FIRST_BROKEN = """CASE WHEN pickup_datetime >= dropoff_datetime THEN 'dropoff after pickup' WHEN trip_distance <= 0 THEN 'distance above zero'
-  WHEN fare_amount < 0 THEN 'fare not below zero' WHEN total_amount <= 0 THEN 'total above zero'
-  WHEN pickup_location_id NOT BETWEEN 1 AND 265 THEN 'pickup zone' WHEN dropoff_location_id NOT BETWEEN 1 AND 265 THEN 'dropoff zone'
-  WHEN source_type NOT IN ('batch', 'stream') THEN 'source' END"""
+def _broken(rules: TripRules) -> dict[str, str]:
+    """Each rule that a trip can break, and when it does."""
+    sources = ", ".join(f"'{source}'" for source in rules.sources)
+    return {
+        "dropoff after pickup": "pickup_datetime >= dropoff_datetime",
+        "distance above zero": "trip_distance <= 0",
+        "fare not below zero": "fare_amount < 0",
+        "total above zero": "total_amount <= 0",
+        "pickup zone": f"pickup_location_id NOT {_zone(rules)}",
+        "dropoff zone": f"dropoff_location_id NOT {_zone(rules)}",
+        "source": f"source_type NOT IN ({sources})",
+    }
+
+
+def _invalid(rules: TripRules) -> str:
+    return " OR ".join(_broken(rules).values())
+
+
+INVALID = _invalid(DEFAULT.rules)
+FIRST_BROKEN = "CASE " + " ".join(f"WHEN {broken} THEN '{name}'" for name, broken in _broken(FEWER_ZONES).items()) + " END"
 
 VALIDATED_STREAM = f"SELECT * FROM ({RAW_STREAM}) WHERE NOT coalesce({INVALID}, FALSE)"
 
 REQUIRED = """lpep_pickup_datetime IS NULL OR lpep_dropoff_datetime IS NULL
   OR "PULocationID" IS NULL OR "DOLocationID" IS NULL"""
 
-IN_STREAM = "pickup_date BETWEEN '2025-06-01' AND '2025-07-31' AND source_type = 'stream'"
+IN_STREAM = f"pickup_date {_within(DEFAULT.stream_window)} AND source_type = 'stream'"
 
 _STEPS = {
     "raw_batch": RAW_BATCH,
@@ -203,10 +228,9 @@ FROM (SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}
 
 def _columns_of(table: str) -> str:
     """The names of a table's columns that belong to the trip contract, as rows."""
+    names = ", ".join(f"'{name}'" for name in TRIP_SCHEMA.names)
     return f"""(SELECT name FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {table}) ON COLUMNS(*) INTO NAME name VALUE n)
-WHERE name IN ('trip_id', 'pickup_datetime', 'dropoff_datetime', 'pickup_date', 'pickup_location_id',
-  'dropoff_location_id', 'passenger_count', 'trip_distance', 'fare_amount', 'tip_amount', 'tolls_amount',
-  'total_amount', 'payment_type', 'source_type', 'ingestion_time'))"""
+WHERE name IN ({names}))"""
 
 
 def _union(*parts: str) -> str:
@@ -300,7 +324,7 @@ GROUP BY 1"""),
         ),
         "stream_ingest": _with("SELECT * FROM raw_stream"),
         "stream_ingest_validated": _with("SELECT * FROM raw_stream", raw_stream=VALIDATED_STREAM),
-        "stream_rejected": _with(f"SELECT *, {FIRST_BROKEN} AS broken_rule FROM ({RAW_STREAM}) WHERE coalesce({INVALID}, FALSE)".replace("BETWEEN 1 AND 265", "BETWEEN 8 AND 200")),
+        "stream_rejected": _with(f"SELECT *, {FIRST_BROKEN} AS broken_rule FROM ({RAW_STREAM}) WHERE coalesce({_invalid(FEWER_ZONES)}, FALSE)"),
         "gated_publish": _with(
             _union(
                 _gate("check_batch_row_count", "raw_batch", "count(*)", "> 0", table_name=tables[0]),

@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareloom.config import DateWindow, TripRules, WarehouseConfig
+from fareloom.config import FEWER_ZONES, DateWindow, TripRules, WarehouseConfig
 from fareloom.contracts import RAW_NAME, STREAM_SCHEMA, TRIP_CLUSTER, TRIP_SCHEMA
 from fareloom.functions.rounding import exact_totals, rounded_mean, rounded_sum
 from fareloom.functions.scalars import in_window
@@ -51,8 +51,6 @@ CONFIG = WarehouseConfig(database="fareloom")
 SECOND_FILE = date(2025, 5, 1)
 # Trips of these days reach the incremental query only in its second load.
 LATE = DateWindow(date(2025, 5, 16), date(2025, 5, 31))
-# Rules that some events break.
-FEWER_ZONES = TripRules(lowest_zone=8, highest_zone=200)
 # Events of these days come after the first run of the query that rebuilds trips.
 LATE_STREAM = DateWindow(date(2025, 7, 20), date(2025, 7, 31))
 
