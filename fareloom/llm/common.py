@@ -22,6 +22,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Whether shuffle files are cleaned up after a step; small tests can do without.
+TIDY = True
+
+
 def stored(df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
     """`df` written as Parquet to the shared scratch folder and read again.
 
@@ -33,7 +37,7 @@ def stored(df: DataFrame, label: str, tidy: bool = True) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
-    if tidy:
+    if tidy and TIDY:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
