@@ -6,10 +6,10 @@ where a token with a digit counts as a variable field. What is left of the line
 more reach gets templates, one a round: the run that most documents have at one place is the pivot, the commonest runs of all
 places among the lines with the pivot are the template, and all lines that agree with it in `AGREEMENT` of the places belong to
 it, so a differing field of any kind is generalised. Lines of a template go on to no other; lines with the pivot of a template
-that too few share do not either. A leaf keeps up to `ROUNDS` templates.
+that too few share do not either. Rounds go on until no leaf has a pivot, so a leaf gets all its templates; each
+round takes lines of `MIN_DOCS` documents or more from every leaf it works on.
 
-A template is recurring if `MIN_DOCS` documents contain it. All other lines, also those of leaves with more templates, are
-compared as they are, with their variable fields masked unless they have no other, and are recurring from `EXACT_DOCS` documents on. The first line
+A template is recurring if `MIN_DOCS` documents contain it. All other lines are compared as they are, with their variable fields masked unless they have no other, and are recurring from `EXACT_DOCS` documents on. The first line
 (smallest id, then smallest line number) of what recurs stays, all its other lines are dropped.
 
 A document is an id and a text: repeated rows count as one document and have one result. Blank lines are never
@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.common import stored
+from fareloom.session import scratch_path
 
 EXACT_DOCS = 2
 MIN_DOCS = 10
 DEPTH = 3
 SEGMENTS = 16
 AGREEMENT = 0.75
-ROUNDS = 6
 
 # A token with a digit; the look-behind and the possessive run keep the matcher from trying a token twice.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
@@ -89,7 +89,8 @@ def _round(units: DataFrame, min_docs: int) -> DataFrame:
     belongs, holds = agreeing >= AGREEMENT * F.size("segments"), F.get("segments", F.col("place")) == F.col("value")
     marked = stored(met.select(*units.columns, belongs.alias("belongs"), holds.alias("holds")), "template-lines", tidy=False)
     enough = marked.where("belongs").groupBy("leaf").agg((F.sum("docs") >= min_docs).alias("ok"))
-    return marked.join(enough, "leaf", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    # Stored again, as every round reads what the one before it has left.
+    return stored(marked.join(enough, "leaf", "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "template-round", tidy=False)
 
 
 def generalised(lines: DataFrame, units: DataFrame, min_docs: int) -> DataFrame:
@@ -98,15 +99,16 @@ def generalised(lines: DataFrame, units: DataFrame, min_docs: int) -> DataFrame:
     here = F.struct("id", "copy", "line")
     rest = lines.join(stored(busy, "busy-leaves", tidy=False).hint("merge"), "leaf").where(F.size("segments") > 0).groupBy("leaf", "own").agg(F.min(here).alias("first"), F.first("segments").alias("segments"))
     rest = stored(rest.join(units, ["leaf", "own"]), "busy-lines", tidy=False)
-    parts = []
-    for turn in range(ROUNDS):
-        if rest.isEmpty():
-            break
+    # Rounds add to one folder, which is read once however many there are.
+    spark, path, turn = lines.sparkSession, scratch_path(lines.sparkSession, "generalised"), 0
+    found = spark.createDataFrame([], "own long, template long")
+    found.write.parquet(path)
+    while not rest.isEmpty():
         marked = _round(rest, min_docs)
-        parts.append(marked.where("ok AND belongs").select("own", F.xxhash64("leaf", F.lit(turn)).alias("template")))
+        marked.where("ok AND belongs").select("own", F.xxhash64("leaf", F.lit(turn)).alias("template")).write.mode("append").parquet(path)
         rest = marked.where("NOT (ok AND belongs) AND (ok OR NOT holds)").select(rest.columns)
-    none = rest.select("own", F.lit(0).cast("long").alias("template")).limit(0)
-    return stored(reduce(DataFrame.unionByName, parts, none), "generalised", tidy=False)
+        turn += 1
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
@@ -150,33 +152,9 @@ def count_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return found.select(F.col(f"whole.`{id_col}`").alias(id_col), "n_lines", "n_dropped", F.col("kept").alias(text_col))
 
 
-def _sql_round(turn: int) -> str:
-    """One round in SQL: from the lines left over by the round before."""
-    return f"""
-spots{turn} AS (SELECT leaf, docs, f_id, f_text, f_line, own, t, unnest(range(1, len(t) + 1)) AS place FROM rest{turn}),
-votes{turn} AS (
-  SELECT leaf, place, t[place] AS value, sum(docs) AS votes, min(ROW(f_id IS NOT NULL, f_id, f_text, f_line)) AS first FROM spots{turn} GROUP BY ALL),
-pivots{turn} AS (
-  SELECT leaf, place AS spot, value AS main FROM votes{turn} WHERE votes >= {MIN_DOCS}
-  QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY votes DESC, first, place) = 1),
-holders{turn} AS (SELECT s.* FROM spots{turn} s JOIN pivots{turn} USING (leaf) WHERE t[spot] = main),
-best{turn} AS (
-  SELECT leaf, place, t[place] AS value FROM holders{turn} GROUP BY leaf, place, t[place]
-  QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY sum(docs) DESC, min(ROW(f_id IS NOT NULL, f_id, f_text, f_line))) = 1),
-whole{turn} AS (SELECT leaf, list(value ORDER BY place) AS template FROM best{turn} GROUP BY leaf),
-met{turn} AS (
-  SELECT r.*, t[spot] = main AS holds, len([i for i in range(1, len(t) + 1) if t[i] = template[i]]) >= {AGREEMENT} * len(t) AS belongs
-  FROM rest{turn} r JOIN pivots{turn} USING (leaf) JOIN whole{turn} USING (leaf)),
-sizes{turn} AS (SELECT leaf, sum(CASE WHEN belongs THEN docs ELSE 0 END) >= {MIN_DOCS} AS ok FROM met{turn} GROUP BY leaf),
-rest{turn + 1} AS (
-  SELECT leaf, own, docs, f_id, f_text, f_line, t FROM met{turn} JOIN sizes{turn} USING (leaf) WHERE NOT (ok AND belongs) AND (ok OR NOT holds)),
-"""
-
-
 # The same rows in SQL for an independent engine, with the values above.
-SQL = (
-    rf"""
-WITH evened AS (
+SQL = rf"""
+WITH RECURSIVE evened AS (
   SELECT DISTINCT doc_id, text, line, regexp_replace(string_split(text, chr(10))[line + 1], '\s+', ' ', 'g') AS even
   FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents)),
 masks AS (SELECT *, regexp_replace(even, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS masked FROM evened),
@@ -187,15 +165,28 @@ units AS (
   SELECT leaf, own, rest, n, w, count(DISTINCT ROW(doc_id, text)) AS docs, min(ROW(doc_id IS NOT NULL, doc_id, text, line)) AS first
   FROM parsed GROUP BY ALL),
 busy AS (SELECT leaf FROM units GROUP BY leaf HAVING sum(docs) >= {MIN_DOCS}),
-rest0 AS (
-  SELECT leaf, own, docs, first[2] AS f_id, first[3] AS f_text, first[4] AS f_line,
-         [array_to_string(w[{DEPTH + 1} + (i * rest) // n : {DEPTH} + ((i + 1) * rest) // n], ' ') for i in range(0, n)] AS t
-  FROM units WHERE n > 0 AND leaf IN (FROM busy)),
-"""
-    + "".join(map(_sql_round, range(ROUNDS)))
-    + "grouped AS ("
-    + " UNION ALL ".join(f"SELECT own, leaf || ' {turn}' AS template FROM met{turn} JOIN sizes{turn} USING (leaf) WHERE ok AND belongs" for turn in range(ROUNDS))
-    + rf"""),
+rounds AS (
+  SELECT 0 AS turn, leaf, own, docs, first[2] AS f_id, first[3] AS f_text, first[4] AS f_line,
+         [array_to_string(w[{DEPTH + 1} + (i * rest) // n : {DEPTH} + ((i + 1) * rest) // n], ' ') for i in range(0, n)] AS t, false AS done
+  FROM units WHERE n > 0 AND leaf IN (FROM busy)
+  UNION ALL
+  (WITH spots AS (SELECT turn, leaf, docs, f_id, f_text, f_line, own, t, unnest(range(1, len(t) + 1)) AS place FROM rounds WHERE NOT done),
+  votes AS (
+    SELECT leaf, place, t[place] AS value, sum(docs) AS votes, min(ROW(f_id IS NOT NULL, f_id, f_text, f_line)) AS first FROM spots GROUP BY ALL),
+  pivots AS (
+    SELECT leaf, place AS spot, value AS main FROM votes WHERE votes >= {MIN_DOCS}
+    QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY votes DESC, first, place) = 1),
+  holders AS (SELECT s.* FROM spots s JOIN pivots USING (leaf) WHERE t[spot] = main),
+  best AS (
+    SELECT leaf, place, t[place] AS value FROM holders GROUP BY leaf, place, t[place]
+    QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY sum(docs) DESC, min(ROW(f_id IS NOT NULL, f_id, f_text, f_line))) = 1),
+  whole AS (SELECT leaf, list(value ORDER BY place) AS template FROM best GROUP BY leaf),
+  met AS (
+    SELECT r.*, t[spot] = main AS holds, len([i for i in range(1, len(t) + 1) if t[i] = template[i]]) >= {AGREEMENT} * len(t) AS belongs
+    FROM rounds r JOIN pivots USING (leaf) JOIN whole USING (leaf) WHERE NOT done),
+  sizes AS (SELECT leaf, sum(CASE WHEN belongs THEN docs ELSE 0 END) >= {MIN_DOCS} AS ok FROM met GROUP BY leaf)
+  SELECT turn + 1, leaf, own, docs, f_id, f_text, f_line, t, ok AND belongs FROM met JOIN sizes USING (leaf) WHERE ok OR NOT holds)),
+grouped AS (SELECT own, leaf || ' ' || turn AS template FROM rounds WHERE done),
 marked AS (SELECT p.doc_id, p.text, p.line, p.own, template FROM parsed p LEFT JOIN grouped USING (own)),
 enough AS (
   SELECT template, true AS ok FROM (SELECT DISTINCT template, doc_id, text FROM marked WHERE template IS NOT NULL) GROUP BY template HAVING count(*) >= {MIN_DOCS}),
@@ -209,4 +200,3 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
          [string_split(d.text, chr(10))[i + 1] for i in range(0, len(string_split(d.text, chr(10)))) if NOT list_contains(gone, i)], chr(10)) END AS text
 FROM documents d LEFT JOIN gone g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
 """
-)

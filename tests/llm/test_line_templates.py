@@ -101,3 +101,21 @@ def test_hot_line_and_long_text(spark):
 
 def test_empty_table(spark):
     assert L.drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_leaf_keeps_all_its_templates(spark):
+    """Nine templates that begin with the same words and are as long, each in fewer documents than the one before."""
+    kinds = ["about", "against", "after", "before", "beside", "despite", "inside", "under", "without"]
+    names = ["".join(p) for p in itertools.product("abcdef", "ghijkl", "mnopqr")]
+    rows = [
+        (100 * k + n, f"own {names[20 * k + n]}{names[-1 - n]}\nShare this story {kind} {names[20 * k + n]} on {kind}day at {kind}noon")
+        for k, kind in enumerate(kinds)
+        for n in range(20 - k)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in L.count_recurring_lines(docs).collect()}
+    assert [sum(found[100 * k + n].n_dropped for n in range(20 - k)) for k in range(9)] == [19 - k for k in range(9)]
+    con = duckdb.connect()
+    documents_table = docs.toArrow()
+    con.register("documents", documents_table)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.values()) == sorted(con.sql(L.SQL).fetchall())
