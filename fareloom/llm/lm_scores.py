@@ -8,7 +8,7 @@ other document has backs off to its second word, and a word that no other docume
 documents of their own and do speak for each other. Neither words nor pairs are bounded, and the driver holds none but
 the `FREQUENT` most frequent ones. A document begins with a border, the context of its first word.
 
-The pair table adds up the distinct pairs of all documents, first within each task, then by the hash of the pair; it
+The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task, then by the hash of the pair; it
 keeps the pairs of two documents or more, as all others back off, and gets the counts of their words by joins. Documents
 then give their pairs again, exploded, with their own counts. The most frequent pairs, a bounded number, are looked up
 where they are found; the others are joined to the table by their hash. A document's score is that of backing off
@@ -101,6 +101,16 @@ class Frequent:
         return self.keys[at] == keys, at
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the different ones, from 1."""
+    order = np.argsort(values)
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(values[order]) != 0
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 class TextPairs:
     """The distinct words of some documents and, unless only words are wanted, their distinct pairs, with the documents' own counts."""
 
@@ -110,9 +120,11 @@ class TextPairs:
         second = words.hashes[0]
         owner = np.repeat(np.arange(self.count), np.diff(self.rows))
         # Every document's distinct words are numbered; a pair is two of these numbers.
-        order = np.lexsort((second, owner))
+        rank = _ranks(second)
+        key = owner << 32 | rank
+        order = np.argsort(key)
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(owner[order]) != 0) | (np.diff(second[order]) != 0)
+        new[1:] = np.diff(key[order]) != 0
         self.word_at = order[new]
         self.word_owner, self.words = owner[self.word_at], second[self.word_at]
         self.word_n = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -133,6 +145,11 @@ class TextPairs:
         new[1:] = np.diff(key[order]) != 0
         at = order[new]
         self.first, self.second, self.owner = first[at], second[at], owner[at]
+        # The words' ranks in one number, which sorts as the two hashes do.
+        ahead = np.empty_like(rank)
+        ahead[1:] = rank[:-1]
+        ahead[begins] = 0
+        self.place = ahead[at] << 32 | rank[at]
         self.n = np.diff(np.append(np.flatnonzero(new), len(order)))
         self.own_second = self.word_n[number[at]]
         # A document has one border, and its last word is the context of nothing but is counted as a word all the same.
@@ -146,22 +163,32 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
 
 
+def slice_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, n, documents): each pair of some documents once, how often and in how many of them it occurs."""
+    own = TextPairs(column)
+    order = np.argsort(own.place)  # sorted, they are smaller when they are shuffled
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(own.place[order]) != 0
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(own.n[order], at) if len(at) else own.n
+    return own.first[order[at]], own.second[order[at]], n, np.diff(np.append(at, len(order)))
+
+
 def pair_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
     """(pair, n, first_n, second_n): the pairs of two documents or more and how often they and their words occur."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
-            own = TextPairs(part.column(1))
-            order = np.lexsort((own.second, own.first))  # sorted, they are smaller when they are shuffled
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[order].view(np.int64)) for x in (own.first, own.second)), pa.array(own.n[order].astype(np.int32))], ["first", "second", "n"])
+            first, second, n, documents = slice_pairs(part.column(1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (first, second)), *(pa.array(x.astype(np.int32)) for x in (n, documents))], ["first", "second", "n", "documents"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(first, second).view(np.int64)), *batch.columns[2:]], ["pair", "n", "first_n", "second_n"])
 
-    every = texts.mapInArrow(found, "first long, second long, n int")
-    shared = every.groupBy("first", "second").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).where("documents > 1").drop("documents")
+    every = texts.mapInArrow(found, "first long, second long, n int, documents int")
+    shared = every.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")).where("documents > 1").drop("documents")
     table = stored(shared, "shared-pairs")
     of = lambda side: counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
     first = stored(table.join(of("first"), "first"), "first-counts")

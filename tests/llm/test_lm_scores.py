@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from fareloom.llm import lm_scores as L
@@ -79,3 +80,15 @@ def test_prose_before_junk(spark):
 
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_slice_gives_each_pair_once():
+    """Pairs of several documents of a slice are added up before they are shuffled."""
+    texts = ["a b a b", "a b c", None, "", "c"]
+    first, second, n, documents = L.slice_pairs(pa.array(texts))
+    lists = [(t or "").split() for t in texts]
+    pairs = [Counter(zip(["<s>", *words], words)) for words in lists]
+    wanted = sum(pairs, Counter())
+    assert len({*zip(first.tolist(), second.tolist())}) == len(first) == len(wanted)
+    assert sorted(zip(n.tolist(), documents.tolist())) == sorted((wanted[p], sum(p in own for own in pairs)) for p in wanted)
+    assert all(len(x) == 0 for x in L.slice_pairs(pa.array([None, ""], pa.string())))
