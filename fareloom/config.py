@@ -53,5 +53,6 @@ class WarehouseConfig:
     rules: TripRules = field(default_factory=TripRules)
     tables: TableNames = field(default_factory=TableNames)
     kept_versions: int = 2
-    # Buckets of the key-to-day table; about as many as a shuffle of all its keys would have partitions.
+    # Buckets of the key-to-day table, at least; a table of more rows than these hold has more.
     key_buckets: int = 8
+    rows_per_bucket: int = 1_000_000

@@ -256,17 +256,32 @@ def trip_days(spark: SparkSession, config: WarehouseConfig) -> str:
     names, database = config.tables, config.database
     staged = published_version(spark, database, names.batch_staging)
     if staged not in versions(spark, database, names.trip_days):
-        pairs = _copies(spark, config, lambda _: F.lit(True), None).select("trip_id", "pickup_date").distinct()
-        _add_pairs(pairs, config, version_name(database, names.trip_days, staged))
+        pairs = _copies(spark, config, lambda _: F.lit(True), None).select("trip_id", "pickup_date")
+        # Files know how many rows they have.
+        rows = sum(spark.table(table).count() for table in (version_name(database, names.batch_staging, staged), qualified(database, names.stream_staging)))
+        _add_pairs(pairs, max(config.key_buckets, -(-rows // config.rows_per_bucket)), version_name(database, names.trip_days, staged))
         for old in versions(spark, database, names.trip_days):
             if old != staged:
                 spark.sql(f"DROP TABLE {version_name(database, names.trip_days, old)}")
     return version_name(database, names.trip_days, staged)
 
 
-def _add_pairs(pairs: DataFrame, config: WarehouseConfig, name: str) -> None:
-    dealt = pairs.repartition(config.key_buckets, "trip_id")  # one file a bucket
-    dealt.write.format("parquet").mode("append").bucketBy(config.key_buckets, "trip_id").sortBy("trip_id").saveAsTable(name)
+def _add_pairs(pairs: DataFrame, buckets: int, name: str) -> None:
+    # One file a bucket. Equal pairs meet by their key already, so they are made one without a second shuffle.
+    dealt = pairs.repartition(buckets, "trip_id").distinct()
+    dealt.write.format("parquet").mode("append").bucketBy(buckets, "trip_id").sortBy("trip_id").saveAsTable(name)
+
+
+def _buckets(spark: SparkSession, name: str) -> int:
+    """How many buckets a table has."""
+    told = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()
+    return int(told["data_type"])
+
+
+def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows that one of two tables has more often than the other, each once, by one shuffle of both."""
+    signed = a.withColumn("surplus", F.lit(1)).unionByName(b.withColumn("surplus", F.lit(-1)))
+    return signed.groupBy(*a.columns).agg(F.sum("surplus").alias("surplus")).where("surplus <> 0").drop("surplus")
 
 
 def rebuild_trips(spark: SparkSession, config: WarehouseConfig, window: DateWindow, run_stamp: datetime | None = None) -> list[date]:
@@ -290,14 +305,14 @@ def rebuild_trips(spark: SparkSession, config: WarehouseConfig, window: DateWind
     known = spark.table(keys).join(touched, "trip_id", "left_semi")
     elsewhere = _kept(known.where(~inside("pickup_date")), "other-days")
     fresh = here.select("trip_id", "pickup_date").distinct().join(known, ["trip_id", "pickup_date"], "left_anti")
-    _add_pairs(_kept(fresh, "new-pairs"), config, keys)
+    _add_pairs(_kept(fresh, "new-pairs"), _buckets(spark, keys), keys)
 
     other_days = _days_of(elsewhere)
     there = _copies(spark, config, lambda day: _on_days(day, other_days), run_stamp).join(touched, "trip_id", "left_semi")
     latest = _kept(keep_latest(here.unionByName(there)), "latest-copies")
     before = current.where(inside("pickup_date") | _on_days("pickup_date", other_days))
     published = _kept(before.join(touched, "trip_id", "left_semi").select(latest.columns), "published-copies")
-    days = _days_of(latest.exceptAll(published).unionByName(published.exceptAll(latest)))
+    days = _days_of(_differing(latest, published))
     if not days:
         return []
 

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -350,3 +351,27 @@ def test_flagship_query(spark):
     df = driver.entry(spark)
     assert df.columns[:3] == ["pickup_date", "source_type", "trip_count"]
     assert df.agg(F.count("*"), F.sum("trip_count")).first() == (117, 4064)
+
+
+def test_the_key_table_has_buckets_for_its_rows(spark, config, inputs, late):
+    """More staged rows make more buckets, and later pairs are added to as many."""
+    late()
+    small = replace(config, key_buckets=2, rows_per_bucket=3)
+    window = DateWindow(date(2025, 6, 9), date(2025, 6, 15))
+    assert taxi_warehouse.rebuild_trips(spark, small, window, STAMP) == [date(2025, 6, d) for d in (1, 3, 5, 10, 11, 12)]
+    staged = sum(spark.table(qualified(config.database, n)).count() for n in (config.tables.batch_staging, config.tables.stream_staging))
+    keys = taxi_warehouse.trip_days(spark, small)
+    assert taxi_warehouse._buckets(spark, keys) == max(2, -(-staged // 3)) > 2
+    pairs = spark.table(keys)
+    assert pairs.count() == pairs.distinct().count() > 0
+
+
+def test_differing_rows_are_those_that_one_table_has_more_often(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "pickup_date date, x double")
+    day, nan = date(2025, 6, 1), float("nan")
+    a = table((day, 1.0), (day, 1.0), (day, None), (None, 2.0), (day, nan))
+    b = table((day, 1.0), (day, None), (day, 3.0), (day, nan))
+    found = taxi_warehouse._differing(a, b)
+    assert explained(found).count("Exchange") == 1
+    assert found.columns == ["pickup_date", "x"]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(day, 1.0), (None, 2.0), (day, 3.0)]))
