@@ -94,3 +94,11 @@ def test_hostile_rows_come_through(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, hostile(spark, str(tmp_path), [])).count() == 0
+
+
+def test_lines_of_every_template_of_a_leaf_go(spark):
+    """Eight templates whose lines begin with the same words and are as long: the stage keeps one line of each."""
+    kinds = ["about", "against", "after", "before", "beside", "despite", "inside", "under"]
+    rows = [(100 * k + n, f"{PROSE[k]}\nShare this story {kind} {'abcdefghijklmnopqrst'[n] * (k + 3)} on {kind}day at {kind}noon") for k, kind in enumerate(kinds) for n in range(18 - k)]
+    found = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert sorted(r.doc_id for r in found if "Share this story" in r.text) == [100 * k for k in range(8)]
