@@ -198,21 +198,26 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
+def _encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Slices of rows (id, text), their texts and the ids of these; what was learnt goes with the last slice."""
+    for part in slices(batches, 1, SLICE_BYTES):
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        yield part, texts, own.encode(texts)
+    own.forget_all()
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """Columns: the id, `ids` (array of int) and, if asked for, `token_start` and `token_end` in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for part in slices(batches, 1, SLICE_BYTES):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            ids = own.encode(texts)
+        for part, texts, ids in _encoded(own, batches):
             columns, names = [part.column(0), _lists(ids)], [id_col, "ids"]
             if offsets:
                 spans = [own.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
                 columns += [_lists([s[k] for s in spans]) for k in (0, 1)]
                 names += ["token_start", "token_end"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        own.forget_all()
 
     source = keyed(df, id_col, text_col)
     lists = ["ids", *(["token_start", "token_end"] if offsets else [])]
@@ -249,5 +254,17 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text, decode the ids, and return the digests of both."""
-    return digests(decode(encode(df, ranks_path, pattern, id_col, text_col), ranks_path, pattern, id_col), id_col)
+    """Encode every text, decode the ids, and return the digests of both.
+
+    One worker a task does both, slice by slice; `decode` after `encode` would hold two, and the ids of more rows between them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks_path, pattern)
+        for part, _, ids in _encoded(own, batches):
+            raw = [own.decode(row.tolist()) for row in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(raw, pa.binary())], [id_col, "ids", "decoded"])
+
+    source = keyed(df, id_col, text_col)
+    fields = [T.StructField(id_col, source.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return digests(source.mapInArrow(run, T.StructType(fields)), id_col)

@@ -52,6 +52,15 @@ def test_empty_table_and_null_ids(spark):
     assert byte_bpe.round_trip(rows, RANKS, PATTERN).count() == 3
 
 
+def test_one_worker_a_task(spark):
+    """A task that encodes and decodes holds one Python worker, and gives what the two steps give."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    whole = byte_bpe.round_trip(df, RANKS, PATTERN)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN))
+    assert whole.schema == apart.schema and sorted(whole.collect()) == sorted(apart.collect())
+
+
 def test_kept_pieces_are_bounded(monkeypatch, reference):
     """Forgetting pieces changes no ids, and what a worker keeps stays below its bound."""
     monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 3000)
