@@ -8,12 +8,13 @@ other document has backs off to its second word, and a word that no other docume
 documents of their own and do speak for each other. Neither words nor pairs are bounded, and the driver holds none but
 the `FREQUENT` most frequent ones. A document begins with a border, the context of its first word.
 
-The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task, then by the hash of the pair; it
-keeps the pairs of two documents or more, as all others back off, and gets the counts of their words by joins. Documents
-then give their pairs again, exploded, with their own counts. The most frequent pairs, a bounded number, are looked up
-where they are found; the others are joined to the table by their hash. A document's score is that of backing off
-everywhere, plus what each pair of the table adds to it: sums per document. The first part is the
-same with words: frequent ones are looked up, others are joined. Tables are stored before they are joined, so Spark may split the
+The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task. Tasks give the
+pairs that they have in a bucket, a range of the pair's hash, as one row, so that few rows are shuffled and sorted; there are as
+many buckets as the corpus has million words, and a task adds up one. The table keeps the pairs of two documents or more,
+as all others back off, and gets the counts of their words by joins. Documents then give their words and
+pairs again, exploded, with their own counts. The most frequent words and pairs, bounded numbers, are looked up
+where they are found; the others are joined to their counts by their hash, words and pairs at once. A document's score is that of backing off
+everywhere, plus what each pair of the table adds to it: sums per document. Tables are stored before they are joined, so Spark may split the
 rows of a word or pair that many documents have. Words and pairs are told apart by 64-bit hashes.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareloom.llm.common import Words, forget, keyed, mix, slices, stored
@@ -38,8 +39,11 @@ ALPHA = 0.4
 BEGUN = np.uint64(0)
 # Words, and pairs, that every task can look up, at most; 16 and 32 bytes each.
 FREQUENT = 400_000
-# A document's three counts for a pair share a number; those that need more bits have columns of their own.
-BITS = 21
+# Words for each bucket of pairs, at most on average, and pairs that a task keeps before it deals them out.
+BUCKET_WORDS = 1 << 20
+# A document's three counts for a pair share a number, those that differ most first, so that its bytes lie beside the pair's when
+# they are shuffled; those that need more bits have columns of their own.
+BITS = 8
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -88,11 +92,19 @@ class Frequent:
             if taken > FREQUENT:
                 break
             least = row.n
-        held = table.where(F.col("n") >= least if least is not None else F.lit(False)).select(key, *values).toArrow()
+        self.least = least
+        held = table.where(self._holds()).select(key, *values).toArrow()
         keys = held.column(key).to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], [held.column(v).to_numpy()[order] for v in values]
 
+    def _holds(self) -> Column:
+        return F.col("n") >= self.least if self.least is not None else F.lit(False)
+
+    def others(self, table: DataFrame) -> DataFrame:
+        """The entries of the table that are not held."""
+        return table.where(~self._holds())
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are held, and where."""
         if not len(self.keys):
@@ -112,9 +124,9 @@ def _ranks(values: np.ndarray) -> np.ndarray:
 
 
 class TextPairs:
-    """The distinct words of some documents and, unless only words are wanted, their distinct pairs, with the documents' own counts."""
+    """The distinct words of some documents and their distinct pairs, with the documents' own counts."""
 
-    def __init__(self, column: pa.Array, only_words: bool = False):
+    def __init__(self, column: pa.Array):
         words = Words(column)
         self.rows, self.count = words.rows, len(column)
         second = words.hashes[0]
@@ -128,8 +140,6 @@ class TextPairs:
         self.word_at = order[new]
         self.word_owner, self.words = owner[self.word_at], second[self.word_at]
         self.word_n = np.diff(np.append(np.flatnonzero(new), len(order)))
-        if only_words:
-            return
         first = np.empty_like(second)
         first[1:] = second[:-1]
         begins = self.rows[:-1][self.rows[:-1] < self.rows[1:]]
@@ -174,22 +184,62 @@ def slice_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return own.first[order[at]], own.second[order[at]], n, np.diff(np.append(at, len(order)))
 
 
-def pair_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
+def _dealt(held: list[tuple[np.ndarray, ...]], shift: int) -> pa.RecordBatch:
+    """A row per bucket: the pairs of some slices in it, each once, as 64-bit numbers, and the counts of each as 32-bit numbers."""
+    first, second, n, documents = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    # They come in the order of their hash, whose first bits are the bucket.
+    bucket = (pair_hash(first, second) >> np.uint64(shift) >> np.uint64(1)).astype(np.int32)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*at[1:].tolist(), len(bucket)]
+    columns = (np.stack([first, second]), np.stack([n, documents]).astype(np.int32))
+    packed = [pa.array([x[:, a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)], pa.binary()) for x in columns]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *packed], ["bucket", "pairs", "counts"])
+
+
+def _merged(first: np.ndarray, second: np.ndarray, n: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, with the sums of its counts, in the order of its hash."""
+    hashes = pair_hash(first, second)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(order) else order
+    sums = (np.add.reduceat(x[order].astype(np.int64), at) if len(at) else x.astype(np.int64) for x in (n, documents))
+    return first[order[at]], second[order[at]], *sums
+
+
+def pair_table(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(pair, n, first_n, second_n): the pairs of two documents or more and how often they and their words occur."""
+    bits = max(0, math.ceil(math.log2(max(total, 1) / BUCKET_WORDS)))
+    shift = 63 - bits
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in slices(batches, 1, 1 << 20):
-            first, second, n, documents = slice_pairs(part.column(1))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (first, second)), *(pa.array(x.astype(np.int32)) for x in (n, documents))], ["first", "second", "n", "documents"])
+            held.append(slice_pairs(part.column(1)))
+            size += len(held[-1][0])
+            if size > BUCKET_WORDS:
+                yield _dealt(held, shift)
+                held, size = [], 0
+        if size:
+            yield _dealt(held, shift)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition is one bucket."""
+        pairs, numbers = [], []
+        for batch in batches:
+            pairs += [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(1).to_pylist()]
+            numbers += [np.frombuffer(x, np.int32).reshape(2, -1) for x in batch.column(2).to_pylist()]
+        if pairs:
+            first, second, n, documents = _merged(*np.concatenate(pairs, axis=1), *np.concatenate(numbers, axis=1))
+            some = documents > 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[some].view(np.int64)) for x in (first, second)), pa.array(n[some])], ["first", "second", "n"])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(pair_hash(first, second).view(np.int64)), *batch.columns[2:]], ["pair", "n", "first_n", "second_n"])
 
-    every = texts.mapInArrow(found, "first long, second long, n int, documents int")
-    shared = every.groupBy("first", "second").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")).where("documents > 1").drop("documents")
-    table = stored(shared, "shared-pairs")
+    every = texts.mapInArrow(found, "bucket int, pairs binary, counts binary").repartitionById(1 << bits, F.col("bucket"))
+    table = stored(every.mapInArrow(shared, "first long, second long, n long"), "shared-pairs")
     of = lambda side: counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
     first = stored(table.join(of("first"), "first"), "first-counts")
     forget(table)
@@ -199,75 +249,64 @@ def pair_table(texts: DataFrame, counts: DataFrame) -> DataFrame:
     return whole
 
 
-def word_sums(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, n_words, value): the logarithms of the counts that others have of a document's words, 1 at least, added up."""
-    frequent = Frequent(counts.where("word <> 0"), "word", ("n",))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 1 << 20):
-            own = TextPairs(part.column(1), only_words=True)
-            known, at = frequent.find(own.words)
-            others = np.maximum(frequent.values[0][at[known]] - own.word_n[known], 1)
-            value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
-            rare = own.word_owner[~known]
-            yield rows(part.column(0), part.column(0), np.diff(own.rows), pa.array(value))
-            yield rows(part.column(0).take(pa.array(rare)), pa.array(own.words[~known].view(np.int64)), own.word_n[~known], pa.nulls(len(rare), pa.float64()))
-
-    def rows(row: pa.Array, word: pa.Array, n: np.ndarray, value: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([row, word, pa.array(n.astype(np.int32)), value], ["row", "word", "n", "value"])
-
-    found = stored(texts.mapInArrow(run, "row long, word long, n int, value double"), "words-of-documents")
-    known = found.where("value IS NOT NULL").select("row", F.col("n").cast("long").alias("n_words"), "value")
-    rare = found.where("value IS NULL").join(counts.select("word", F.col("n").alias("word_n")), "word")
-    value = F.col("n") * F.log(F.greatest(F.col("word_n") - F.col("n"), F.lit(1)))
-    both = known.unionByName(rare.select("row", F.lit(0).cast("long").alias("n_words"), value.alias("value")))
-    return both.groupBy("row").agg(F.sum("n_words").alias("n_words"), F.sum("value").alias("value"))
-
-
-def pair_sums(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """(row, pair_n, pair_value): how many of a document's pairs others have, and the logarithms of their shares less what
-    backing off has for them, added up."""
+def document_sums(texts: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, n_words, pair_n, value): a document's words, how many of its pairs others have, and the sum of two logarithms: of the
+    counts that others have of its words, 1 at least, and of the shares of these pairs less what backing off has for them."""
+    words = Frequent(counts.where("word <> 0"), "word", ("n",))
     frequent = Frequent(table, "pair", ("n", "first_n", "second_n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
             own = TextPairs(part.column(1))
+            held, at = words.find(own.words)
+            others = np.maximum(words.values[0][at[held]] - own.word_n[held], 1)
+            value = own.sums(own.word_owner[held], own.word_n[held] * np.log(others))
             pair = pair_hash(own.first, own.second)
             known, at = frequent.find(pair)
             n, own_n, owner = own.n[known], [x[known] for x in (own.n, own.own_first, own.own_second)], own.owner[known]
             both, first, second = (values[at[known]] - mine for values, mine in zip(frequent.values, own_n, strict=True))
             seen = both > 0
             n, owner, both, first, second = (x[seen] for x in (n, owner, both, first, second))
-            value = own.sums(owner, n * (np.log(both) - np.log(first) - np.log(np.maximum(second, 1))))
-            yield ready(part, own.sums(owner, n), value)
-            numbers = [x[~known].astype(np.int64) for x in (own.n, own.own_first, own.own_second)]
+            value += own.sums(owner, n * (np.log(both) - np.log(first) - np.log(np.maximum(second, 1))))
+            yield ready(part, np.diff(own.rows), own.sums(owner, n), value)
+            yield asked(part, own.word_owner[~held], own.words[~held], own.word_n[~held].astype(np.int64))
+            numbers = [x[~known].astype(np.int64) for x in (own.own_first, own.own_second, own.n)]
             fits = np.logical_and.reduce([x < 1 << BITS for x in numbers])
-            yield asked(part, own.owner[~known][fits], pair[~known][fits], [x[fits] for x in numbers], True)
+            yield asked(part, own.owner[~known][fits], pair[~known][fits], numbers[2][fits], *(x[fits] for x in numbers[:2]), packed=True)
             if not fits.all():
-                yield asked(part, own.owner[~known][~fits], pair[~known][~fits], [x[~fits] for x in numbers], False)
+                yield asked(part, own.owner[~known][~fits], pair[~known][~fits], numbers[2][~fits], *(x[~fits] for x in numbers[:2]))
 
-    def ready(part: pa.RecordBatch, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        """What the known pairs of each document add up to, dealt out by the document's own name."""
+    def ready(part: pa.RecordBatch, n_words: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        """What the known words and pairs of each document add up to, dealt out by the document's own name; its words stand in `own_first`."""
         empty = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(0), empty, pa.array(n.astype(np.int64)), empty, empty, pa.array(value)], columns)
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(0), empty, pa.array(n.astype(np.int64)), pa.array(n_words.astype(np.int64)), empty, pa.array(value)], columns)
 
-    def asked(part: pa.RecordBatch, owner: np.ndarray, pair: np.ndarray, numbers: list[np.ndarray], packed: bool) -> pa.RecordBatch:
+    def asked(part: pa.RecordBatch, owner: np.ndarray, key: np.ndarray, n: np.ndarray, *others: np.ndarray, packed: bool = False) -> pa.RecordBatch:
+        """Pairs, or words, which have no `others`."""
         empty = pa.nulls(len(owner), pa.int64())
-        together = pa.array(numbers[0] | numbers[1] << BITS | numbers[2] << 2 * BITS) if packed else empty
-        apart = [empty] * 3 if packed else [pa.array(x) for x in numbers]
-        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(pair.view(np.int64)), together, *apart, pa.nulls(len(owner), pa.float64())], columns)
+        together = pa.array(others[0] | others[1] << BITS | n << 2 * BITS) if packed else empty
+        apart = [empty] * 3 if packed else [pa.array(n), *(map(pa.array, others) if others else (empty, empty))]
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(key.view(np.int64)), together, *apart, pa.nulls(len(owner), pa.float64())], columns)
 
     columns = ["row", "pair", "packed", "n", "own_first", "own_second", "value"]
     found = texts.mapInArrow(run, "row long, pair long, packed long, n long, own_first long, own_second long, value double")
-    met = found.join(table.withColumnsRenamed({"n": "pair_n"}), "pair", "left")
-    for place, name in enumerate(("n", "own_first", "own_second")):
+    none = F.lit(None).cast("long")
+    # Words that occur once are in no other document, and are not looked for.
+    rare = words.others(counts.where("word <> 0 AND n > 1")).select(F.col("word").alias("pair"), "n", none.alias("first_n"), none.alias("second_n"))
+    met = found.join(frequent.others(table).unionByName(rare).withColumnsRenamed({"n": "pair_n"}), "pair", "left")
+    for place, name in enumerate(("own_first", "own_second", "n")):
         held = F.shiftright("packed", place * BITS).bitwiseAND((1 << BITS) - 1)
         met = met.withColumn(name, F.coalesce(name, held))
     left_out = F.col("pair_n") - F.col("n")
     share = F.log(left_out) - F.log(F.col("first_n") - F.col("own_first")) - F.log(F.greatest(F.col("second_n") - F.col("own_second"), F.lit(1)))
-    done, seen = F.col("value").isNotNull(), left_out > 0
-    parts = met.select("row", F.when(done | seen, F.col("n")).otherwise(0).alias("pair_n"), F.when(done, F.col("value")).when(seen, F.col("n") * share).otherwise(0.0).alias("pair_value"))
-    return parts.groupBy("row").agg(F.sum("pair_n").alias("pair_n"), F.sum("pair_value").alias("pair_value"))
+    done, word, seen = F.col("value").isNotNull(), F.col("own_first").isNull(), left_out > 0
+    parts = met.select(
+        "row",
+        F.when(done, F.col("own_first")).otherwise(0).alias("n_words"),
+        F.when(done | ~word & seen, F.col("n")).otherwise(0).alias("pair_n"),
+        F.when(done, F.col("value")).when(word, F.col("n") * F.log(F.greatest(left_out, F.lit(1)))).when(seen, F.col("n") * share).otherwise(0.0).alias("value"),
+    )
+    return parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in ("n_words", "pair_n", "value")))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -276,16 +315,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     texts = source.select("row", "text")
     counts = stored(word_counts(texts), "words")
     total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 0
-    table = pair_table(texts, counts)
-    by_pairs = stored(pair_sums(texts, table), "pair-sums")
-    by_words = stored(word_sums(texts, counts), "word-sums")
+    sums = stored(document_sums(texts, counts, pair_table(texts, counts, total)), "document-sums")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
     # Repeated rows were added up under one name.
-    one = [(F.col(n) / F.col("copies")).alias(n) for n in ("n_words", "value", "pair_n", "pair_value")]
-    each = by_words.join(by_pairs, "row").join(copies, "row").select("row", *one)
+    one = [(F.col(n) / F.col("copies")).alias(n) for n in ("n_words", "pair_n", "value")]
+    each = sums.join(copies, "row").select("row", *one)
     backed = math.log(alpha) - F.log(F.greatest(F.lit(total) - F.col("n_words"), F.lit(1.0)))
-    log_score = F.col("value") + F.col("pair_value") + (F.col("n_words") - F.col("pair_n")) * backed
+    log_score = F.col("value") + (F.col("n_words") - F.col("pair_n")) * backed
     each = each.where("n_words > 0").select("row", F.col("n_words").cast("long").alias("n_words"), log_score.alias("log_score"))
     return rows.join(each, "row", "left").select(
         F.col("id").alias(id_col),

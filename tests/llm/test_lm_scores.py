@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -92,3 +93,32 @@ def test_a_slice_gives_each_pair_once():
     assert len({*zip(first.tolist(), second.tolist())}) == len(first) == len(wanted)
     assert sorted(zip(n.tolist(), documents.tolist())) == sorted((wanted[p], sum(p in own for own in pairs)) for p in wanted)
     assert all(len(x) == 0 for x in L.slice_pairs(pa.array([None, ""], pa.string())))
+
+
+def test_a_task_gives_each_pair_of_a_bucket_once():
+    """Pairs of several slices are added up and dealt out by their hash, a row for each bucket."""
+    slices = [L.slice_pairs(pa.array(texts)) for texts in (["a b a b", "a b c"], [None, ""], ["c", "a b c d e f"])]
+    for bits in (0, 3):
+        rows = L._dealt(slices, 63 - bits).to_pylist()
+        assert len({r["bucket"] for r in rows}) == len(rows) and all(0 <= r["bucket"] < 1 << bits for r in rows)
+        assert bits == 0 or len(rows) > 1
+        found = {}
+        for row in rows:
+            pairs, counts = np.frombuffer(row["pairs"], np.uint64).reshape(2, -1), np.frombuffer(row["counts"], np.int32).reshape(2, -1)
+            assert {int(h) >> 64 - bits for h in L.pair_hash(*pairs)} == {row["bucket"]}
+            found |= dict(zip(zip(*pairs.tolist()), zip(*counts.tolist()), strict=True))
+        wanted = Counter()
+        documents = Counter()
+        for first, second, n, docs in slices:
+            for pair, x, y in zip(zip(first.tolist(), second.tolist()), n.tolist(), docs.tolist()):
+                wanted[pair] += x
+                documents[pair] += y
+        assert found == {p: (wanted[p], documents[p]) for p in wanted}
+
+
+def test_pairs_of_many_buckets(spark, monkeypatch):
+    """A task that deals out often, and more buckets than tasks, change nothing."""
+    monkeypatch.setattr(L, "BUCKET_WORDS", 40)
+    draw = random.Random(8)
+    rows = [(n, " ".join(draw.choices("abcdefghij", k=draw.randint(0, 60)))) for n in range(60)]
+    same(scored(spark, rows), brute_force(rows))
