@@ -6,7 +6,7 @@
 A document is scored by what all others say: its own words and pairs are left out of every count. So a pair that no
 other document has backs off to its second word, and a word that no other document has counts as one occurrence. Copies are
 documents of their own and do speak for each other. Neither words nor pairs are bounded, and the driver holds none but
-the `FREQUENT` most frequent ones. A document begins with a border, the context of its first word.
+a bounded number of the most frequent ones. A document begins with a border, the context of its first word.
 
 The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task. Tasks give the
 pairs that they have in a bucket, a range of the pair's hash, as one row, so that few rows are shuffled and sorted; there are as
@@ -37,7 +37,7 @@ from fareloom.llm.common import Words, forget, keyed, mix, slices, stored
 ALPHA = 0.4
 # The border before the first word, also what its count goes by.
 BEGUN = np.uint64(0)
-# Words, and pairs, that every task can look up, at most; 16 and 32 bytes each.
+# Pairs of 32 bytes that every task can look up, at most, and twice as many words of 16 bytes.
 FREQUENT = 400_000
 # Words for each bucket of pairs, at most on average, and pairs that a task keeps before it deals them out.
 BUCKET_WORDS = 1 << 20
@@ -82,14 +82,14 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 class Frequent:
-    """The most frequent entries of a table with a column `n`, no more than `FREQUENT`, as arrays sorted by their key."""
+    """The most frequent entries of a table with a column `n`, no more than `most`, as arrays sorted by their key."""
 
-    def __init__(self, table: DataFrame, key: str, values: tuple[str, ...]):
-        sizes = table.groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).limit(FREQUENT).collect()
+    def __init__(self, table: DataFrame, key: str, values: tuple[str, ...], most: int):
+        sizes = table.groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).limit(most).collect()
         taken, least = 0, None
         for row in sizes:
             taken += row.entries
-            if taken > FREQUENT:
+            if taken > most:
                 break
             least = row.n
         self.least = least
@@ -252,8 +252,8 @@ def pair_table(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 def document_sums(texts: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
     """(row, n_words, pair_n, value): a document's words, how many of its pairs others have, and the sum of two logarithms: of the
     counts that others have of its words, 1 at least, and of the shares of these pairs less what backing off has for them."""
-    words = Frequent(counts.where("word <> 0"), "word", ("n",))
-    frequent = Frequent(table, "pair", ("n", "first_n", "second_n"))
+    words = Frequent(counts.where("word <> 0"), "word", ("n",), 2 * FREQUENT)
+    frequent = Frequent(table, "pair", ("n", "first_n", "second_n"), FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1, 1 << 20):
