@@ -20,9 +20,6 @@ change with the size of the table are of one kind at every size.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +41,29 @@ def parsed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("line", "body"))
     body = F.col("body")
-    # The matcher only sees the few lines with something to replace.
-    uneven = reduce(or_, (F.contains(body, F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")))
-    even = F.when(uneven, F.regexp_replace(body, r"\s+", " ")).otherwise(body)
-    masked = F.when(body.rlike("[0-9]"), F.regexp_replace(even, VARIABLE, "<*>"))
+    lines = lines.where(F.ltrim(body, F.lit(" \t\n\x0b\f\r")) != "")
+    even = F.regexp_replace(body, r"\s+", " ")
+    masked = F.regexp_replace(even, VARIABLE, "<*>")
     # A line of variable fields only, such as a row of numbers, is no template.
-    masked = F.trim(F.when(F.trim(F.replace(masked, F.lit("<*>"), F.lit(""))) != "", masked).otherwise(even))
-    lines = lines.select("id", "copy", "line", masked.alias("masked")).where("masked <> ''").withColumn("tokens", F.split("masked", " "))
-    rest = F.size("tokens") - DEPTH
+    masked = F.when(F.trim(F.replace(masked, F.lit("<*>"), F.lit(""))) != "", masked).otherwise(even)
+    # The matcher only sees the few lines with something to replace.
+    odd = body.rlike(r"[0-9\t\x0b\f\r]") | F.contains(body, F.lit("  "))
+    lines = lines.select("id", "copy", "line", F.trim(F.when(odd, masked).otherwise(body)).alias("masked"))
+    # The tokens are an array of one inside one expression, so that they are cut once and stay in the memory of the task.
+    parsed = F.transform(F.array(F.split("masked", " ")), _leaf_and_segments)[0]
+    lines = lines.select("id", "copy", "line", F.xxhash64("masked").alias("own"), parsed.alias("parsed"))
+    return lines.select("id", "copy", "line", "parsed.leaf", "own", "parsed.segments")
+
+
+def _leaf_and_segments(tokens: Column) -> Column:
+    rest = F.size(tokens) - DEPTH
     count = F.least(F.lit(SEGMENTS), rest)
-    bound = lambda n: F.floor(n * rest / count).cast("int")
-    segment = lambda n: F.hash(F.slice("tokens", DEPTH + 1 + bound(n), bound(n + 1) - bound(n)))
+    bound = lambda n: F.call_function("div", n * rest, count).cast("int")
+    # Tokens are taken one by one: a slice would look at all of them for every run.
+    places = lambda n: F.sequence(DEPTH + bound(n), DEPTH - 1 + bound(n + 1))
+    segment = lambda n: F.hash(F.transform(places(n), lambda place: F.get(tokens, place)))
     segments = F.when(rest > 0, F.transform(F.sequence(F.lit(0), count - 1), segment)).otherwise(F.array().cast("array<int>"))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return lines.select("id", "copy", "line", leaf.alias("leaf"), F.xxhash64("masked").alias("own"), segments.alias("segments"))
+    return F.struct(F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"), segments.alias("segments"))
 
 
 def _documents(lines: DataFrame, *key: str) -> DataFrame:

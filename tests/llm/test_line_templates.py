@@ -119,3 +119,14 @@ def test_a_leaf_keeps_all_its_templates(spark):
     documents_table = docs.toArrow()
     con.register("documents", documents_table)
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in found.values()) == sorted(con.sql(L.SQL).fetchall())
+
+
+def test_lines_are_masked_and_cut_once(spark):
+    """The blank lines go before the matcher runs, and runs of tokens are not taken by looking at the whole line for each."""
+    rows = [(1, "\n \t\x0b\f\r \n  a\tb  c 7x\r\n1 2\n" + " ".join(f"w{chr(97 + n % 26)}" for n in range(60))), (2, None), (3, "")]
+    lines = L.parsed_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace" in step for step in plan.split("\n") if "Filter" in step)
+    assert plan.count("slice(") == 1
+    found = {r.line: len(r.segments) for r in lines.collect()}
+    assert found == {2: 1, 3: 0, 4: L.SEGMENTS}
