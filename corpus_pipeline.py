@@ -1,7 +1,7 @@
 """The training-data pipeline: stages over `documents`, each written as Parquet before the next one reads it.
 
 1. toxicity: documents that the classifier rejects go.
-2. line dedup: lines of recurring templates go, but for their first occurrence; documents stay.
+2. line dedup: lines of recurring templates go, but for their first occurrence, whatever pivot finds the template; documents stay.
 3. near-dedup: one document of each group of near copies stays.
 4. decontamination: documents with too many words of benchmark windows go.
 5. byte-level BPE: the documents that are left are encoded and decoded.
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_templates.drop_recurring_lines(docs)
+    found = line_templates.drop_recurring_lines(docs, whole=True)
     changed = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return found.withColumns(changed).select(docs.columns)
 

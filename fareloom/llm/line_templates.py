@@ -7,7 +7,8 @@ more reach gets templates, one a round: the run that most documents have at one
 places among the lines with the pivot are the template, and all lines that agree with it in `AGREEMENT` of the places belong to
 it, so a differing field of any kind is generalised. Lines of a template go on to no other; lines with the pivot of a template
 that too few share do not either. Rounds go on until no leaf has a pivot, so a leaf gets all its templates; each
-round takes lines of `MIN_DOCS` documents or more from every leaf it works on.
+round takes lines of `MIN_DOCS` documents or more from every leaf it works on. With `whole`, as in the pipeline, what the rounds leave is looked at again,
+with all pivots at once, until no pivot of lines without a template has a template that `MIN_DOCS` different documents contain.
 
 A template is recurring if `MIN_DOCS` documents contain it. All other lines are compared as they are, with their variable fields masked unless they have no other, and are recurring from `EXACT_DOCS` documents on. The first line
 (smallest id, then smallest line number) of what recurs stays, all its other lines are dropped.
@@ -99,12 +100,57 @@ def _round(units: DataFrame, min_docs: int) -> DataFrame:
     return stored(marked.join(enough, "leaf", "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "template-round", tidy=False)
 
 
-def generalised(lines: DataFrame, units: DataFrame, min_docs: int) -> DataFrame:
+def _best_template(rest: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, own) of the lines of one template for each leaf that has any, whatever the pivot: the one that most documents contain.
+
+    All runs of `min_docs` documents are pivots at once. `min_docs` documents whose lines agree in `AGREEMENT` of the places have, over all places,
+    that share of `min_docs` agreeing documents a place at least, no place counting more than `min_docs`; templates, and leaves, that
+    cannot reach it are left out before lines are compared.
+    """
+    enough = F.sum(F.least("docs", F.lit(min_docs))) >= AGREEMENT * min_docs * F.count("*")
+    votes = stored(_commonest(rest), "run-votes", tidy=False)
+    able = votes.groupBy("leaf", "place").agg(F.max("docs").alias("docs")).groupBy("leaf").agg(enough.alias("able")).where("able").select("leaf")
+    able = stored(able, "able-leaves", tidy=False)
+    rest = stored(rest.join(able, "leaf"), "able-lines", tidy=False)
+    votes = votes.join(able, "leaf").select("leaf", "place", "value", "docs")
+    pivots = votes.where(F.col("docs") >= min_docs).select("leaf", F.col("place").alias("spot"), F.col("value").alias("main"))
+    spots = rest.select("leaf", "docs", "first", "segments", F.posexplode("segments").alias("spot", "main"))
+    holders = spots.join(pivots, ["leaf", "spot", "main"]).select("leaf", "spot", "main", "docs", "first", F.posexplode("segments").alias("place", "value"))
+    common = holders.groupBy("leaf", "spot", "main", "place", "value").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+    best = common.groupBy("leaf", "spot", "main", "place").agg(F.min(F.struct((-F.col("docs")).alias("docs"), "first", "value"))["value"].alias("value"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("template")
+    templates = best.join(votes, ["leaf", "place", "value"]).groupBy("leaf", "spot", "main").agg(enough.alias("able"), whole)
+    templates = stored(templates.where("able").select("leaf", "template").distinct(), "able-templates", tidy=False)
+    agreeing = F.size(F.filter(F.zip_with("segments", "template", lambda a, b: a == b), lambda same: same))
+    members = rest.join(templates, "leaf").where(agreeing >= AGREEMENT * F.size("segments")).select("leaf", "template", "own")
+    members = stored(members, "template-members", tidy=False)
+    held = _documents(members.join(lines.select("own", "id", "copy"), "own"), "leaf", "template").where(F.col("docs") >= min_docs)
+    chosen = held.groupBy("leaf").agg(F.min(F.struct((-F.col("docs")).alias("docs"), "template"))["template"].alias("template"))
+    return members.join(chosen, ["leaf", "template"]).select("leaf", "own")
+
+
+def _left_over(lines: DataFrame, busy: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
+    """`found` with the templates of enough documents only, and further ones until the lines that belong to none have no such template left."""
+    marked = lines.select("id", "copy", "own").join(found, "own")
+    found = found.join(_documents(marked, "template").where(F.col("docs") >= min_docs).select("template"), "template").select("own", "template")
+    found, turn = stored(found, "whole-templates", tidy=False), 0
+    rest = busy.join(found, "own", "left_anti")
+    while True:
+        more = stored(_best_template(rest, lines, min_docs), "further-lines", tidy=False)
+        if more.isEmpty():
+            return found
+        # Numbers below 0 are not those of a round before.
+        turn -= 1
+        found = stored(found.unionByName(more.select("own", F.xxhash64("leaf", F.lit(turn)).alias("template"))), "whole-templates", tidy=False)
+        rest = stored(rest.join(more.select("leaf").distinct(), "leaf", "left_semi").join(more.select("own"), "own", "left_anti"), "left-lines", tidy=False)
+
+
+def generalised(lines: DataFrame, units: DataFrame, min_docs: int, whole: bool = False) -> DataFrame:
     """(own, template) of the different lines that belong to a template, from the lines and (leaf, own, docs) of the different ones."""
     busy = units.groupBy("leaf").agg(F.sum("docs").alias("all_docs")).where(F.col("all_docs") >= min_docs).select("leaf")
     here = F.struct("id", "copy", "line")
     rest = lines.join(stored(busy, "busy-leaves", tidy=False).hint("merge"), "leaf").where(F.size("segments") > 0).groupBy("leaf", "own").agg(F.min(here).alias("first"), F.first("segments").alias("segments"))
-    rest = stored(rest.join(units, ["leaf", "own"]), "busy-lines", tidy=False)
+    rest = every = stored(rest.join(units, ["leaf", "own"]), "busy-lines", tidy=False)
     # Rounds add to one folder, which is read once however many there are.
     spark, path, turn = lines.sparkSession, scratch_path(lines.sparkSession, "generalised"), 0
     found = spark.createDataFrame([], "own long, template long")
@@ -114,13 +160,14 @@ def generalised(lines: DataFrame, units: DataFrame, min_docs: int) -> DataFrame:
         marked.where("ok AND belongs").select("own", F.xxhash64("leaf", F.lit(turn)).alias("template")).write.mode("append").parquet(path)
         rest = marked.where("NOT (ok AND belongs) AND (ok OR NOT holds)").select(rest.columns)
         turn += 1
-    return spark.read.schema(found.schema).parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    return _left_over(lines, every, found, min_docs) if whole else found
 
 
-def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
+def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, whole: bool = False) -> DataFrame:
     """(id, copy, line) of the lines to drop."""
     units = stored(_documents(lines, "leaf", "own"), "different-lines")
-    found = generalised(lines, units, min_docs)
+    found = generalised(lines, units, min_docs, whole)
     wanted = units.where(F.col("docs") >= exact_docs).select("own", "docs").join(found, "own", "full")
     marked = stored(lines.select("id", "copy", "line", "own").join(stored(wanted, "recurring", tidy=False).hint("merge"), "own"), "recurring-lines")
     enough = _documents(marked.where("template IS NOT NULL"), "template").where(F.col("docs") >= min_docs).select("template", F.lit(True).alias("ok"))
@@ -132,10 +179,10 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS, exact_docs: int
     return keyed.join(first, ["ok", "key"]).where(~here.eqNullSafe(F.col("first"))).select("id", "copy", "line")
 
 
-def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int, exact_docs: int) -> DataFrame:
+def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int, exact_docs: int, again: bool = False) -> DataFrame:
     """(whole, kept, n_lines, n_dropped): the rows as they are, and their texts without the lines to drop."""
     lines = stored(parsed_lines(docs, id_col, text_col), "lines")
-    dropped = recurring_lines(lines, min_docs, exact_docs).groupBy("id", "copy").agg(F.collect_set("line").alias("gone"))
+    dropped = recurring_lines(lines, min_docs, exact_docs, again).groupBy("id", "copy").agg(F.collect_set("line").alias("gone"))
     text = F.col(f"whole.`{text_col}`")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(f"`{text_col}`").alias("own_copy"))
     met = whole.join(stored(dropped, "gone").hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_copy") == F.col("copy")), "left")
@@ -146,9 +193,11 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, min_docs: int, exact_docs:
     return met.select("whole", kept.alias("kept"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
-    """All columns of the documents, as they are, with the lines dropped from the text."""
-    found = _cut(docs, id_col, text_col, min_docs, exact_docs)
+def drop_recurring_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS, whole: bool = False
+) -> DataFrame:
+    """All columns of the documents, as they are, with the lines dropped from the text; `whole` looks for templates among set-aside lines too."""
+    found = _cut(docs, id_col, text_col, min_docs, exact_docs, whole)
     return found.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"whole.`{c}`").alias(c) for c in docs.columns))
 
 

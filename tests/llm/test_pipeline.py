@@ -102,3 +102,15 @@ def test_lines_of_every_template_of_a_leaf_go(spark):
     rows = [(100 * k + n, f"{PROSE[k]}\nShare this story {kind} {'abcdefghijklmnopqrst'[n] * (k + 3)} on {kind}day at {kind}noon") for k, kind in enumerate(kinds) for n in range(18 - k)]
     found = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
     assert sorted(r.doc_id for r in found if "Share this story" in r.text) == [100 * k for k in range(8)]
+
+
+def test_lines_with_the_pivot_of_no_template_have_another(spark):
+    """The commonest run stands in lines that share too little for a template, and in those of a template that another run finds."""
+    letter = "abcdefghijklmnopqrstuvwxyzABCD"
+    shared = ["one", "two", "three", "four", "five", "six", "seven"]
+    loose = [[shared[j] if (j - m) % 7 < 4 else f"q{letter[m]}{letter[j]}" for j in range(7)] for m in range(30)]
+    kept = [[f"own{letter[n]}", "bake", "cook", "dine", "eat", "feast", "grill"] for n in range(12)]
+    rows = [(100 + m, f"{letter[m] * 7}\nShare this story {' '.join(words)} pivot") for m, words in enumerate(loose)]
+    rows += [(n, f"{letter[n] * 9}\nShare this story {' '.join(words)} pivot") for n, words in enumerate(kept)]
+    found = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert sorted(r.doc_id for r in found if "Share" in r.text) == [0, *range(100, 130)]
