@@ -10,8 +10,9 @@ a bounded number of the most frequent ones. A document begins with a border, the
 
 The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task. Tasks give the
 pairs that they have in a bucket, a range of the pair's hash, as one row, so that few rows are shuffled and sorted; there are as
-many buckets as the corpus has million words, and a task adds up one. The table keeps the pairs of two documents or more,
-as all others back off, and gets the counts of their words by joins. Documents then give their words and
+many buckets as the corpus has million words, and a task adds up one. The most frequent words travel as short codes, which
+also find the words' counts; the others as hashes. The table keeps the pairs of two documents or more,
+as all others back off, and gets the counts of rarer words by joins. Documents then give their words and
 pairs again, exploded, with their own counts. The most frequent words and pairs, bounded numbers, are looked up
 where they are found; the others are joined to their counts by their hash, words and pairs at once. A document's score is that of backing off
 everywhere, plus what each pair of the table adds to it: sums per document. Tables are stored before they are joined, so Spark may split the
@@ -206,53 +207,117 @@ def _merged(first: np.ndarray, second: np.ndarray, n: np.ndarray, documents: np.
     return first[order[at]], second[order[at]], *sums
 
 
-def pair_table(texts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(pair, n, first_n, second_n): the pairs of two documents or more and how often they and their words occur."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones: neighbours are alike, so they are smaller when they are shuffled."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _added_up(key: np.ndarray, n: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sums of its counts."""
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+    sums = (np.add.reduceat(x[order], at, dtype=np.int64) if len(at) else x.astype(np.int64) for x in (n, documents))
+    return key[at], *sums
+
+
+def _dealt_codes(held: list[tuple[np.ndarray, ...]], shift: int) -> pa.RecordBatch:
+    """A row per bucket: the pairs of two held words in it, each once, as two 32-bit codes in one number, and their counts."""
+    key, n, documents = _added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    bucket = (mix(key) >> np.uint64(shift) >> np.uint64(1)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if shift >= 47 else bucket, kind="stable")
+    bucket, key, n, documents = bucket[order], key[order], n[order].astype(np.int32), documents[order].astype(np.int32)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = list(zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
+    pairs = pa.array([_planes(key[a:b]) for a, b in parts], pa.binary())
+    counts = pa.array([_planes(np.concatenate([n[a:b], documents[a:b]])) for a, b in parts], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pairs, counts, pa.array(np.ones(len(at), bool))], ["bucket", "pairs", "counts", "coded"])
+
+
+def pair_table(texts: DataFrame, counts: DataFrame, total: int, words: Frequent, begun: int) -> DataFrame:
+    """(pair, n, first_n, second_n): the pairs of two documents or more and how often they and their words occur.
+
+    Words that are held have a code, their place among them, and the border has the code 0; pairs of two such words travel as codes and find the
+    counts of their words at once. If all words that occur twice are held, no other pair can be in two documents.
+    """
     bits = max(0, math.ceil(math.log2(max(total, 1) / BUCKET_WORDS)))
-    shift = 63 - bits
+    shift, complete = 63 - bits, words.least is not None and words.least <= 2
+
+    def codes(keys: np.ndarray) -> np.ndarray:
+        held, at = words.find(keys)
+        return np.where(keys == BEGUN, 0, np.where(held, at + 1, -1))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, others, size = [], [], 0
         for part in slices(batches, 1, 1 << 20):
-            held.append(slice_pairs(part.column(1)))
+            first, second, n, documents = slice_pairs(part.column(1))
+            a, b = codes(first), codes(second)
+            both = (a >= 0) & (b >= 0)
+            held.append(((a[both] << 32 | b[both]).astype(np.uint64), n[both].astype(np.int32), documents[both].astype(np.int32)))
             size += len(held[-1][0])
+            if not complete:
+                others.append(tuple(x[~both] for x in (first, second, n, documents)))
+                size += len(others[-1][0])
             if size > BUCKET_WORDS:
-                yield _dealt(held, shift)
-                held, size = [], 0
+                yield from dealt(held, others)
+                held, others, size = [], [], 0
         if size:
-            yield _dealt(held, shift)
+            yield from dealt(held, others)
+
+    def dealt(held: list[tuple[np.ndarray, ...]], others: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if any(len(x[0]) for x in held):
+            yield _dealt_codes(held, shift)
+        if any(len(x[0]) for x in others):
+            rows = _dealt(others, shift)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.zeros(rows.num_rows, bool))], ["bucket", "pairs", "counts", "coded"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition is one bucket."""
-        pairs, numbers = [], []
+        keys, sums, pairs, numbers = [], [], [], []
         for batch in batches:
-            pairs += [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(1).to_pylist()]
-            numbers += [np.frombuffer(x, np.int32).reshape(2, -1) for x in batch.column(2).to_pylist()]
+            for pair, count, coded in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if coded:
+                    keys.append(_from_planes(pair, np.uint64))
+                    sums.append(_from_planes(count, np.int32).reshape(2, -1))
+                else:
+                    pairs.append(np.frombuffer(pair, np.uint64).reshape(2, -1))
+                    numbers.append(np.frombuffer(count, np.int32).reshape(2, -1))
+        if keys:
+            key, n, documents = _added_up(np.concatenate(keys), *np.concatenate(sums, axis=1))
+            key, n = key[documents > 1], n[documents > 1]
+            sides = [(key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            names, times = np.append(BEGUN, words.keys), np.append(begun, words.values[0])
+            empty = pa.nulls(len(key), pa.int64())
+            pair = pair_hash(*(names[side] for side in sides))
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), empty, empty, *map(pa.array, (n, *(times[side] for side in sides)))], columns)
         if pairs:
             first, second, n, documents = _merged(*np.concatenate(pairs, axis=1), *np.concatenate(numbers, axis=1))
-            some = documents > 1
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[some].view(np.int64)) for x in (first, second)), pa.array(n[some])], ["first", "second", "n"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(first, second).view(np.int64)), *batch.columns[2:]], ["pair", "n", "first_n", "second_n"])
-
-    every = texts.mapInArrow(found, "bucket int, pairs binary, counts binary").repartitionById(1 << bits, F.col("bucket"))
-    table = stored(every.mapInArrow(shared, "first long, second long, n long"), "shared-pairs")
+            first, second, n = (x[documents > 1] for x in (first, second, n))
+            empty = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (pair_hash(first, second), first, second)), pa.array(n), empty, empty], columns)
+
+    columns = ["pair", "first", "second", "n", "first_n", "second_n"]
+    every = texts.mapInArrow(found, "bucket int, pairs binary, counts binary, coded boolean").repartitionById(1 << bits, F.col("bucket"))
+    table = stored(every.mapInArrow(shared, ", ".join(f"{c} long" for c in columns)), "shared-pairs")
+    whole = table.where("first_n IS NOT NULL").select("pair", "n", "first_n", "second_n")
+    if complete:
+        return whole
     of = lambda side: counts.select(F.col("word").alias(side), F.col("n").alias(f"{side}_n"))
-    first = stored(table.join(of("first"), "first"), "first-counts")
-    forget(table)
-    both = first.join(of("second"), "second").select("first", "second", "n", "first_n", "second_n")
-    whole = stored(both.mapInArrow(named, "pair long, n long, first_n long, second_n long"), "pairs")
+    rest = table.where("first_n IS NULL").select("pair", "first", "second", "n")
+    first = stored(rest.join(of("first"), "first"), "first-counts")
+    both = stored(first.join(of("second"), "second").select("pair", "n", "first_n", "second_n"), "pairs")
     forget(first)
-    return whole
+    return whole.unionByName(both)
 
 
-def document_sums(texts: DataFrame, counts: DataFrame, table: DataFrame) -> DataFrame:
+def document_sums(texts: DataFrame, counts: DataFrame, table: DataFrame, words: Frequent) -> DataFrame:
     """(row, n_words, pair_n, value): a document's words, how many of its pairs others have, and the sum of two logarithms: of the
     counts that others have of its words, 1 at least, and of the shares of these pairs less what backing off has for them."""
-    words = Frequent(counts.where("word <> 0"), "word", ("n",), 2 * FREQUENT)
     frequent = Frequent(table, "pair", ("n", "first_n", "second_n"), FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +379,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     source = keyed(docs, id_col, text_col).select(F.xxhash64("id", "text").alias("row"), "text", "id")
     texts = source.select("row", "text")
     counts = stored(word_counts(texts), "words")
-    total = counts.where("word <> 0").agg(F.sum("n")).first()[0] or 0
-    sums = stored(document_sums(texts, counts, pair_table(texts, counts, total)), "document-sums")
+    total, begun = counts.agg(F.sum(F.when(F.col("word") != 0, F.col("n"))), F.sum(F.when(F.col("word") == 0, F.col("n")))).first()
+    words = Frequent(counts.where("word <> 0"), "word", ("n",), 2 * FREQUENT)
+    total = total or 0
+    table = pair_table(texts, counts, total, words, begun or 0)
+    sums = stored(document_sums(texts, counts, table, words), "document-sums")
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
     # Repeated rows were added up under one name.

@@ -122,3 +122,22 @@ def test_pairs_of_many_buckets(spark, monkeypatch):
     draw = random.Random(8)
     rows = [(n, " ".join(draw.choices("abcdefghij", k=draw.randint(0, 60)))) for n in range(60)]
     same(scored(spark, rows), brute_force(rows))
+
+
+def test_pairs_of_held_words_are_codes(spark, monkeypatch):
+    """Pairs of held words take half the bytes, whatever share of the words is held; all pairs have the same counts."""
+    texts = [f"a b {'xyz'[n % 3]} a b c{n % 5} d{n}" for n in range(20)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    counts = L.word_counts(docs).cache()
+    total, begun = sum(len((t or "").split()) for t in texts), 20
+    found = []
+    for most in (0, 3, 1000):
+        words = L.Frequent(counts.where("word <> 0"), "word", ("n",), most)
+        found.append(sorted(map(tuple, L.pair_table(docs, counts, total, words, begun).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+    key = np.arange(1000, dtype=np.uint64) << np.uint64(32) | np.arange(1000, dtype=np.uint64)[::-1]
+    one = np.ones(1000, np.int32)
+    row = L._dealt_codes([(key, one, one), (key[:10], one[:10], one[:10])], 63).to_pylist()[0]
+    assert len(row["pairs"]) == 8 * 1000
+    assert sorted(L._from_planes(row["pairs"], np.uint64).tolist()) == sorted(key.tolist())
+    assert L._from_planes(row["counts"], np.int32).sum() == 2 * 1010
