@@ -26,10 +26,12 @@ looked at.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,15 @@ from fareloom.llm.common import Words, forget, keyed, mix, slices, stored
 ALPHA = 0.4
 # The border before the first word, also what its count goes by.
 BEGUN = np.uint64(0)
-# Pairs of 32 bytes that every task can look up, at most, and twice as many words of 16 bytes.
+# Half as many as the words of 16 bytes that every task can look up, at most.
 FREQUENT = 400_000
-# Words for each bucket of pairs, at most on average, and pairs that a task keeps before it deals them out.
+# Words for each bucket of the pair table, half of those for a bucket in which documents meet, at most on average, and pairs that a task keeps before it
+# deals them out.
 BUCKET_WORDS = 1 << 20
-# A document's three counts for a pair share a number, those that differ most first, so that its bytes lie beside the pair's when
-# they are shuffled; those that need more bits have columns of their own.
+# What is shuffled in packed rows are planes of so many bits.
 BITS = 8
+# Words whose pairs with each other are not dealt out by document, at most.
+HOT = 1000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -162,6 +166,8 @@ class TextPairs:
         ahead[begins] = 0
         self.place = ahead[at] << 32 | rank[at]
         self.n = np.diff(np.append(np.flatnonzero(new), len(order)))
+        # Where its words stand among the documents' distinct words; the border is at -1.
+        self.first_at, self.second_at = before[at], number[at]
         self.own_second = self.word_n[number[at]]
         # A document has one border, and its last word is the context of nothing but is counted as a word all the same.
         self.own_first = np.where(before[at] < 0, 1, self.word_n[before[at]])
@@ -315,63 +321,311 @@ def pair_table(texts: DataFrame, counts: DataFrame, total: int, words: Frequent,
     return whole.unionByName(both)
 
 
-def document_sums(texts: DataFrame, counts: DataFrame, table: DataFrame, words: Frequent) -> DataFrame:
-    """(row, n_words, pair_n, value): a document's words, how many of its pairs others have, and the sum of two logarithms: of the
-    counts that others have of its words, 1 at least, and of the shares of these pairs less what backing off has for them."""
-    frequent = Frequent(table, "pair", ("n", "first_n", "second_n"), FREQUENT)
+def _pack(bits: int, *columns: np.ndarray) -> bytes:
+    """Columns of one length, numbers from 0 or 64-bit fractions, as compressed planes of `bits` bits, as many as the largest value of each needs."""
+    columns = [x.view(np.uint64) if x.dtype == np.float64 else x.astype(np.uint64) for x in columns]
+    counts = [-(-int(x.max(initial=0)).bit_length() // bits) for x in columns]
+    mask = np.uint64((1 << bits) - 1)
+    planes = [(x >> np.uint64(bits * place) & mask).astype(np.uint8) for x, count in zip(columns, counts, strict=True) for place in range(count)]
+    head = np.array([bits, len(columns), len(columns[0]), *counts], np.int32).tobytes()
+    return head + pa.compress(b"".join(p.tobytes() for p in planes), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The columns that `_pack` was given, as unsigned numbers."""
+    bits, width, size = np.frombuffer(data, np.int32, 3).tolist()
+    counts = np.frombuffer(data, np.int32, width, 12).tolist()
+    planes = np.frombuffer(pa.decompress(data[12 + 4 * width :], size * sum(counts), "zstd", asbytes=True), np.uint8).reshape(-1, size)
+    out, at = [], 0
+    for count in counts:
+        out.append(np.zeros(size, np.uint64))
+        for place in range(count):
+            out[-1] |= planes[at + place].astype(np.uint64) << np.uint64(bits * place)
+        at += count
+    return out
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _spread(keys: np.ndarray, half: int) -> np.ndarray:
+    """Numbers of 2 * `half` bits one to one into such numbers whose first bits depend on all bits."""
+    mask, factor = np.uint64((1 << 2 * half) - 1), np.uint64(_FACTOR)
+    keys = keys * factor & mask
+    return (keys ^ keys >> np.uint64(half)) * factor & mask
+
+
+def _gathered(keys: np.ndarray, half: int) -> np.ndarray:
+    """What `_spread` was given."""
+    mask, factor = np.uint64((1 << 2 * half) - 1), np.uint64(pow(_FACTOR, -1, 1 << 2 * half))
+    keys = keys * factor & mask
+    return (keys ^ keys >> np.uint64(half)) * factor & mask
+
+
+class Meeting:
+    """How the pairs of all documents meet once, dealt out to buckets in packed rows.
+
+    A task numbers its documents in bundles. A pair of two held words is one number made of their codes; others are two hashes. Both
+    travel with the document's number and its own counts, sorted by document. The words of which a bucket may not hold all pairs (`HOT` at
+    most, the border among them) are hot: the pairs of two of them stay with their bundle, and only what a bundle's documents have of them together travels.
+    """
+
+    # Documents of a bundle; pairs of held words; other pairs; words that are not held; pairs of hot words; sums of these; answers to
+    # documents; words whose logarithm is taken off; sums of the words that were joined.
+    READY, CODED, OTHER, WORD, HOT_PAIRS, HOT_SUMS, ANSWER, TAKEN, JOINED = range(9)
+
+    def __init__(self, words: Frequent, total: int, begun: int):
+        self.words = words
+        self.complete = words.least is not None and words.least <= 2
+        self.bits = max(0, math.ceil(math.log2(max(total, 1) / (2 * BUCKET_WORDS))))
+        # By their code, which is 0 for the border.
+        self.times = np.append(begun, words.values[0]).astype(np.int64)
+        self.half = max(1, len(words.keys).bit_length())
+        self.rest = max(0, 2 * self.half - self.bits)
+        self.hot = self.times >= 2 * BUCKET_WORDS
+        if np.count_nonzero(self.hot) > HOT:
+            self.hot[np.argsort(-self.times, kind="stable")[HOT:]] = False
+        self.size, self.plane = BUCKET_WORDS, BITS
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        held, at = self.words.find(keys)
+        return np.where(keys == BEGUN, 0, np.where(held, at + 1, -1))
+
+    def _bundle_bucket(self, bundle: int) -> int:
+        return (bundle & (1 << 62) - 1) >> 62 - self.bits
+
+    def deal(self, texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(self._found, "bucket int, kind int, bundle long, data binary").repartitionById(1 << self.bits, F.col("bucket"))
+
+    def _found(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, size, docs, held = TaskContext.get().partitionId(), 0, 0, 0, defaultdict(list)
         for part in slices(batches, 1, 1 << 20):
             own = TextPairs(part.column(1))
-            held, at = words.find(own.words)
-            others = np.maximum(words.values[0][at[held]] - own.word_n[held], 1)
-            value = own.sums(own.word_owner[held], own.word_n[held] * np.log(others))
-            pair = pair_hash(own.first, own.second)
-            known, at = frequent.find(pair)
-            n, own_n, owner = own.n[known], [x[known] for x in (own.n, own.own_first, own.own_second)], own.owner[known]
-            both, first, second = (values[at[known]] - mine for values, mine in zip(frequent.values, own_n, strict=True))
-            seen = both > 0
-            n, owner, both, first, second = (x[seen] for x in (n, owner, both, first, second))
-            value += own.sums(owner, n * (np.log(both) - np.log(first) - np.log(np.maximum(second, 1))))
-            yield ready(part, np.diff(own.rows), own.sums(owner, n), value)
-            yield asked(part, own.word_owner[~held], own.words[~held], own.word_n[~held].astype(np.int64))
-            numbers = [x[~known].astype(np.int64) for x in (own.own_first, own.own_second, own.n)]
-            fits = np.logical_and.reduce([x < 1 << BITS for x in numbers])
-            yield asked(part, own.owner[~known][fits], pair[~known][fits], numbers[2][fits], *(x[fits] for x in numbers[:2]), packed=True)
-            if not fits.all():
-                yield asked(part, own.owner[~known][~fits], pair[~known][~fits], numbers[2][~fits], *(x[~fits] for x in numbers[:2]))
-
-    def ready(part: pa.RecordBatch, n_words: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        """What the known words and pairs of each document add up to, dealt out by the document's own name; its words stand in `own_first`."""
-        empty = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(0), empty, pa.array(n.astype(np.int64)), pa.array(n_words.astype(np.int64)), empty, pa.array(value)], columns)
-
-    def asked(part: pa.RecordBatch, owner: np.ndarray, key: np.ndarray, n: np.ndarray, *others: np.ndarray, packed: bool = False) -> pa.RecordBatch:
-        """Pairs, or words, which have no `others`."""
-        empty = pa.nulls(len(owner), pa.int64())
-        together = pa.array(others[0] | others[1] << BITS | n << 2 * BITS) if packed else empty
-        apart = [empty] * 3 if packed else [pa.array(n), *(map(pa.array, others) if others else (empty, empty))]
-        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(key.view(np.int64)), together, *apart, pa.nulls(len(owner), pa.float64())], columns)
-
-    columns = ["row", "pair", "packed", "n", "own_first", "own_second", "value"]
-    found = texts.mapInArrow(run, "row long, pair long, packed long, n long, own_first long, own_second long, value double")
-    none = F.lit(None).cast("long")
-    # Words that occur once are in no other document, and are not looked for.
-    rare = words.others(counts.where("word <> 0 AND n > 1")).select(F.col("word").alias("pair"), "n", none.alias("first_n"), none.alias("second_n"))
-    met = found.join(frequent.others(table).unionByName(rare).withColumnsRenamed({"n": "pair_n"}), "pair", "left")
-    for place, name in enumerate(("own_first", "own_second", "n")):
-        held = F.shiftright("packed", place * BITS).bitwiseAND((1 << BITS) - 1)
-        met = met.withColumn(name, F.coalesce(name, held))
-    left_out = F.col("pair_n") - F.col("n")
-    share = F.log(left_out) - F.log(F.col("first_n") - F.col("own_first")) - F.log(F.greatest(F.col("second_n") - F.col("own_second"), F.lit(1)))
-    done, word, seen = F.col("value").isNotNull(), F.col("own_first").isNull(), left_out > 0
-    parts = met.select(
-        "row",
-        F.when(done, F.col("own_first")).otherwise(0).alias("n_words"),
-        F.when(done | ~word & seen, F.col("n")).otherwise(0).alias("pair_n"),
-        F.when(done, F.col("value")).when(word, F.col("n") * F.log(F.greatest(left_out, F.lit(1)))).when(seen, F.col("n") * share).otherwise(0.0).alias("value"),
-    )
-    return parts.groupBy("row").agg(*(F.sum(n).alias(n) for n in ("n_words", "pair_n", "value")))
+            code = self.codes(own.words)
+            known = code >= 0
+            others = np.maximum(self.times[code[known]] - own.word_n[known], 1)
+            value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
+            held[self.READY].append((part.column(0).to_numpy().view(np.uint64), np.diff(own.rows), value))
+            first, second = np.append(code, 0)[own.first_at], code[own.second_at]
+            counts = own.owner + docs, own.n, own.own_first, own.own_second
+            both = (first >= 0) & (second >= 0)
+            key = (np.where(both, first, 0) << self.half | np.where(both, second, 0)).astype(np.uint64)
+            hot = both & self.hot[first] & self.hot[second]
+            for kind, which in ((self.HOT_PAIRS, hot), (self.CODED, both & ~hot)):
+                held[kind].append((key[which], *(x[which] for x in counts)))
+            # If all words that occur twice are held, no other word or pair is in two documents.
+            if not self.complete:
+                held[self.OTHER].append((own.first[~both], own.second[~both], *(x[~both] for x in counts)))
+                held[self.WORD].append((own.words[~known], own.word_owner[~known] + docs, own.word_n[~known], own.word_n[~known]))
+            docs += own.count
+            size += len(own.n)
+            if size > self.size:
+                yield self._dealt(task, number, held)
+                number, size, docs, held = number + 1, 0, 0, defaultdict(list)
+        if docs:
+            yield self._dealt(task, number, held)
+
+    def _dealt(self, task: int, number: int, held: dict[int, list[tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+        """The rows of a bundle. Its name goes by its rows in their order, so that no other rows can take its place if a task is run again."""
+        whole = {kind: [np.concatenate(x) for x in zip(*parts, strict=True)] for kind, parts in held.items()}
+        names = whole[self.READY][0]
+        told = np.sum(mix(names + np.arange(len(names), dtype=np.uint64)), dtype=np.uint64) + np.uint64(task << 32 | number)
+        bundle = int(mix(np.array([told]))[0] >> np.uint64(1))
+        here, rows = self._bundle_bucket(bundle), []
+        for kind in (self.READY, self.WORD, self.HOT_PAIRS):
+            if kind in whole and len(whole[kind][0]):
+                rows.append((here, kind, _pack(self.plane, *whole[kind])))
+        if len(whole[self.HOT_PAIRS][0]):
+            key, _, n, _, _ = whole[self.HOT_PAIRS]
+            key, n, documents = _added_up(key, n, np.ones(len(n), np.int64))
+            rows += self._by_bucket(self.HOT_SUMS, _spread(key, self.half) >> np.uint64(self.rest), key, n, documents)
+        key, doc, *counts = whole[self.CODED]
+        key = _spread(key, self.half)
+        left = key & np.uint64((1 << self.rest) - 1)
+        rows += self._by_bucket(self.CODED, key >> np.uint64(self.rest), left, doc, *counts, doc=1)
+        if self.OTHER in whole:
+            first, second, *counts = whole[self.OTHER]
+            rows += self._by_bucket(self.OTHER, pair_hash(first, second) >> np.uint64(1) >> np.uint64(63 - self.bits), first, second, *counts, doc=2)
+        buckets, kinds, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([bundle] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["bucket", "kind", "bundle", "data"])
+
+    def _by_bucket(self, kind: int, bucket: np.ndarray, *columns: np.ndarray, doc: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+        """A row per bucket. Documents, in order, are told by their differences."""
+        bucket = bucket.astype(np.uint16 if self.bits <= 16 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [x[order] for x in columns]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True) if len(bucket) else ():
+            cut = [x[a:b] for x in columns]
+            if doc is not None:
+                cut[doc] = np.diff(cut[doc], prepend=0)
+            yield int(bucket[a]), kind, _pack(self.plane, *cut)
+
+    def meet(self, dealt: DataFrame) -> DataFrame:
+        """(kind, bundle, data): what the pairs that two documents or more have add to each document. A partition is one bucket."""
+        return dealt.mapInArrow(self._met, "kind int, bundle long, data binary")
+
+    def _met(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = defaultdict(list), 0
+        for batch in batches:
+            passed = []
+            for bucket, kind, bundle, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind in (self.READY, self.WORD, self.HOT_PAIRS):
+                    passed.append((kind, bundle, data))
+                else:
+                    held[kind].append((bundle, data))
+            if passed:
+                yield self._rows(passed)
+        if held[self.HOT_SUMS]:
+            parts = [_unpack(data) for _, data in held.pop(self.HOT_SUMS)]
+            key, n, documents = _added_up(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            n, key = n[documents > 1], key[documents > 1]
+            yield self._rows([(self.HOT_SUMS, 0, _pack(self.plane, key, n))])
+        if held[self.CODED]:
+            bundles, which, (key, doc, *counts) = self._together(held.pop(self.CODED), 1)
+            seen, others = self._others(key, counts[0])
+            key = _gathered(key[seen] | np.uint64(bucket << self.rest), self.half)
+            sides = [(key >> np.uint64(self.half)).astype(np.int64), (key & np.uint64((1 << self.half) - 1)).astype(np.int64)]
+            n, own_first, own_second = (x[seen] for x in counts)
+            value = self.gained(n, others, *(self.times[side] for side in sides), own_first, own_second)
+            yield from self._answers(bundles, which[seen], doc[seen], n, value)
+        if held[self.OTHER]:
+            bundles, which, (first, second, doc, *counts) = self._together(held.pop(self.OTHER), 2)
+            seen, others = self._others(pair_hash(first, second), counts[0])
+            which, doc = which[seen], doc[seen]
+            n, *own = (x[seen] for x in counts)
+            value, sides = n * np.log(others), [first[seen], second[seen]]
+            for side, mine in zip(sides, own, strict=True):
+                code = self.codes(side)
+                known = code >= 0
+                value[known] -= n[known] * np.log(np.maximum(self.times[code[known]] - mine[known], 1))
+                for bundle, a, b in self._cuts(bundles, which[~known]):
+                    columns = (side[~known], doc[~known], mine[~known], n[~known])
+                    yield self._rows([(self.TAKEN, bundle, _pack(self.plane, *(x[a:b] for x in columns)))])
+            yield from self._answers(bundles, which, doc, n, value)
+
+    @staticmethod
+    def gained(n: np.ndarray, others: np.ndarray, first_n: np.ndarray, second_n: np.ndarray, own_first: np.ndarray, own_second: np.ndarray) -> np.ndarray:
+        """What pairs add to a document beside backing off."""
+        return n * (np.log(others) - np.log(first_n - own_first) - np.log(np.maximum(second_n - own_second, 1)))
+
+    @staticmethod
+    def _together(held: list[tuple[int, bytes]], doc: int) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+        """The rows' bundles, the row of each entry, and the entries' columns."""
+        bundles, columns = [bundle for bundle, _ in held], []
+        for _, data in held:
+            found = _unpack(data)
+            found[doc] = np.cumsum(found[doc])
+            columns.append([*found[:doc], *(x.astype(np.int32) for x in found[doc:])])
+        which = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[0]) for x in columns])
+        return bundles, which, [np.concatenate(x) for x in zip(*columns, strict=True)]
+
+    @staticmethod
+    def _others(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries whose key others have too, and how often the others have it. A document has a key once."""
+        order = np.argsort(key)
+        new = np.append(True, key[order[1:]] != key[order[:-1]])
+        at = np.flatnonzero(new)
+        documents, total = np.diff(np.append(at, len(order))), np.add.reduceat(n[order], at, dtype=np.int64)
+        found = np.empty(len(order), np.int64)
+        found[order] = np.repeat(np.where(documents > 1, total, 0), documents)
+        seen = np.flatnonzero(found)
+        return seen, found[seen] - n[seen]
+
+    @staticmethod
+    def _cuts(bundles: list[int], which: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        if len(which):
+            at = np.flatnonzero(np.append(True, which[1:] != which[:-1])).tolist()
+            yield from ((bundles[which[a]], a, b) for a, b in zip(at, [*at[1:], len(which)], strict=True))
+
+    def _answers(self, bundles: list[int], which: np.ndarray, doc: np.ndarray, n: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row per bundle, with the sums of each document that has any."""
+        if not len(which):
+            return
+        at = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])))
+        which, doc, n, value = which[at], doc[at].astype(np.int64), np.add.reduceat(n, at, dtype=np.int64), np.add.reduceat(value, at)
+        rows = []
+        for bundle, a, b in self._cuts(bundles, which):
+            rows.append((self.ANSWER, bundle, _pack(self.plane, np.diff(doc[a:b], prepend=0), n[a:b], value[a:b])))
+        yield self._rows(rows)
+
+    @staticmethod
+    def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        kinds, bundles, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(bundles, pa.int64()), pa.array(data, pa.binary())], ["kind", "bundle", "data"])
+
+    def joined(self, met: DataFrame, counts: DataFrame) -> DataFrame:
+        """(bundle, doc, value): what the words that are not held add to documents, joined to their counts."""
+        taken = self.TAKEN
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, bundle, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    word, doc, own, n = (x.view(np.int64) for x in _unpack(data))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, np.full(len(word), bundle), doc, own, -n if kind == taken else n)], ["word", "bundle", "doc", "own", "weight"])
+
+        asked = met.where(F.col("kind").isin(self.WORD, taken)).mapInArrow(run, "word long, bundle long, doc long, own long, weight long")
+        # Words that occur once are in no other document, and are not looked for.
+        found = asked.join(self.words.others(counts.where("word <> 0 AND n > 1")), "word")
+        return found.groupBy("bundle", "doc").agg(F.sum(F.col("weight") * F.log(F.greatest(F.col("n") - F.col("own"), F.lit(1)))).alias("value"))
+
+    def sums(self, met: DataFrame, counts: DataFrame) -> DataFrame:
+        """(row, n_words, pair_n, value) of each document."""
+        keys, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if self.hot.any():
+            told = [_unpack(r.data) for r in met.where(F.col("kind") == self.HOT_SUMS).select("data").collect()]
+            if told:
+                keys, totals = (np.concatenate(x) for x in zip(*told, strict=True))
+                order = np.argsort(keys)
+                keys, totals = keys[order], totals[order].astype(np.int64)
+
+        def hot(data: bytes) -> tuple[np.ndarray, ...]:
+            key, doc, *counts = _unpack(data)
+            at = np.searchsorted(keys, key)
+            seen = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == key) if len(keys) else np.zeros(0, np.int64)
+            n, own_first, own_second = (x[seen].astype(np.int64) for x in counts)
+            first, second = (self.times[side.astype(np.int64)] for side in (key[seen] >> np.uint64(self.half), key[seen] & np.uint64((1 << self.half) - 1)))
+            return doc[seen], n, self.gained(n, totals[at[seen]] - n, first, second, own_first, own_second)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready, sums = {}, defaultdict(lambda: np.zeros((2, 0)))
+
+            def add(bundle: int, doc: np.ndarray, n: np.ndarray, value: np.ndarray) -> None:
+                doc = doc.astype(np.int64)
+                size, has = int(doc.max(initial=-1)) + 1, sums[bundle].shape[1]
+                if size > has:
+                    sums[bundle] = np.pad(sums[bundle], ((0, 0), (0, max(size, 2 * has) - has)))
+                for of, x in zip(sums[bundle], (n, value), strict=True):
+                    np.add.at(of, doc, x)
+
+            for batch in batches:
+                kinds = batch.column(0).to_numpy()
+                packed = batch.filter(pa.array(kinds != self.JOINED))
+                for kind, bundle, data in zip(*(packed.column(k).to_pylist() for k in range(3)), strict=True):
+                    if kind == self.READY:
+                        ready[bundle] = _unpack(data)
+                    elif kind == self.HOT_PAIRS:
+                        add(bundle, *hot(data))
+                    else:
+                        doc, n, value = _unpack(data)
+                        add(bundle, np.cumsum(doc), n.astype(np.int64), value.view(np.float64))
+                words = batch.filter(pa.array(kinds == self.JOINED))
+                bundle, doc, value = (words.column(k).to_numpy() for k in (1, 3, 4))
+                for name in np.unique(bundle).tolist():
+                    mine = bundle == name
+                    add(name, doc[mine], np.zeros(np.count_nonzero(mine)), value[mine])
+            if sums.keys() - ready.keys():
+                raise RuntimeError("a task that was run again read its rows in another order; store the documents before they are scored")
+            for bundle, (row, n_words, value) in ready.items():
+                n, more = np.pad(sums[bundle], ((0, 0), (0, max(0, len(row) - sums[bundle].shape[1]))))[:, : len(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row.view(np.int64), n_words.view(np.int64), n.astype(np.int64), value.view(np.float64) + more)], ["row", "n_words", "pair_n", "value"])
+
+        none = F.lit(None)
+        every = met.where(F.col("kind").isin(self.READY, self.HOT_PAIRS, self.ANSWER)).select("kind", "bundle", "data", none.cast("long").alias("doc"), none.cast("double").alias("value"))
+        if not self.complete:
+            words = self.joined(met, counts).select(F.lit(self.JOINED).alias("kind"), "bundle", none.cast("binary").alias("data"), "doc", "value")
+            every = every.unionByName(words)
+        return every.repartition("bundle").mapInArrow(run, "row long, n_words long, pair_n long, value double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -382,8 +636,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     total, begun = counts.agg(F.sum(F.when(F.col("word") != 0, F.col("n"))), F.sum(F.when(F.col("word") == 0, F.col("n")))).first()
     words = Frequent(counts.where("word <> 0"), "word", ("n",), 2 * FREQUENT)
     total = total or 0
-    table = pair_table(texts, counts, total, words, begun or 0)
-    sums = stored(document_sums(texts, counts, table, words), "document-sums")
+    meeting = Meeting(words, total, begun or 0)
+    met = stored(meeting.meet(meeting.deal(texts)), "pair-sums")
+    # Repeated rows have one name.
+    added = meeting.sums(met, counts).groupBy("row").agg(*(F.sum(n).alias(n) for n in ("n_words", "pair_n", "value")))
+    sums = stored(added, "document-sums")
+    forget(met)
     rows = source.select("id", "row")
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
     # Repeated rows were added up under one name.
