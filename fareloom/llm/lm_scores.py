@@ -8,15 +8,12 @@ other document has backs off to its second word, and a word that no other docume
 documents of their own and do speak for each other. Neither words nor pairs are bounded, and the driver holds none but
 a bounded number of the most frequent ones. A document begins with a border, the context of its first word.
 
-The pair table adds up the distinct pairs of all documents, first within each slice of a task, then within the task. Tasks give the
-pairs that they have in a bucket, a range of the pair's hash, as one row, so that few rows are shuffled and sorted; there are as
-many buckets as the corpus has million words, and a task adds up one. The most frequent words travel as short codes, which
-also find the words' counts; the others as hashes. The table keeps the pairs of two documents or more,
-as all others back off, and gets the counts of rarer words by joins. Documents then give their words and
-pairs again, exploded, with their own counts. The most frequent words and pairs, bounded numbers, are looked up
-where they are found; the others are joined to their counts by their hash, words and pairs at once. A document's score is that of backing off
-everywhere, plus what each pair of the table adds to it: sums per document. Tables are stored before they are joined, so Spark may split the
-rows of a word or pair that many documents have. Words and pairs are told apart by 64-bit hashes.
+Documents meet once (`Meeting`): every task gives the distinct pairs of its documents, with the document's number and own counts, in packed rows, one for
+each bundle of documents and bucket, a range of the pair's hash. There are as many buckets as the corpus has million words; a task
+reads a few, one after the other, adds up the pairs of each and sends back, per document, what the pairs of two documents or more add to a score. The others
+back off. The most frequent words, a bounded number, are held by every task and travel as codes. A pair with another word goes to the bucket of that
+word, which counts it, too. A document's score is that of backing off everywhere, plus what its pairs add. `pair_table` is the same model as a
+table. Words and pairs are told apart by 64-bit hashes.
 
 Words are separated by white space and not changed. Defined results: null and empty texts have no words, a sum of 0 and no
 mean; repeated rows are documents of their own and count as often as they occur; ids may be null; other columns are not
@@ -42,11 +39,14 @@ ALPHA = 0.4
 BEGUN = np.uint64(0)
 # Half as many as the words of 16 bytes that every task can look up, at most.
 FREQUENT = 400_000
-# Words for each bucket of the pair table, half of those for a bucket in which documents meet, at most on average, and pairs that a task keeps before it
-# deals them out.
+# Words for each bucket of pairs, at most on average, and pairs that a task keeps before it deals them out.
 BUCKET_WORDS = 1 << 20
 # What is shuffled in packed rows are planes of so many bits.
 BITS = 8
+# Buckets of one task, which are read one after the other; what they add to a document is one answer.
+AT_ONCE = 4
+# What buckets add to documents is told in such parts of one.
+UNITS = 1 << 30
 # Words whose pairs with each other are not dealt out by document, at most.
 HOT = 1000
 
@@ -335,7 +335,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     """The columns that `_pack` was given, as unsigned numbers."""
     bits, width, size = np.frombuffer(data, np.int32, 3).tolist()
     counts = np.frombuffer(data, np.int32, width, 12).tolist()
-    planes = np.frombuffer(pa.decompress(data[12 + 4 * width :], size * sum(counts), "zstd", asbytes=True), np.uint8).reshape(-1, size)
+    planes = np.frombuffer(pa.decompress(data[12 + 4 * width :], size * sum(counts), "zstd", asbytes=True), np.uint8).reshape(sum(counts), size)
     out, at = [], 0
     for count in counts:
         out.append(np.zeros(size, np.uint64))
@@ -365,24 +365,28 @@ def _gathered(keys: np.ndarray, half: int) -> np.ndarray:
 class Meeting:
     """How the pairs of all documents meet once, dealt out to buckets in packed rows.
 
-    A task numbers its documents in bundles. A pair of two held words is one number made of their codes; others are two hashes. Both
-    travel with the document's number and its own counts, sorted by document. The words of which a bucket may not hold all pairs (`HOT` at
-    most, the border among them) are hot: the pairs of two of them stay with their bundle, and only what a bundle's documents have of them together travels.
+    A task numbers its documents in bundles. Pairs travel with the document's number and its own counts, sorted by document: those of two held
+    words as one number made of the words' codes, to the bucket of that number; others to the bucket of a word that is not held, where that word of all
+    documents is counted too. So a bucket knows the counts of all words but the first of two that are not held. The words of which a bucket may not hold all
+    pairs (`HOT` at most, the border among them) are hot: the pairs of two of them stay with their bundle, and only what a bundle's
+    documents have of them together travels. What a bucket adds to a document is sent back in units of 2**-30.
     """
 
-    # Documents of a bundle; pairs of held words; other pairs; words that are not held; pairs of hot words; sums of these; answers to
-    # documents; words whose logarithm is taken off; sums of the words that were joined.
-    READY, CODED, OTHER, WORD, HOT_PAIRS, HOT_SUMS, ANSWER, TAKEN, JOINED = range(9)
+    # Documents of a bundle; pairs of held words; pairs whose first, second or both words are not held; these words; pairs of hot words; sums of these;
+    # answers to documents; words to be joined to their counts; sums of these.
+    READY, CODED, FIRST, SECOND, BOTH, WORD, HOT_PAIRS, HOT_SUMS, ANSWER, TAKEN, JOINED = range(11)
 
     def __init__(self, words: Frequent, total: int, begun: int):
         self.words = words
         self.complete = words.least is not None and words.least <= 2
-        self.bits = max(0, math.ceil(math.log2(max(total, 1) / (2 * BUCKET_WORDS))))
+        self.buckets = max(1, -(-total // BUCKET_WORDS))
         # By their code, which is 0 for the border.
         self.times = np.append(begun, words.values[0]).astype(np.int64)
         self.half = max(1, len(words.keys).bit_length())
-        self.rest = max(0, 2 * self.half - self.bits)
-        self.hot = self.times >= 2 * BUCKET_WORDS
+        # The first bits of a pair's number that its bucket goes by, and those after them.
+        self.lead = min(32, 2 * self.half)
+        self.rest = 2 * self.half - self.lead
+        self.hot = self.times >= BUCKET_WORDS
         if np.count_nonzero(self.hot) > HOT:
             self.hot[np.argsort(-self.times, kind="stable")[HOT:]] = False
         self.size, self.plane = BUCKET_WORDS, BITS
@@ -391,11 +395,15 @@ class Meeting:
         held, at = self.words.find(keys)
         return np.where(keys == BEGUN, 0, np.where(held, at + 1, -1))
 
-    def _bundle_bucket(self, bundle: int) -> int:
-        return (bundle & (1 << 62) - 1) >> 62 - self.bits
+    def _bucket(self, first_bits: np.ndarray, bits: int = 32) -> np.ndarray:
+        return first_bits * np.uint64(self.buckets) >> np.uint64(bits)
+
+    def _least(self, bucket: np.ndarray) -> np.ndarray:
+        """The smallest number of a bucket of pairs of held words."""
+        return -(-(bucket.astype(np.int64) << self.lead) // self.buckets).astype(np.uint64) << np.uint64(self.rest)
 
     def deal(self, texts: DataFrame) -> DataFrame:
-        return texts.mapInArrow(self._found, "bucket int, kind int, bundle long, data binary").repartitionById(1 << self.bits, F.col("bucket"))
+        return texts.mapInArrow(self._found, "bucket int, kind int, bundle long, data binary").repartitionById(-(-self.buckets // AT_ONCE), F.floor(F.col("bucket") / AT_ONCE).cast("int"))
 
     def _found(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, size, docs, held = TaskContext.get().partitionId(), 0, 0, 0, defaultdict(list)
@@ -407,7 +415,7 @@ class Meeting:
             value = own.sums(own.word_owner[known], own.word_n[known] * np.log(others))
             held[self.READY].append((part.column(0).to_numpy().view(np.uint64), np.diff(own.rows), value))
             first, second = np.append(code, 0)[own.first_at], code[own.second_at]
-            counts = own.owner + docs, own.n, own.own_first, own.own_second
+            counts = [x.astype(np.int32) for x in (own.owner + docs, own.n, own.own_first, own.own_second)]
             both = (first >= 0) & (second >= 0)
             key = (np.where(both, first, 0) << self.half | np.where(both, second, 0)).astype(np.uint64)
             hot = both & self.hot[first] & self.hot[second]
@@ -415,8 +423,12 @@ class Meeting:
                 held[kind].append((key[which], *(x[which] for x in counts)))
             # If all words that occur twice are held, no other word or pair is in two documents.
             if not self.complete:
-                held[self.OTHER].append((own.first[~both], own.second[~both], *(x[~both] for x in counts)))
-                held[self.WORD].append((own.words[~known], own.word_owner[~known] + docs, own.word_n[~known], own.word_n[~known]))
+                doc, n, own_first, own_second = counts
+                one, other = (first < 0) & (second >= 0), second < 0
+                held[self.FIRST].append([x[one] for x in (own.first, second, doc, n, own_first, own_second)])
+                for kind, which, firsts in ((self.SECOND, other & (first >= 0), first), (self.BOTH, other & (first < 0), own.first)):
+                    held[kind].append([x[which] for x in (own.second, firsts, doc, n, own_second, own_first)])
+                held[self.WORD].append([x[~known] for x in (own.words, (own.word_owner + docs).astype(np.int32), own.word_n.astype(np.int32))])
             docs += own.count
             size += len(own.n)
             if size > self.size:
@@ -427,31 +439,33 @@ class Meeting:
 
     def _dealt(self, task: int, number: int, held: dict[int, list[tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
         """The rows of a bundle. Its name goes by its rows in their order, so that no other rows can take its place if a task is run again."""
-        whole = {kind: [np.concatenate(x) for x in zip(*parts, strict=True)] for kind, parts in held.items()}
+        whole = {kind: [np.concatenate(x) for x in zip(*held.pop(kind), strict=True)] for kind in list(held)}
         names = whole[self.READY][0]
         told = np.sum(mix(names + np.arange(len(names), dtype=np.uint64)), dtype=np.uint64) + np.uint64(task << 32 | number)
-        bundle = int(mix(np.array([told]))[0] >> np.uint64(1))
-        here, rows = self._bundle_bucket(bundle), []
-        for kind in (self.READY, self.WORD, self.HOT_PAIRS):
-            if kind in whole and len(whole[kind][0]):
+        bundle = mix(np.array([told])) >> np.uint64(1)
+        here, rows = int(self._bucket(bundle >> np.uint64(31))[0]), []
+        for kind in (self.READY, self.HOT_PAIRS):
+            if len(whole[kind][0]):
                 rows.append((here, kind, _pack(self.plane, *whole[kind])))
         if len(whole[self.HOT_PAIRS][0]):
-            key, _, n, _, _ = whole[self.HOT_PAIRS]
+            key, _, n, _, _ = whole.pop(self.HOT_PAIRS)
             key, n, documents = _added_up(key, n, np.ones(len(n), np.int64))
-            rows += self._by_bucket(self.HOT_SUMS, _spread(key, self.half) >> np.uint64(self.rest), key, n, documents)
-        key, doc, *counts = whole[self.CODED]
+            rows += self._by_bucket(self.HOT_SUMS, self._bucket(_spread(key, self.half) >> np.uint64(self.rest), self.lead), key, n, documents)
+        key, *counts = whole.pop(self.CODED)
         key = _spread(key, self.half)
-        left = key & np.uint64((1 << self.rest) - 1)
-        rows += self._by_bucket(self.CODED, key >> np.uint64(self.rest), left, doc, *counts, doc=1)
-        if self.OTHER in whole:
-            first, second, *counts = whole[self.OTHER]
-            rows += self._by_bucket(self.OTHER, pair_hash(first, second) >> np.uint64(1) >> np.uint64(63 - self.bits), first, second, *counts, doc=2)
+        bucket = self._bucket(key >> np.uint64(self.rest), self.lead)
+        rows += self._by_bucket(self.CODED, bucket, key - self._least(bucket), *counts, doc=1)
+        for kind, doc in ((self.FIRST, 2), (self.SECOND, 2), (self.BOTH, 2), (self.WORD, 1)):
+            if kind in whole:
+                columns = whole.pop(kind)
+                rows += self._by_bucket(kind, self._bucket(columns[0] >> np.uint64(32)), *columns, doc=doc)
+        bundle = int(bundle[0])
         buckets, kinds, data = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([bundle] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["bucket", "kind", "bundle", "data"])
 
     def _by_bucket(self, kind: int, bucket: np.ndarray, *columns: np.ndarray, doc: int | None = None) -> Iterator[tuple[int, int, bytes]]:
         """A row per bucket. Documents, in order, are told by their differences."""
-        bucket = bucket.astype(np.uint16 if self.bits <= 16 else np.uint32)
+        bucket = bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         bucket, columns = bucket[order], [x[order] for x in columns]
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else bucket
@@ -462,47 +476,67 @@ class Meeting:
             yield int(bucket[a]), kind, _pack(self.plane, *cut)
 
     def meet(self, dealt: DataFrame) -> DataFrame:
-        """(kind, bundle, data): what the pairs that two documents or more have add to each document. A partition is one bucket."""
+        """(kind, bundle, data): what the pairs that two documents or more have add to each document. A partition is `AT_ONCE` buckets."""
         return dealt.mapInArrow(self._met, "kind int, bundle long, data binary")
 
     def _met(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = defaultdict(list), 0
+        whole, place, answers = defaultdict(lambda: defaultdict(list)), {}, []
         for batch in batches:
             passed = []
             for bucket, kind, bundle, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind in (self.READY, self.WORD, self.HOT_PAIRS):
+                if kind in (self.READY, self.HOT_PAIRS):
                     passed.append((kind, bundle, data))
                 else:
-                    held[kind].append((bundle, data))
+                    whole[bucket][kind].append((place.setdefault(bundle, len(place)), data))
             if passed:
                 yield self._rows(passed)
+        bundles = list(place)
+        for bucket in list(whole):
+            added, rows = self._bucket_sums(bucket, whole.pop(bucket), bundles)
+            if rows:
+                yield self._rows(rows)
+            answers = [self._summed(*(np.concatenate(x) for x in zip(*answers, *added, strict=True)))] if added else answers
+        if answers and len(answers[0][0]):
+            yield self._answers(bundles, *answers[0])
+
+    def _bucket_sums(self, bucket: int, held: dict[int, list[tuple[int, bytes]]], bundles: list[int]) -> tuple[list[tuple[np.ndarray, ...]], list[tuple[int, int, bytes]]]:
+        """What a bucket adds to documents, each told by its bundle and its number there, and rows of other kinds."""
+        answers, rows = [], []
         if held[self.HOT_SUMS]:
             parts = [_unpack(data) for _, data in held.pop(self.HOT_SUMS)]
             key, n, documents = _added_up(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            n, key = n[documents > 1], key[documents > 1]
-            yield self._rows([(self.HOT_SUMS, 0, _pack(self.plane, key, n))])
+            rows.append((self.HOT_SUMS, 0, _pack(self.plane, key[documents > 1], n[documents > 1])))
         if held[self.CODED]:
-            bundles, which, (key, doc, *counts) = self._together(held.pop(self.CODED), 1)
+            which, (key, doc, *counts) = self._together(held.pop(self.CODED), 1)
             seen, others = self._others(key, counts[0])
-            key = _gathered(key[seen] | np.uint64(bucket << self.rest), self.half)
+            key = _gathered(key[seen] + self._least(np.array([bucket])), self.half)
             sides = [(key >> np.uint64(self.half)).astype(np.int64), (key & np.uint64((1 << self.half) - 1)).astype(np.int64)]
             n, own_first, own_second = (x[seen] for x in counts)
             value = self.gained(n, others, *(self.times[side] for side in sides), own_first, own_second)
-            yield from self._answers(bundles, which[seen], doc[seen], n, value)
-        if held[self.OTHER]:
-            bundles, which, (first, second, doc, *counts) = self._together(held.pop(self.OTHER), 2)
-            seen, others = self._others(pair_hash(first, second), counts[0])
-            which, doc = which[seen], doc[seen]
-            n, *own = (x[seen] for x in counts)
-            value, sides = n * np.log(others), [first[seen], second[seen]]
-            for side, mine in zip(sides, own, strict=True):
-                code = self.codes(side)
-                known = code >= 0
-                value[known] -= n[known] * np.log(np.maximum(self.times[code[known]] - mine[known], 1))
-                for bundle, a, b in self._cuts(bundles, which[~known]):
-                    columns = (side[~known], doc[~known], mine[~known], n[~known])
-                    yield self._rows([(self.TAKEN, bundle, _pack(self.plane, *(x[a:b] for x in columns)))])
-            yield from self._answers(bundles, which, doc, n, value)
+            answers.append((which[seen] << 32 | doc[seen], n, value))
+            del which, key, doc, counts, seen, others, sides, n, own_first, own_second, value
+        if held[self.WORD]:
+            which, (word, doc, own) = self._together(held.pop(self.WORD), 1)
+            words, at = np.unique(word, return_inverse=True)
+            times = np.bincount(at, own).astype(np.int64)
+            others = times[at] - own
+            more = others > 1
+            answers.append((which[more] << 32 | doc[more], np.zeros(np.count_nonzero(more), np.int32), own[more] * np.log(others[more])))
+        names = np.append(BEGUN, self.words.keys)
+        for kind in (self.FIRST, self.SECOND, self.BOTH):
+            if not held[kind]:
+                continue
+            which, (word, other, doc, *counts) = self._together(held.pop(kind), 2)
+            name = other if kind == self.BOTH else names[other.astype(np.int64)]
+            seen, others = self._others(pair_hash(word, name) if kind == self.FIRST else pair_hash(name, word), counts[0])
+            which, word, other, doc, n, own, other_own = (x[seen] for x in (which, word, other, doc, *counts))
+            value = n * (np.log(others) - np.log(np.maximum(times[np.searchsorted(words, word)] - own, 1)))
+            if kind == self.BOTH:
+                rows += [(self.TAKEN, bundles[at], _pack(self.plane, *(x[a:b] for x in (other, doc, other_own, n)))) for at, a, b in self._cuts(which)]
+            else:
+                value -= n * np.log(np.maximum(self.times[other.astype(np.int64)] - other_own, 1))
+            answers.append((which << 32 | doc, n, value))
+        return answers, rows
 
     @staticmethod
     def gained(n: np.ndarray, others: np.ndarray, first_n: np.ndarray, second_n: np.ndarray, own_first: np.ndarray, own_second: np.ndarray) -> np.ndarray:
@@ -510,15 +544,16 @@ class Meeting:
         return n * (np.log(others) - np.log(first_n - own_first) - np.log(np.maximum(second_n - own_second, 1)))
 
     @staticmethod
-    def _together(held: list[tuple[int, bytes]], doc: int) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-        """The rows' bundles, the row of each entry, and the entries' columns."""
-        bundles, columns = [bundle for bundle, _ in held], []
-        for _, data in held:
+    def _together(held: list[tuple[int, bytes]], doc: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The place of each entry's bundle, and the entries' columns."""
+        places, columns = [place for place, _ in held], []
+        for at, (_, data) in enumerate(held):
             found = _unpack(data)
             found[doc] = np.cumsum(found[doc])
             columns.append([*found[:doc], *(x.astype(np.int32) for x in found[doc:])])
-        which = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[0]) for x in columns])
-        return bundles, which, [np.concatenate(x) for x in zip(*columns, strict=True)]
+            held[at] = None
+        which = np.repeat(np.array(places, np.int64), [len(x[0]) for x in columns])
+        return which, [np.concatenate(x) for x in zip(*columns, strict=True)]
 
     @staticmethod
     def _others(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -533,21 +568,25 @@ class Meeting:
         return seen, found[seen] - n[seen]
 
     @staticmethod
-    def _cuts(bundles: list[int], which: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if len(which):
-            at = np.flatnonzero(np.append(True, which[1:] != which[:-1])).tolist()
-            yield from ((bundles[which[a]], a, b) for a, b in zip(at, [*at[1:], len(which)], strict=True))
-
-    def _answers(self, bundles: list[int], which: np.ndarray, doc: np.ndarray, n: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """A row per bundle, with the sums of each document that has any."""
-        if not len(which):
-            return
-        at = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])))
-        which, doc, n, value = which[at], doc[at].astype(np.int64), np.add.reduceat(n, at, dtype=np.int64), np.add.reduceat(value, at)
-        rows = []
-        for bundle, a, b in self._cuts(bundles, which):
-            rows.append((self.ANSWER, bundle, _pack(self.plane, np.diff(doc[a:b], prepend=0), n[a:b], value[a:b])))
-        yield self._rows(rows)
+    def _cuts(which: np.ndarray) -> list[tuple[int, int, int]]:
+        """Each run of equal numbers: the number, where it begins and ends."""
+        at = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(which) else which
+        return list(zip(which[at].tolist(), at.tolist(), [*at[1:].tolist(), len(which)], strict=True)) if len(which) else []
+
+    @staticmethod
+    def _summed(slot: np.ndarray, n: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each document once, in order."""
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else order
+        return (slot[at], np.add.reduceat(n[order], at, dtype=np.int64), np.add.reduceat(value[order], at)) if len(at) else (slot, n, value)
+
+    def _answers(self, bundles: list[int], slot: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        """A row per bundle, with the sums of its documents that have any."""
+        doc, value = slot & 0xFFFFFFFF, np.rint(value * UNITS).astype(np.int64)
+        # The sign is the last bit, so that small numbers have few planes.
+        value = np.abs(value) << 1 | (value < 0)
+        return self._rows([(self.ANSWER, bundles[which], _pack(self.plane, np.diff(doc[a:b], prepend=0), n[a:b], value[a:b])) for which, a, b in self._cuts(slot >> 32)])
 
     @staticmethod
     def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -555,16 +594,15 @@ class Meeting:
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(bundles, pa.int64()), pa.array(data, pa.binary())], ["kind", "bundle", "data"])
 
     def joined(self, met: DataFrame, counts: DataFrame) -> DataFrame:
-        """(bundle, doc, value): what the words that are not held add to documents, joined to their counts."""
-        taken = self.TAKEN
+        """(bundle, doc, value): what the counts of the first of two words that are not held take off documents."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for kind, bundle, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bundle, data in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                     word, doc, own, n = (x.view(np.int64) for x in _unpack(data))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, np.full(len(word), bundle), doc, own, -n if kind == taken else n)], ["word", "bundle", "doc", "own", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, np.full(len(word), bundle), doc, own, -n)], ["word", "bundle", "doc", "own", "weight"])
 
-        asked = met.where(F.col("kind").isin(self.WORD, taken)).mapInArrow(run, "word long, bundle long, doc long, own long, weight long")
+        asked = met.where(F.col("kind") == self.TAKEN).mapInArrow(run, "word long, bundle long, doc long, own long, weight long")
         # Words that occur once are in no other document, and are not looked for.
         found = asked.join(self.words.others(counts.where("word <> 0 AND n > 1")), "word")
         return found.groupBy("bundle", "doc").agg(F.sum(F.col("weight") * F.log(F.greatest(F.col("n") - F.col("own"), F.lit(1)))).alias("value"))
@@ -608,7 +646,8 @@ class Meeting:
                         add(bundle, *hot(data))
                     else:
                         doc, n, value = _unpack(data)
-                        add(bundle, np.cumsum(doc), n.astype(np.int64), value.view(np.float64))
+                        value = value.astype(np.int64)
+                        add(bundle, np.cumsum(doc), n.astype(np.int64), np.where(value & 1, -(value >> 1), value >> 1) / UNITS)
                 words = batch.filter(pa.array(kinds == self.JOINED))
                 bundle, doc, value = (words.column(k).to_numpy() for k in (1, 3, 4))
                 for name in np.unique(bundle).tolist():

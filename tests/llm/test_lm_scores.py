@@ -141,3 +141,34 @@ def test_pairs_of_held_words_are_codes(spark, monkeypatch):
     assert len(row["pairs"]) == 8 * 1000
     assert sorted(L._from_planes(row["pairs"], np.uint64).tolist()) == sorted(key.tolist())
     assert L._from_planes(row["counts"], np.int32).sum() == 2 * 1010
+
+
+@pytest.mark.parametrize("frequent", [0, 3, L.FREQUENT])
+def test_documents_meet_once_whatever_is_hot(spark, monkeypatch, frequent):
+    """Pairs of hot words, of held ones and of others give the same scores in many buckets, and hot pairs do not leave their bundle."""
+    monkeypatch.setattr(L, "BUCKET_WORDS", 60)
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "HOT", 3)
+    draw = random.Random(9)
+    rows = [(n, " ".join(draw.choices("abcdefghijklmnop", [9, 9, 9, 5, *[1] * 12], k=draw.randint(0, 60)))) for n in range(60)]
+    same(scored(spark, rows), brute_force(rows))
+    docs = spark.createDataFrame(rows, "row long, text string")
+    counts = L.word_counts(docs).cache()
+    meeting = L.Meeting(L.Frequent(counts.where("word <> 0"), "word", ("n",), 2 * frequent), sum(len(t.split()) for _, t in rows), 60)
+    kinds = {r.kind: r.n for r in meeting.deal(docs).groupBy("kind").agg(L.F.count("*").alias("n")).collect()}
+    assert (L.Meeting.HOT_PAIRS in kinds) == (frequent > 0) and meeting.hot.sum() <= 3 and meeting.buckets > 10
+
+
+def test_packed_columns():
+    """Columns come back as they were, in planes of any width, and small numbers take few bytes."""
+    columns = [np.array([0, 1, 2**64 - 1], np.uint64), np.array([3, 2, 1], np.int32), np.array([-1.5, 0.0, 1e300]), np.zeros(3, np.int64)]
+    for bits in (2, 8):
+        found = L._unpack(L._pack(bits, *columns))
+        assert found[0].tolist() == columns[0].tolist() and found[1].tolist() == [3, 2, 1]
+        assert found[2].view(np.float64).tolist() == columns[2].tolist() and found[3].tolist() == [0, 0, 0]
+    assert L._unpack(L._pack(8, np.zeros(0, np.uint64)))[0].tolist() == []
+    assert len(L._pack(8, np.ones(100_000, np.int64))) < 1000
+    for half in (1, 4, 20):
+        keys = np.unique(np.random.default_rng(half).integers(0, 1 << 2 * half, 1000).astype(np.uint64))
+        spread = L._spread(keys, half)
+        assert L._gathered(spread, half).tolist() == keys.tolist() and len(np.unique(spread)) == len(keys) and int(spread.max()) < 1 << 2 * half
